@@ -1,0 +1,110 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from vecloom.functions import distance as D
+from vecloom.operators.ivf import IvfIndex
+from vecloom.operators.knn import materialized, nearest, nearest_blocks, nearest_each, nested
+from vecloom.plans.planner import EXACT, FILTERED, HYBRID, POST_FILTER, SearchOptions, choose, search
+from vecloom.types import CorruptionError, IndexOptions, Space, ValidationError, tagged_map
+
+
+def truth(space, q, v):
+    q, v = np.asarray(q, float), np.asarray(v, float)
+    if space == "l2":
+        return ((q - v) ** 2).sum()
+    if space == "ip":
+        return 1 - q @ v
+    n = np.linalg.norm(q) * np.linalg.norm(v)
+    return 1 - (q @ v) / n if n else 1.0
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"v{i:03d}", [float(x) for x in rng.normal(size=16).astype(np.float32)]) for i in range(200)]
+    rows[7] = ("v007", [0.0] * 16)
+    rows[9] = ("v009", rows[8][1])
+    return spark.createDataFrame([*rows, ("none", None)], "id string, embedding array<float>").repartition(3).cache(), dict(rows)
+
+
+def test_distances_on_literals(spark):
+    df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0]), ([1.0, 2.0], [2.0, -1.0])], "a array<float>, b array<float>")
+    a, b = F.col("a"), F.col("b")
+    got = df.select(D.l2_squared(a, b), D.dot(a, b), D.inner_product(a, b), D.cosine(a, b), D.norm(a), D.normalize(a), D.normalize(b)).collect()
+    assert got[0][:5] == (25.0, 0.0, 1.0, 1.0, 5.0) and got[0][5] == pytest.approx([0.6, 0.8]) and got[0][6] == [0.0, 0.0]
+    assert got[1][:4] == (10.0, 0.0, 1.0, 1.0)
+
+
+@pytest.mark.parametrize("space", ["l2", "cosine", "ip"])
+def test_all_scans_agree_with_brute_force(spark, vectors, space):
+    df, rows = vectors
+    queries = [(i, rows[f"v{i * 20:03d}"] if i else [0.0] * 16) for i in range(6)]
+    q = spark.createDataFrame(queries, "query_id long, embedding array<float>")
+    want = {i: sorted((round(truth(space, e, v), 9), k) for k, v in rows.items())[:10] for i, e in queries}
+    for scan in (nearest_each, nearest_blocks):
+        got = scan(df, q, 10, space, digits=9).collect()
+        assert {i: [(r["distance"], r["id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] for i in want} == {i: [(pytest.approx(d, abs=2e-9), k) for d, k in w] for i, w in want.items()}
+    got = nearest(df, queries[3][1], 10, space).collect()
+    assert [r["id"] for r in got] == [k for _, k in want[3]]
+
+
+def test_queries_come_in_blocks(spark, vectors):
+    df, rows = vectors
+    q = spark.createDataFrame([(i, rows[f"v{i:03d}"]) for i in range(10)], "query_id long, embedding array<float>")
+    one, many = (sorted(map(tuple, nearest_blocks(df, q, 3, query_block=n).collect())) for n in (4, 1000))
+    assert one == many and len(one) == 30
+    assert nearest_blocks(df, q.limit(0), 3).count() == 0
+
+
+def test_nested_and_materialized(spark, vectors):
+    df, rows = vectors
+    q = spark.createDataFrame([(0, rows["v001"])], "query_id long, embedding array<float>")
+    top = nearest_blocks(df, q, 3)
+    row = nested(top).first()
+    assert row["ids"][0] == "v001" and row["distances"][0] == 0.0
+    records = df.withColumn("document", F.col("id")).withColumn("metadata", F.lit(None).cast("string"))
+    assert materialized(top, records).columns == ["query_id", "rank", "id"]
+    assert {r["id"] == r["document"] for r in materialized(top, records, ("distances", "documents")).collect()} == {True}
+
+
+def test_index_with_all_cells_is_exact(spark, vectors, tmp_path):
+    df, rows = vectors
+    q = spark.createDataFrame([(i, rows[f"v{i:03d}"]) for i in range(20)], "query_id long, embedding array<float>")
+    for space in ("l2", "cosine"):
+        index = IvfIndex.build(df, space, 8)
+        want = sorted(map(tuple, nearest_each(df, q, 10, space, digits=6).collect()))
+        assert sorted(map(tuple, index.search(q, 10, None, 6).collect())) == want
+    some = {(r["query_id"], r["id"]) for r in index.search(q, 10, 6, 6).collect()}
+    assert len(some & {(w[0], w[2]) for w in want}) >= 0.8 * len(want)
+    index.save(str(tmp_path / "index"))
+    back = IvfIndex.load(spark, str(tmp_path / "index"), "cosine", 16)
+    assert sorted(map(tuple, back.search(q, 10, None, 6).collect())) == want
+    with pytest.raises(CorruptionError):
+        IvfIndex.load(spark, str(tmp_path / "index"), "l2")
+    with pytest.raises(ValidationError):
+        IvfIndex.build(df.limit(0))
+
+
+def test_planner(spark, vectors):
+    options = IndexOptions(max_scan=50)
+    assert [choose(100, None, options, True), choose(100, None, options, False), choose(100, 60, options, True), choose(100, 40, options, True)] == [HYBRID, EXACT, POST_FILTER, FILTERED]
+    df, rows = vectors
+    records = df.join(spark.createDataFrame([(k, tagged_map({"n": i})) for i, k in enumerate(sorted(rows))], "id string, metadata map<string,struct<s:string,b:boolean,i:bigint,f:double>>"), "id", "left")
+    q = spark.createDataFrame([(0, rows["v050"])], "query_id long, embedding array<float>")
+    index = IvfIndex.build(df, "l2", 4)
+    index_all = lambda how, buffered=None: [r["id"] for r in search(records, q, 5, Space.L2, options, how, index, buffered).orderBy("rank").collect()]
+    exact = lambda ids: [k for _, k in sorted((truth("l2", rows["v050"], rows[k]), k) for k in ids)[:5]]
+    assert index_all(SearchOptions(ef=1000)) == exact(rows)
+    fresh = df.where("id in ('v050', 'v001')").select("id")
+    assert index_all(SearchOptions(ef=1000), fresh) == exact(rows)
+    assert index_all(SearchOptions(where={"n": {"$gte": 100}}, ef=1000, oversampling=40)) == exact([k for k in rows if int(k[1:]) >= 100])
+    assert index_all(SearchOptions(where={"n": {"$lt": 20}})) == exact([k for k in rows if int(k[1:]) < 20])
+    assert index_all(SearchOptions(where={"n": -1})) == []
+
+
+def test_space_names():
+    assert Space.parse("CoSine") is Space.COSINE
+    for bad in ("cos", "euclidean", ""):
+        with pytest.raises(ValidationError):
+            Space.parse(bad)
