@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecloom.llm import licenses, linededup, mixing, packing, pii, quality, simhash, spotsigs, warc
+from vecloom.llm import licenses, linededup, mixing, packing, pii, quality, simhash, spotsigs, toxicity, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_linededup": linededup.op6_linededup,
     "op7_licenses": licenses.op7_licenses,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc": warc.op10_warc,
 }
