@@ -4,7 +4,8 @@ Voters are word beginnings that labelled toxic texts favour (a lexicon found in
 bounded sample of labelled rows) and a few patterns of writing. A voter votes for
 toxic or abstains. The label model takes a text's class as hidden and estimates for
 each voter how often it votes in either class, by expectation maximization over the
-vote patterns of all texts, counted; the labelled rows enter as prior counts. Voters
+vote patterns of all texts, counted; the labelled rows enter as prior counts. To
+abstain is no evidence, as most voters speak for one language only. Voters
 of which one goes with another more often than their classes explain are correlated
 and share their weight. Posterior labels then train a logistic regression on how
 often voters speak, and its sigmoid is the score.
@@ -34,7 +35,7 @@ from vecloom.llm.common import cut, lit_array, slices, table
 TRAIN_ROWS, FIT_ROWS = 8_000, 20_000
 #: Voters of the lexicon, the lengths of the word beginnings, and what they must show.
 VOTERS, LENGTHS = 96, range(3, 11)
-LEAST_TOXIC, LEAST_SHARE = 5, 0.5
+LEAST_TOXIC, LEAST_SHARE = 5, 0.6
 ROUNDS = 6
 SEED = 23
 _WORD = re.compile(r"[^\W\d_]+")
@@ -159,8 +160,8 @@ class LabelModel:
 
 
 def _model(alpha: np.ndarray, beta: np.ndarray, share: float, tempered: np.ndarray) -> LabelModel:
-    spoken, silent = np.log(alpha / beta), np.log((1 - alpha) / (1 - beta))
-    return LabelModel(tempered * (spoken - silent), math.log(share / (1 - share)) + float((tempered * silent).sum()))
+    # who abstains says nothing: most voters speak for one language or kind of text only
+    return LabelModel(tempered * np.log(alpha / beta), math.log(share / (1 - share)))
 
 
 def label_model(patterns: DataFrame, told: DataFrame, n_voters: int, share: float, rounds: int = ROUNDS) -> LabelModel:
@@ -190,10 +191,10 @@ def label_model(patterns: DataFrame, told: DataFrame, n_voters: int, share: floa
         load = np.zeros(n_voters)
         for a, b, n in together:
             expected = every * (share * alpha[a] * alpha[b] + (1 - share) * beta[a] * beta[b])
-            extra = (n - expected) / max(1.0, min(alone[a], alone[b]))
-            if extra > 0.2:
-                load[a] += extra
-                load[b] += extra
+            if n > 2 * expected:
+                # where a speaks, so much of b's voice is nothing new, and the other way round
+                load[a] += (n - expected) / max(1.0, alone[a])
+                load[b] += (n - expected) / max(1.0, alone[b])
         tempered = 1.0 / (1.0 + load)
         model = _model(alpha, beta, share, tempered)
         weighed = patterns.withColumn("p", model.posterior(F.col("voters")) * F.col("n"))
