@@ -162,10 +162,11 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them. Rows that share a doc_id
     are told apart by their size and source; equal ones share a number of copies."""
     columns = docs.columns
-    keyed = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_key", F.to_json(F.struct(F.array(F.col("source").cast("string")).alias("pattern"))))
-    found = mix(docs, **options).withColumn("_key", F.to_json(F.struct("pattern"))).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_of"), "_key").agg(F.max("copies").alias("_copies"))
-    on = keyed.doc_id.cast("long").eqNullSafe(found._id) & (keyed._size == found._of) & (keyed._key == found._key)
-    return keyed.join(found.where("_copies > 0"), on).select(*[keyed[c] for c in columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(columns)
+    key = F.to_json(F.struct(F.array(F.col("source").cast("string")).alias("pattern")))
+    keyed = docs.withColumns({"__mix_size": n_words(F.col("text")), "__mix_key": key})
+    found = mix(docs, **options).groupBy(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_of"), F.to_json(F.struct("pattern")).alias("__mix_at")).agg(F.max("copies").alias("__mix_copies")).where("__mix_copies > 0")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_size") == F.col("__mix_of")) & (F.col("__mix_key") == F.col("__mix_at"))
+    return keyed.join(found, on).select(*columns, F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__mix_copy")).select(columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
