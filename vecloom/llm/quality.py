@@ -34,7 +34,7 @@ RULES = (
     ("mean_word_length", ("word_chars", "n_words"), 2.0, 20.0),
     ("symbol_ratio", ("n_symbols", "n_words"), None, 0.1),
     ("stop_word_ratio", ("n_stop", "n_words"), 0.02, None),
-    ("dup_line_ratio", ("n_dup_lines", "n_lines"), None, 0.3),
+    ("dup_line_ratio", ("n_dup_lines", "n_lines"), None, 0.5),
     ("bullet_line_ratio", ("n_bullets", "n_lines"), None, 0.9),
     ("ellipsis_line_ratio", ("n_ellipses", "n_lines"), None, 0.3),
 )
@@ -130,6 +130,6 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
              greatest(n_words, 1)::DOUBLE AS nw, greatest(n_lines, 1)::DOUBLE AS nl FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars / nw BETWEEN 2 AND 20 AND n_symbols / nw <= 0.1 AND n_stop / nw >= 0.02
-         AND n_dup_lines / nl <= 0.3 AND n_bullets / nl <= 0.9 AND n_ellipses / nl <= 0.3 AS kept
+         AND n_dup_lines / nl <= 0.5 AND n_bullets / nl <= 0.9 AND n_ellipses / nl <= 0.3 AS kept
 FROM b
 """
