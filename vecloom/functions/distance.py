@@ -81,8 +81,3 @@ def exact(space: Space | str, query: np.ndarray, vectors: np.ndarray) -> np.ndar
         d = vectors.astype(np.float64) - query.astype(np.float64)
         return (d * d).sum(axis=1)
     return block(space, query[None, :], vectors)[0]
-
-
-def lit_cells(centers: np.ndarray) -> Column:
-    """A matrix as an array of arrays."""
-    return F.array(*[literal_vector(c) for c in centers.tolist()])

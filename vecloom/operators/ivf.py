@@ -11,18 +11,21 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.functions.distance import distance, dot, doubles, lit_cells, normalize
+from vecloom.functions.distance import distance, doubles, normalize
 from vecloom.operators.knn import ranked, rounded
 from vecloom.sources.files import Store
 from vecloom.types import CorruptionError, Space, ValidationError
 
 #: Vectors that k-means is fitted on, at most.
 SAMPLE = 100_000
+#: Cells, at most: what is broadcast doesn't grow with the vectors.
+CELLS = 4_096
 SEED = 42
 _META = "index.json"
 
@@ -40,12 +43,12 @@ class IvfIndex:
         count = rows.count()
         if not count:
             raise ValidationError("an index needs vectors")
-        k = min(count, k or max(1, round(math.sqrt(count))))
+        k = min(count, k or max(1, min(CELLS, round(math.sqrt(count)))))
         order = F.xxhash64(F.lit(seed), F.col("id").cast("string"))
         some = rows if count <= sample else rows.where(F.pmod(order, F.lit(count)) < sample)
         fitted = KMeans(k=k, seed=seed, maxIter=10).fit(some.select(array_to_vector(_placed(space)).alias("features")))
         centers = np.array(fitted.clusterCenters())
-        return cls(centers, rows.withColumn("cell", _cell(centers)), space, count)
+        return cls(centers, _in_cells(rows, centers, "id", 1), space, count)
 
     def save(self, path: str) -> None:
         """Cells as Parquet partitions, and a description that is checked on loading."""
@@ -68,7 +71,14 @@ class IvfIndex:
 
     def without(self, ids: DataFrame) -> IvfIndex:
         """The index with some ids left out (deleted or superseded)."""
-        return IvfIndex(self.centers, self.cells.join(ids.select("id"), "id", "left_anti"), self.space, self.count)
+        return IvfIndex(self.centers, self.cells.join(ids.select("id").distinct(), "id", "left_anti"), self.space, self.count)
+
+    def with_added(self, vectors: DataFrame) -> IvfIndex:
+        """The index with more vectors (id, embedding) in the cells that it has; an id
+        that is there already is replaced. Centres stay until the index is built again."""
+        more = _in_cells(vectors.where("embedding is not null").select("id", "embedding"), self.centers, "id", 1)
+        cells = self.cells.join(more.select("id"), "id", "left_anti").unionByName(more)
+        return IvfIndex(self.centers, cells, self.space, cells.count())
 
     def probes(self, ef: int) -> int:
         """Cells that hold about ``ef`` vectors."""
@@ -77,8 +87,10 @@ class IvfIndex:
     def search(self, queries: DataFrame, k: int, nprobe: int | None = None, digits: int | None = None) -> DataFrame:
         """(query_id, rank, id, distance) of ``queries`` (query_id, embedding)."""
         nprobe = len(self.centers) if nprobe is None else nprobe
-        order = F.sort_array(F.transform(F.arrays_zip(lit_cells(self.centers).alias("c"), F.sequence(F.lit(0), F.lit(len(self.centers) - 1)).alias("i")), lambda x: F.struct(_gap(F.col("_at"), x["c"]).alias("d"), x["i"].alias("cell"))))
-        probes = queries.select("query_id", F.col("embedding").alias("_q"), _placed(self.space).alias("_at")).select("query_id", "_q", F.explode(F.slice(order, 1, nprobe)).alias("p")).select("query_id", "_q", F.col("p.cell").alias("cell"))
+        asked = queries.select("query_id", "embedding")
+        if self.space is Space.COSINE:
+            asked = asked.withColumn("embedding", _placed(self.space).cast("array<float>"))
+        probes = _in_cells(asked, self.centers, "query_id", nprobe).select("query_id", "cell").join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
         pairs = self.cells.join(probes, "cell").select("query_id", "id", rounded(distance(self.space, F.col("embedding"), F.col("_q")), digits).alias("distance"))
         return ranked(pairs, k)
 
@@ -88,12 +100,21 @@ def _placed(space: Space):
     return normalize(F.col("embedding")) if space is Space.COSINE else doubles(F.col("embedding"))
 
 
-def _gap(a, center):
-    """Squared distance up to a term that all centres of one vector share."""
-    return dot(center, center) - F.lit(2.0) * dot(a, center)
-
-
-def _cell(centers: np.ndarray):
-    at = F.arrays_zip(lit_cells(centers).alias("c"), F.sequence(F.lit(0), F.lit(len(centers) - 1)).alias("i"))
-    gaps = F.transform(at, lambda x: F.struct(_gap(doubles(F.col("embedding")), x["c"]).alias("d"), x["i"].alias("i")))
-    return F.array_min(gaps)["i"]
+def _in_cells(rows: DataFrame, centers: np.ndarray, id: str, nprobe: int) -> DataFrame:
+    """(id, embedding, cell): each vector with the ``nprobe`` cells nearest to it; equal
+    gaps go by the cell's number. Centres are broadcast; there are ``CELLS`` at most."""
+    kind = rows.schema[id].dataType.simpleString()
+    sent = rows.sparkSession.sparkContext.broadcast((centers, (centers * centers).sum(axis=1)))
+
+    def run(batches):
+        c, square = sent.value
+        for batch in batches:
+            n = batch.num_rows
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+            # the vector's own square is the same for all centres
+            gap = square[None, :] - 2.0 * (v @ c.T)
+            near = np.argsort(gap, axis=1, kind="stable")[:, :nprobe]
+            at = np.repeat(np.arange(n), near.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(near.ravel().astype(np.int32))], [id, "embedding", "cell"])
+
+    return rows.select(id, "embedding").mapInArrow(run, f"{id} {kind}, embedding array<float>, cell int")

@@ -82,7 +82,7 @@ def _block_pass(vectors, ids, matrix, k, space, id, embedding, digits) -> DataFr
     spark = vectors.sparkSession
     sent = spark.sparkContext.broadcast((ids, matrix))
     kind = vectors.select(id).schema[0].dataType.simpleString()
-    keep = max(k, 1)
+    keep, slack = max(k, 1), 1e-9 + (0.0 if digits is None else 10.0**-digits)
 
     def run(batches):
         query_ids, q = sent.value
@@ -97,8 +97,8 @@ def _block_pass(vectors, ids, matrix, k, space, id, embedding, digits) -> DataFr
                 row = near[i]
                 if some < len(row):
                     limit = np.partition(row, some - 1)[some - 1]
-                    # rounding in the block form must not lose a candidate
-                    at = np.flatnonzero(row <= limit + 1e-9 * max(1.0, abs(limit)))
+                    # neither the block form's rounding nor a tie of rounded distances may lose a candidate
+                    at = np.flatnonzero(row <= limit + slack * max(1.0, abs(limit)))
                 else:
                     at = np.arange(len(row))
                 d = exact(space, q[i], v[at])

@@ -78,6 +78,7 @@ class Collection:
             self._engine.catalog.update_dimension(self.config.id, dimension)
             self.config = self.config.with_dimension(dimension)
         self._engine.catalog.advance(self.config.id, seq)
+        self.flush()
         if seq - self.log.snapshot_seq >= self.config.options.sync_threshold:
             self.checkpoint()
         return seq
@@ -147,6 +148,16 @@ class Collection:
         self._index = (index, self.log.last_seq)
         return index
 
+    def flush(self, force: bool = False) -> bool:
+        """Bring the index up to date once ``batch_size`` operations wait for it."""
+        if not self._index or not (force or self.log.last_seq - self._index[1] >= self.config.options.batch_size):
+            return False
+        index, seq = self._index
+        touched = self.log.read(seq + 1).select("id").distinct()
+        live = self.records().join(touched, "id", "left_semi")
+        self._index = (index.without(touched).with_added(live), self.log.last_seq)
+        return True
+
     def indexed_count(self) -> int:
         """Vectors that a search sees: those of the index and those written since."""
         return self.records().where("embedding is not null").count()
