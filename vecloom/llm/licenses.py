@@ -73,8 +73,8 @@ def _hash(at, i: Column, k: int = K) -> Column:
 
 def templates(spark: SparkSession, k: int = K) -> DataFrame:
     """(h, label, template, position, grams): every k-gram of every template."""
-    rows = [(label, f"{label}/{n}", text.split()) for label, texts in TEMPLATES.items() for n, text in enumerate(texts)]
-    df = spark.createDataFrame(rows, "label string, template string, w array<string>")
+    rows = [F.struct(F.lit(label).alias("label"), F.lit(f"{label}/{n}").alias("template"), F.split(F.lit(text), " ").alias("w")) for label, texts in TEMPLATES.items() for n, text in enumerate(texts)]
+    df = spark.range(1).select(F.inline(F.array(*rows)))
     grams = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.struct(_hash("w", i, k).alias("h"), i.alias("position")))
     return df.select("label", "template", (F.size("w") - k + 1).alias("grams"), F.explode(grams).alias("g")).select("g.h", "label", "template", "g.position", "grams")
 
