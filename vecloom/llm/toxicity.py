@@ -16,7 +16,7 @@ source and doc_id are no inputs of a score.
 Defined results: a null or empty text gets the score of a text without votes; null
 labels are ignored, contradicting ones count as toxic; without labelled rows every
 score is 0; repeated rows are scored alike; an empty table gives an empty result;
-other columns pass through ``scored`` unchanged.
+other columns pass through ``accepted`` unchanged.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,10 +117,31 @@ def lexicon(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, voters:
     return chosen, share, totals["n"]
 
 
-def votes(docs: DataFrame, starts: list[str]) -> DataFrame:
-    """doc_id and votes: (voter, how often) of those that don't abstain, in one pass."""
+def _voter(starts: list[str]):
+    """A function from a text to {voter: how often} of those that don't abstain."""
     at = {s: i for i, s in enumerate(starts)}
     lengths = sorted({len(s) for s in starts})
+
+    def of(text: str | None) -> dict[int, int]:
+        text = text or ""
+        words = _WORD.findall(text.lower())
+        found: dict[int, int] = {}
+        for word in set(words):
+            for n in lengths:
+                if (i := at.get(word[:n])) is not None:
+                    found[i] = found.get(i, 0) + 1
+                    break
+        for i, (_, test) in enumerate(PATTERNS, len(starts)):
+            if words and test(text, len(words)):
+                found[i] = 1
+        return found
+
+    return of
+
+
+def votes(docs: DataFrame, starts: list[str]) -> DataFrame:
+    """doc_id and votes: (voter, how often) of those that don't abstain, in one pass."""
+    voter = _voter(starts)
     kind = pa.list_(pa.struct([("v", pa.int32()), ("n", pa.int32())]))
 
     def run(batches):
@@ -127,17 +149,7 @@ def votes(docs: DataFrame, starts: list[str]) -> DataFrame:
             for part in slices(batch):
                 rows = []
                 for text in part.column(1):
-                    text = text.as_py() or ""
-                    words = _WORD.findall(text.lower())
-                    found: dict[int, int] = {}
-                    for word in set(words):
-                        for n in lengths:
-                            if (i := at.get(word[:n])) is not None:
-                                found[i] = found.get(i, 0) + 1
-                                break
-                    for i, (_, test) in enumerate(PATTERNS, len(starts)):
-                        if words and test(text, len(words)):
-                            found[i] = 1
+                    found = voter(text.as_py())
                     rows.append([{"v": v, "n": found[v]} for v in sorted(found)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], ["doc_id", "votes"])
 
@@ -229,11 +241,42 @@ def _fitted(rows: list, n_voters: int, steps: int = 300) -> tuple[np.ndarray, fl
     return w, float(b)
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score) for every row of ``docs``."""
+class Classifier:
+    """Voters with the weights of a logistic regression."""
+
+    def __init__(self, starts: list[str], weights: np.ndarray, base: float):
+        self.starts, self.weights, self.base = starts, [float(w) for w in weights], float(base)
+
+    def of_votes(self, votes: str = "votes"):
+        """The score as a Column over votes."""
+        at = lit_array(self.weights, "double")
+        z = F.aggregate(votes, F.lit(self.base), lambda acc, v: acc + F.get(at, v["v"]) * (F.lit(1.0) + F.log(v["n"].cast("double"))))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+    def of_text(self, text: str = "text"):
+        """The score as a Column over whole texts, so that rows can be scored where they are."""
+        voter, weights, base = _voter(self.starts), self.weights, self.base
+
+        @F.pandas_udf("double")
+        def score(texts: pd.Series) -> pd.Series:
+            out = []
+            for t in texts:
+                found = voter(t)
+                z = base
+                for v in sorted(found):
+                    z += weights[v] * (1 + math.log(found[v]))
+                out.append(1 / (1 + math.exp(-z)))
+            return pd.Series(out, dtype=float)
+
+        return score(F.col(text).cast("string"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Classifier | None, DataFrame | None]:
+    """The classifier and the votes of ``docs`` that it was fitted on; nothing where
+    there are no labelled rows to learn from."""
     starts, share, rows = lexicon(docs, labels)
     if not starts:
-        return docs.select(F.col("doc_id").cast("long"), F.lit(0.0).alias("score"))
+        return None, None
     n_voters = len(starts) + len(PATTERNS)
     spoken = cut(votes(docs, starts))
     voters = F.transform("votes", lambda x: x["v"]).alias("voters")
@@ -243,10 +286,22 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # texts whose votes are the same are one row with a count
     order = F.xxhash64(F.lit(SEED), "votes")
     fit = spoken.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), order).limit(FIT_ROWS).select("votes", "n", model.posterior(F.transform("votes", lambda x: x["v"])).alias("p"))
-    w, b = _fitted(fit.collect(), n_voters)
-    at = lit_array([float(x) for x in w], "double")
-    z = F.aggregate("votes", F.lit(b), lambda acc, v: acc + F.get(at, v["v"]) * (F.lit(1.0) + F.log(v["n"].cast("double"))))
-    return spoken.select("doc_id", (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("score"))
+    return Classifier(starts, *_fitted(fit.collect(), n_voters)), spoken
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, score) for every row of ``docs``."""
+    classifier, spoken = fitted(docs, labels)
+    if classifier is None:
+        return docs.select(F.col("doc_id").cast("long"), F.lit(0.0).alias("score"))
+    return spoken.select("doc_id", classifier.of_votes().alias("score"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold. The texts are scored a
+    second time where they lie: that costs a pass, but no text is shuffled."""
+    classifier, _ = fitted(docs, labels)
+    return docs if classifier is None else docs.where(classifier.of_text() < threshold)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
