@@ -10,8 +10,10 @@ takes. Documents then are selected in a seeded order: each is taken as often as
 whole passes over its pattern say, and those first in the order once more, until the
 pattern's tokens are reached as closely as whole documents allow.
 
-Running sums over one pattern are formed in hashed parts of the order, so a source
-that holds a third of all rows is not ordered by one task.
+Running sums over one pattern are formed in hashed parts of the order, and only the
+part in which the tokens run out is ordered row by row, so a source that holds a third
+of all rows is not ordered by one task. What comes of it is a place in the order for
+each pattern; rows are compared with it where they lie.
 
 Defined results: a null text has no words, and no words are taken of it; a null
 source is a source of its own, after all others; repeated rows are selected each by
@@ -34,7 +36,7 @@ SHARE = 1.5
 REPEATS = 2
 SEED = 17
 #: Parts of the seeded order of each pattern, by the leading bits of its hash.
-PARTS = 256
+PARTS = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -118,19 +120,27 @@ def flow(capacity: dict[tuple, int], quota: dict, repeats: int = REPEATS) -> dic
     return dict(given)
 
 
-def mix(docs: DataFrame, sources: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, pattern, source_size, target, copies) for every row of ``docs``.
-
-    ``sources`` is a column of strings, or of arrays of strings where documents belong
-    to several sources; ``pattern`` is the sorted array. source_size and target are
-    those of the pattern's first source. ``copies``: how often the mix takes the row.
-    """
+def _placed(docs: DataFrame, sources: str, seed: int) -> DataFrame:
+    """``docs`` with its size, its pattern and its place in the seeded order."""
     many = dict(docs.dtypes)[sources].startswith("array")
     pattern = F.array_sort(F.array_distinct(F.col(sources))) if many else F.array(F.col(sources).cast("string"))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    rows = cut(docs.select(F.col("doc_id").cast("long"), n_words(F.col("text")).alias("size"), F.coalesce(pattern, F.array(F.lit(None).cast("string"))).alias("pattern"), order.alias("h")).withColumn("part", F.pmod(F.shiftrightunsigned("h", 40), F.lit(PARTS)).cast("int")))
-    counted = cut(rows.groupBy("pattern", "part").agg(F.sum("size").alias("sum")))
-    capacity = {tuple(r["pattern"]): r["sum"] for r in counted.groupBy("pattern").agg(F.sum("sum").alias("sum")).collect()}  # one row a pattern
+    pattern = F.coalesce(pattern, F.array(F.lit(None).cast("string")))
+    h = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
+    part = F.pmod(F.shiftrightunsigned(h, 40), F.lit(PARTS)).cast("int")
+    size = n_words(F.col("text"))
+    # arrays with a null in them never equal each other in a join, so the key is text
+    columns = {"__mix_size": size, "__mix_pattern": pattern, "__mix_key": F.to_json(F.struct(pattern.alias("pattern"))), "__mix_at": F.struct(part.alias("part"), h.alias("h"), size.alias("size"), F.col("doc_id").cast("long").alias("doc_id"))}
+    return docs.withColumns(columns)
+
+
+def planned(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
+    """One row for each pattern: key, source_size and target (of its first source),
+    full (how often all its documents are taken) and last (the place in the order up
+    to which they are taken once more). ``rows`` has the columns of ``_placed``."""
+    rows = rows.select(F.col("__mix_key").alias("key"), F.col("__mix_pattern").alias("pattern"), F.col("__mix_at").alias("at"))
+    counted = cut(rows.groupBy("key", F.col("at.part").alias("part")).agg(F.sum("at.size").alias("sum"), F.first("pattern").alias("pattern")))
+    known = counted.groupBy("key").agg(F.sum("sum").alias("sum"), F.first("pattern").alias("pattern")).collect()  # one row a pattern
+    capacity = {tuple(r["pattern"]): r["sum"] for r in known}
     sizes: dict = defaultdict(int)
     for p, n in capacity.items():
         for s in p:
@@ -140,33 +150,51 @@ def mix(docs: DataFrame, sources: str = "source", weights=WEIGHTS, share: float
     for (p, _), n in flow(capacity, quota, repeats).items():
         given[p] += n
     told = []
-    for p, n in capacity.items():
+    for r in known:
+        p, n = tuple(r["pattern"]), r["sum"]
         full = min(int(given[p] // n), repeats) if n else 0
-        told.append((list(p), sizes[p[0]], quota[p[0]], full, given[p] - full * n if full < repeats else 0.0))
-    plan = docs.sparkSession.createDataFrame(told, "pattern array<string>, source_size long, target double, full int, rest double")
-    # the running sum: of the parts before, then within the part
-    within = W.partitionBy("pattern", "part").orderBy("h", "size", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    before = counted.select("pattern", "part", (F.sum("sum").over(W.partitionBy("pattern").orderBy("part")) - F.col("sum")).alias("before"))
-    # arrays with a null in them never equal each other in a join, so the key is text
-    key = F.to_json(F.struct("pattern"))
-    summed = rows.withColumn("own", F.sum("size").over(within)).withColumn("key", key)
-    summed = summed.join(before.withColumn("key", key).drop("pattern"), ["key", "part"]).join(F.broadcast(plan.withColumn("key", key).drop("pattern")), "key")
-    ends = F.col("before") + F.col("own")
-    # taken once more if that brings the sum nearer to what is still wanted
-    more = (F.col("size") > 0) & (ends - F.col("size") / 2 < F.col("rest"))
-    copies = F.when(F.col("size") > 0, F.col("full") + more.cast("int")).otherwise(0)
-    return summed.select("doc_id", "size", "pattern", "source_size", "target", copies.alias("copies"))
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them. Rows that share a doc_id
-    are told apart by their size and source; equal ones share a number of copies."""
+        told.append((r["key"], sizes[p[0]], quota[p[0]], full, given[p] - full * n if full < repeats else 0.0))
+    plan = rows.sparkSession.createDataFrame(told, "key string, source_size long, target double, full int, rest double")
+    # running sums: of the parts before, then within the part that holds the end
+    upto = F.sum("sum").over(W.partitionBy("key").orderBy("part"))
+    parts = counted.select("key", "part", "sum", upto.alias("upto")).join(F.broadcast(plan), "key").where("upto - sum < rest")
+    whole = parts.where("upto <= rest").groupBy("key").agg(F.max("part").alias("whole"))
+    edge = parts.where("upto > rest").select("key", "part", (F.col("upto") - F.col("sum")).alias("before"), "rest")
+    within = W.partitionBy("key").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    ends = F.col("before") + F.sum("at.size").over(within)
+    inside = rows.select("key", "at", F.col("at.part").alias("part")).join(F.broadcast(edge), ["key", "part"]).withColumn("ends", ends)
+    # a document is taken if that brings the sum nearer to what is still wanted
+    last = inside.where(F.col("ends") - F.col("at.size") / 2 < F.col("rest")).groupBy("key").agg(F.max("at").alias("last"))
+    return plan.join(whole, "key", "left").join(last, "key", "left").select("key", "source_size", "target", "full", "whole", "last")
+
+
+def _decided(placed: DataFrame, plan: DataFrame) -> DataFrame:
+    """``placed`` with the plan of its pattern and ``__mix_copies``."""
+    plan = F.broadcast(cut(plan).withColumnsRenamed({c: f"__mix_p_{c}" for c in plan.columns}))
+    told = placed.join(plan, F.col("__mix_key") == F.col("__mix_p_key"))
+    more = F.coalesce(F.col("__mix_at.part") <= F.col("__mix_p_whole"), F.lit(False)) | F.coalesce(F.col("__mix_at") <= F.col("__mix_p_last"), F.lit(False))
+    return told.withColumn("__mix_copies", F.when(F.col("__mix_size") > 0, F.col("__mix_p_full") + more.cast("int")).otherwise(0))
+
+
+def mix(docs: DataFrame, sources: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """(doc_id, size, pattern, source_size, target, copies) for every row of ``docs``.
+
+    ``sources`` is a column of strings, or of arrays of strings where documents belong
+    to several sources; ``pattern`` is the sorted array. source_size and target are
+    those of the pattern's first source. ``copies``: how often the mix takes the row.
+    """
+    rows = cut(_placed(docs.select("doc_id", "text", sources), sources, seed).drop("text", sources))
+    told = _decided(rows, planned(rows, weights, share, repeats))
+    return told.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__mix_size").alias("size"), F.col("__mix_pattern").alias("pattern"), F.col("__mix_p_source_size").alias("source_size"), F.col("__mix_p_target").alias("target"), F.col("__mix_copies").alias("copies"))
+
+
+def mixed(docs: DataFrame, sources: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them. Each row is decided where it
+    lies, from a table with one row for each pattern, so no text is shuffled."""
     columns = docs.columns
-    key = F.to_json(F.struct(F.array(F.col("source").cast("string")).alias("pattern")))
-    keyed = docs.withColumns({"__mix_size": n_words(F.col("text")), "__mix_key": key})
-    found = mix(docs, **options).groupBy(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_of"), F.to_json(F.struct("pattern")).alias("__mix_at")).agg(F.max("copies").alias("__mix_copies")).where("__mix_copies > 0")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_size") == F.col("__mix_of")) & (F.col("__mix_key") == F.col("__mix_at"))
-    return keyed.join(found, on).select(*columns, F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__mix_copy")).select(columns)
+    narrow = cut(_placed(docs.select("doc_id", "text", sources), sources, seed).drop("doc_id", "text", sources))
+    told = _decided(_placed(docs, sources, seed), planned(narrow, weights, share, repeats)).where("__mix_copies > 0")
+    return told.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__mix_copy")).select(columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
