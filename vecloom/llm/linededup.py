@@ -123,7 +123,8 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     other = rows.select(F.col("doc_id").alias("o_doc"), F.col("key").alias("o_key"), F.col("pos").alias("o_pos"), *[F.col(f"r{x}").alias(f"o_r{x}") for x in levels])
     on = begin.doc_id.eqNullSafe(other.o_doc) & (begin.key == other.o_key) & (begin.pos + F.col("w.n") - F.col("k") == other.o_pos)
     named = cut(begin.join(other, on).withColumn("b", pick("o_")).where("b is not null").select(F.struct(*where).alias("at"), F.col("w.n").alias("n"), F.col("w.first").alias("first"), F.col("w.last").alias("last"), "a", "b"))
-    intervals = named.groupBy("n", "a", "b").agg(F.min("at").alias("earliest"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    # written, so that both sides of the join are plain exchanges and a very common run can be split
+    intervals = cut(named.groupBy("n", "a", "b").agg(F.min("at").alias("earliest"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members"))
     later = named.join(intervals, ["n", "a", "b"]).where("at > earliest")
     return later.select("at.doc_id", "at.key", "first", "last")
 
@@ -132,15 +133,16 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the later copies of repeated runs deleted from ``text``, and
     ``_lines_deleted``, the number of lines deleted."""
     runs = cut(deletions(docs, min_words))
-    of = runs.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_of")).agg(F.collect_set(F.struct("first", "last")).alias("_runs"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(of, keyed.doc_id.cast("long").eqNullSafe(of._doc) & (keyed._key == of._of), "left").drop("_doc", "_of", "_key")
-    gone = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["first"], r["last"]))))
+    of = runs.groupBy(F.col("doc_id").alias("__doc"), F.col("key").alias("__of")).agg(F.collect_set(F.struct("first", "last")).alias("__runs"))
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+    # the same plan at every size: texts are shuffled once, and no set of runs is broadcast
+    joined = keyed.join(of.hint("merge"), keyed.doc_id.cast("long").eqNullSafe(of["__doc"]) & (keyed["__key"] == of["__of"]), "left").drop("__doc", "__of", "__key")
+    gone = F.array_distinct(F.flatten(F.transform("__runs", lambda r: F.sequence(r["first"], r["last"]))))
     lines = F.split(F.col("text"), "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
-    edited = joined.withColumn("_lines_deleted", F.when(F.col("_runs").isNull(), 0).otherwise(F.size(gone)))
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return edited.withColumn("text", text).drop("_runs")
+    edited = joined.withColumn("_lines_deleted", F.when(F.col("__runs").isNull(), 0).otherwise(F.size(gone)))
+    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return edited.withColumn("text", text).drop("__runs")
 
 
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
