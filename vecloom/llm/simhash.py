@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     roots = cut(components(links(own.select("fp"), radius, bucket)))
     linked = roots.join(own, roots.node == own.fp).groupBy("root").agg(F.min("first").alias("first"))
     named = roots.join(linked, "root").select(F.col("node").alias("fp"), F.col("first").alias("reached"))
-    ids = own.join(named, "fp", "left").select(F.col("fp").alias("of"), F.coalesce("reached", "first").alias("component_id"))
+    # written, so that both sides of the last join are plain exchanges, whose large partitions can be split
+    ids = cut(own.join(named, "fp", "left").select(F.col("fp").alias("of"), F.coalesce("reached", "first").alias("component_id")))
     return rows.join(ids, rows.fp == ids.of).select("doc_id", "fp", "component_id")
 
 
@@ -221,10 +222,14 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     the smallest. Of several rows with that doc_id one stays."""
     found = near_duplicates(docs, shingle, radius)
     kept = cut(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    once = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    again = kept.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("of"))
+    # the same plan at every size: texts are shuffled once, and no set of ids is broadcast
+    once = docs.join(kept.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    once = once.select(docs.columns)
+    again = cut(kept.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("of")))
+    if again.isEmpty():
+        return once
     more = docs.join(again, docs.doc_id.eqNullSafe(again.of), "left_semi")
-    return once.select(docs.columns).union(more.dropDuplicates(["doc_id"]).select(docs.columns))
+    return once.union(more.dropDuplicates(["doc_id"]).select(docs.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
