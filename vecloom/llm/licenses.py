@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import table
+from vecloom.llm.common import cut, table
 
 #: Phrases that always give their label where their words stand consecutively.
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
@@ -91,20 +91,29 @@ def _places(w: Column, phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(w) - 1), here)
 
 
-def prepared(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text) and bare, the words joined by one space, of every row."""
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("key"), words(F.col("text")).alias("bare"))
+def prepared(docs: DataFrame, k: int = K) -> DataFrame:
+    """One narrow row for each row of ``docs``, from a single pass over the texts:
+    doc_id, key (a hash of the text), n_words, the places of each phrase, and hits, the
+    rolling k-grams (h, at) that some template has as well."""
+    hashes = [r["h"] for r in templates(docs.sparkSession, k).select("h").distinct().collect()]  # bounded by the templates
+    firsts = sorted({w for texts in TEMPLATES.values() for text in texts for w in text.split()[: len(text.split()) - k + 1]})
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("key"), words(F.col("text")).alias("bare"))
+    rows = rows.select("doc_id", "key", "bare", F.when(F.col("bare") == "", F.array().cast("array<string>")).otherwise(F.split("bare", " ")).alias("w"))
+    none = F.array().cast("array<int>")
+    # most texts hold no phrase; their words are only searched where the joined text does
+    padded = F.concat(F.lit(" "), "bare", F.lit(" "))
+    found = [F.when(padded.contains(f" {p} "), _places(F.col("w"), p)).otherwise(none).alias(label) for label, p in PHRASES.items()]
+    # k-grams that no template has are left out by the join's own equality; one whose first word no template has needs no hash
+    shared = F.filter(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.get("w", i).isin(firsts) & _hash("w", i, k).isin(hashes))
+    hits = F.when(F.size("w") >= k, F.transform(shared, lambda i: F.struct(_hash("w", i, k).alias("h"), i.alias("at"))))
+    return rows.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), *found, hits.alias("hits"))
 
 
 def spans(rows: DataFrame, k: int = K, slack: int = SLACK, least: float = LEAST) -> DataFrame:
-    """(doc_id, key, label, template, first, last, share) of every verified span in
-    the words of ``rows`` (doc_id, key, bare); repeated rows give theirs once."""
+    """(doc_id, key, label, template, first, last, share) of every verified span, from
+    the hits of ``rows`` (see ``prepared``); repeated rows give theirs once."""
     known = templates(rows.sparkSession, k)
-    hashes = [r["h"] for r in known.select("h").distinct().collect()]  # bounded by the templates
-    at = rows.select("doc_id", "key", F.split("bare", " ").alias("w")).where(F.size("w") >= k)
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.struct(_hash("w", i, k).alias("h"), i.alias("at")))
-    # hashes that no template has are left out of the rows before the join, by the same equality
-    hits = at.select("doc_id", "key", F.explode(F.filter(grams, lambda g: g["h"].isin(hashes))).alias("g")).select("doc_id", "key", "g.h", "g.at")
+    hits = rows.select("doc_id", "key", F.explode("hits").alias("g")).select("doc_id", "key", "g.h", "g.at")
     own = ["doc_id", "key", "label", "template", "grams"]
     votes = hits.join(F.broadcast(known), "h").select(*own, "at", (F.col("at") - F.col("position")).alias("diagonal"))
     # a diagonal holds a template's k-grams at most
@@ -119,14 +128,9 @@ def spans(rows: DataFrame, k: int = K, slack: int = SLACK, least: float = LEAST)
 
 def scanned(docs: DataFrame, k: int = K, slack: int = SLACK, least: float = LEAST) -> DataFrame:
     """doc_id, n_words, places of the phrases and all labels of every row of ``docs``."""
-    rows = prepared(docs)
-    none = F.array().cast("array<int>")
-    # most texts hold no phrase; their words are only searched where the joined text does
-    padded = F.concat(F.lit(" "), "bare", F.lit(" "))
-    found = [F.when(padded.contains(f" {p} "), _places(F.split("bare", " "), p)).otherwise(none).alias(label) for label, p in PHRASES.items()]
-    count = F.when(F.col("bare") == "", 0).otherwise(F.length("bare") - F.length(F.replace("bare", F.lit(" "), F.lit(""))) + 1)
+    rows = cut(prepared(docs, k))
     places = F.concat(*[F.col(label) for label in PHRASES])
-    base = rows.select("doc_id", "key", count.cast("long").alias("n_words"), *found).select(
+    base = rows.select(
         "doc_id",
         "key",
         "n_words",
