@@ -1,0 +1,63 @@
+import random
+
+import corpus_pipeline
+from vecloom.llm import nearsets
+
+
+def plain_sets(text):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def plain_kept(rows):
+    first, up = {}, {}
+    for i, t in sorted(rows):
+        up[i] = first.setdefault(plain_sets(t), i)
+    sets = list(first)
+    for x in range(len(sets)):
+        for y in range(x):
+            a, b = sets[x], sets[y]
+            if 5 * len(a & b) >= 4 * len(a | b):
+                p, q = first[a], first[b]
+                while up[p] != p:
+                    p = up[p]
+                while up[q] != q:
+                    q = up[q]
+                up[max(p, q)] = min(p, q)
+    return {i for i in up if up[i] == i}
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_near_copies_with_edited_words_go(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        rows += [" ".join(words), *(edited(rng, words, n) for n in (1, 2, 3, 4, 5, 12))]
+    rows += ["", None, "two words", "Two  words", "other words"]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_kept(rows)
+    assert len(want) < 50
+    assert {r["doc_id"] for r in nearsets.keep_one(docs).collect()} == want
+    assert {r["doc_id"] for r in corpus_pipeline.dedup_near(spark, docs, "").collect()} == want
+
+
+def test_chains_and_groups_around_a_far_smallest_member(spark):
+    """Chains: each text is like the next only, so one star a bucket can't link them."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(40):
+        rows.append((i, " ".join(words)))
+        words[7 * i % 300] = f"v{i}"
+        words[(7 * i + 150) % 300] = f"u{i}"
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in nearsets.keep_one(docs).collect()} == plain_kept(rows)

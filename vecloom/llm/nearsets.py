@@ -1,0 +1,136 @@
+"""Near-dedup of whole texts by the Jaccard likeness of their word shingles.
+
+Candidates come from MinHash bands: two sets that are 0.8 alike share one of 24 bands
+of five minima with probability 0.9999. Every candidate pair that decides something is
+verified on the shingles themselves. A first round compares each set of a band's
+bucket with the smallest only; a second compares what that left apart: sets outside
+the bucket's largest group with all others of the bucket. So a large group of copies
+costs a comparison a member, and no pair of a bucket that isn't linked stays unlooked at.
+
+Fingerprints within some bits can't do this: at a likeness of 0.8 they differ in 10 bits
+on average and 14 or more now and then, and blocks for such radii are so short that
+buckets grow with the square of the rows.
+
+Defined results: texts without words are alike, as are texts of fewer words than a
+shingle that are equal; a null text counts as empty; rows with a null doc_id are one
+document; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vecloom.llm.common import components, cut, slices
+from vecloom.llm.simhash import SEED, one_of_each
+
+#: Words of a shingle, and the likeness as a fraction.
+SHINGLE, LEAST = 5, (4, 5)
+BANDS, WIDTH = 24, 5
+_CHUNK = 1 << 12
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted; those of a short text are its words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    hashed = xxhash.xxh64_intdigest
+    grams = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
+    return np.unique(np.fromiter((hashed(b" ".join(g), SEED) for g in grams), np.uint64, max(1, len(words) - shingle + 1)))
+
+
+def _key(hashes: np.ndarray) -> int:
+    """The name of a set, as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    rng = random.Random(SEED)
+    a, b = ([rng.getrandbits(64) for _ in range(BANDS * WIDTH)] for _ in "ab")
+    return np.array(a, np.uint64) | np.uint64(1), np.array(b, np.uint64)
+
+
+def bands(hashes: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    a, b = factors
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.min([(hashes[s : s + _CHUNK, None] * a + b).min(axis=0) for s in range(0, len(hashes), _CHUNK)], axis=0).reshape(BANDS, WIDTH)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least)], np.uint64).view(np.int64)
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, n, bands): the name and size of every text's set, and its band keys."""
+
+    def run(batches):
+        factors = _factors()
+        for batch in batches:
+            for part in slices(batch):
+                sets = [shingles(t.as_py()) for t in part.column(1)]
+                columns = [part.column(0), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s, factors) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, n long, bands array<long>")
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """(fp, s): the shingles of every text."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 32):
+                sets = [shingles(t.as_py()) for t in part.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "s"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "fp long, s array<long>")
+
+
+def _sizes_fit(a, b):
+    return (LEAST[0] * F.greatest(a, b)) <= LEAST[1] * F.least(a, b)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are alike enough."""
+    x, y = sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), sets.select(F.col("fp").alias("b"), F.col("s").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    alike = LEAST[1] * both >= LEAST[0] * (F.size("x") + F.size("y") - both)
+    return cut(pairs.join(x, "a").join(y, "b").where(alike).select("a", "b"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text): ``fp`` names
+    the text's set of shingles, the component's id is its smallest doc_id."""
+    rows = cut(_sketches(docs))
+    own = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    keys = own.select("fp", "n", "first", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("fp", "n")).alias("c")).where("rows > 1")
+    members = cut(keys.join(shared, "key").select("key", "fp", "n", "first", "c"))
+    wanted = members.select("first").distinct()
+    sets = cut(_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")).dropDuplicates(["fp"]))
+    tried = cut(members.where((F.col("fp") != F.col("c.fp")) & _sizes_fit(F.col("n"), F.col("c.n"))).select(F.col("fp").alias("a"), F.col("c.fp").alias("b")).distinct())
+    edges = _verified(tried, sets)
+    roots = cut(components(edges))
+    named = members.join(roots, members.fp == roots.node, "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("group"))
+    named = cut(named)
+    main = named.groupBy("key", "group").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max(F.struct("rows", "group")).alias("m"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    parted = named.join(main.select("key", F.col("m.group").alias("main")), "key")
+    x = parted.where("group <> main").select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"))
+    y = parted.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("group").alias("gb"))
+    left = x.join(y, "key").where((F.col("ga") != F.col("gb")) & _sizes_fit(F.col("na"), F.col("nb"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    more = _verified(left.join(tried, ["a", "b"], "left_anti"), sets)
+    roots = cut(components(edges.union(more)))
+    linked = roots.join(own, roots.node == own.fp).groupBy("root").agg(F.min("first").alias("least"))
+    reached = roots.join(linked, "root").select(F.col("node").alias("of"), "least")
+    ids = cut(own.join(reached, own.fp == reached.of, "left").select(F.col("fp").alias("of"), F.coalesce("least", "first").alias("component_id")))
+    return rows.join(ids, rows.fp == ids.of).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one document of each component: that whose doc_id is
+    the smallest. Of several rows with that doc_id one stays."""
+    return one_of_each(docs, near_duplicates(docs))

@@ -220,7 +220,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with one document of each component: that whose doc_id is
     the smallest. Of several rows with that doc_id one stays."""
-    found = near_duplicates(docs, shingle, radius)
+    return one_of_each(docs, near_duplicates(docs, shingle, radius))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``found`` (doc_id, component_id) names a component by."""
     kept = cut(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     # the same plan at every size: texts are shuffled once, and no set of ids is broadcast
     once = docs.join(kept.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
