@@ -4,8 +4,8 @@ Four kinds are found by fixed patterns (the base). Every token with a digit or a
 sign then is a node of a conditional random field. Its own potentials are log-linear
 in the token's shape and the words before it; neighbouring nodes are chained, and
 distant nodes with the same or a similar text (the same digits, the same mail domain)
-are linked too, so that a token that is plain in one place decides the others. Loopy
-message passing gives each node's label. Weights are trained here, by pseudo-likelihood
+are linked too, through one hub for each text, so that a token that is plain in one
+place decides all others. Loopy message passing gives each node's label. Weights are trained here, by pseudo-likelihood
 on seeded examples made by rule, once for each call of ``detected``.
 
 Offsets are code points. Patterns run in linear time over texts of any length.
@@ -125,6 +125,8 @@ _SHAPES = [
         r"[$€£]?[0-9]+([.,][0-9]+)*[%€$]?",
     )
 ]
+#: Features of the token itself; the others are of the words before it.
+OF_TOKEN = 1 + len(_SHAPES) + 2
 
 
 def features(token: str, before: str, before2: str) -> np.ndarray:
@@ -206,9 +208,15 @@ def trained(seed: int = 5, steps: int = 400) -> tuple[np.ndarray, float]:
     return w, c
 
 
-def marginals(unary: np.ndarray, edges: list[tuple[int, int]], agree: float, rounds: int = 12) -> np.ndarray:
-    """Beliefs (log) after loopy sum-product message passing with damping; the pair
-    potential is ``agree`` for equal labels and 0 for others."""
+def _through_hub(agree: float) -> float:
+    """The agreement of nodes with a hub that makes two nodes agree as a direct link does."""
+    gain = np.expm1(agree)
+    return float(np.log1p(gain + np.sqrt(gain * gain + len(LABELS) * gain)))
+
+
+def marginals(unary: np.ndarray, edges: list[tuple[int, int]], agree: float, rounds: int = 200) -> np.ndarray:
+    """Beliefs (log) after loopy sum-product message passing with damping, until nothing
+    changes; the pair potential is ``agree`` for equal labels and 0 for others."""
     if not edges:
         return unary
     a, b = (np.array([*(e[i] for e in edges), *(e[1 - i] for e in edges)]) for i in (0, 1))
@@ -232,6 +240,36 @@ def marginals(unary: np.ndarray, edges: list[tuple[int, int]], agree: float, rou
     return belief
 
 
+def _hubs(tokens: list[str], taken: list[bool], unary: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Potentials with those of the hubs behind them, and the links: all occurrences of
+    a token to one hub, and hubs (or single tokens) of similar tokens to another. No
+    occurrence is more than four links from another, and links grow with the nodes only.
+    ``own`` is what the potentials have from the token alone: it is the same evidence
+    in each occurrence, so it counts once, in the hub."""
+    places: dict[str, list[int]] = {}
+    for i, token in enumerate(tokens):
+        places.setdefault(token.lower(), []).append(i)
+    unary, more, edges = unary.copy(), [], []
+    alike: dict[str, list[int]] = {}
+    for token, at in places.items():
+        hub = at[0]
+        if len(at) > 1:
+            hub = len(unary) + len(more)
+            free = [i for i in at if not taken[i]]
+            more.append(own[free[0]] if free else np.zeros(unary.shape[1]))
+            for i in free:
+                unary[i] = unary[i] - own[i]
+            edges.extend((hub, i) for i in at)
+        if key := _similar(token):
+            alike.setdefault(key, []).append(hub)
+    for members in alike.values():
+        if len(members) > 1:
+            hub = len(unary) + len(more)
+            more.append(np.zeros(unary.shape[1]))
+            edges.extend((hub, i) for i in members)
+    return np.concatenate([unary, np.array(more).reshape(-1, unary.shape[1])]), edges
+
+
 def field_spans(text: str, base: list[tuple[str, int, int]], model: tuple[np.ndarray, float]) -> list[tuple[str, int, int]]:
     """What the field labels beside the base; tokens that a base span touches are its."""
     if not _ANY.search(text):
@@ -251,8 +289,8 @@ def field_spans(text: str, base: list[tuple[str, int, int]], model: tuple[np.nda
     if not nodes:
         return []
     w, agree = model
-    unary = np.array([n[3] for n in nodes]) @ w
-    unary -= unary.max(axis=1, keepdims=True)
+    x = np.array([n[3] for n in nodes])
+    unary, own = x @ w, x[:, :OF_TOKEN] @ w[:OF_TOKEN]
     held = sorted((a, b, k) for k, a, b in base)
     taken, j = [], 0
     for i, (a, b, _, _) in enumerate(nodes):
@@ -263,14 +301,9 @@ def field_spans(text: str, base: list[tuple[str, int, int]], model: tuple[np.nda
         if over:  # observed
             unary[i] = -30.0
             unary[i, LABELS.index(over[2])] = 0.0
-    edges, last = [], {}
-    for i, (_, _, token, _) in enumerate(nodes):
-        for key in {token.lower(), _similar(token)} - {""}:
-            if key in last:
-                edges.append((last[key], i))
-            last[key] = i
-    best = marginals(unary, edges, agree).argmax(axis=1)
-    return [(LABELS[k], a, b) for k, (a, b, _, _), own in zip(best.tolist(), nodes, taken) if k and not own]
+    linked, edges = _hubs([n[2] for n in nodes], taken, unary, own)
+    best = marginals(linked, edges, _through_hub(agree))[: len(nodes)].argmax(axis=1)
+    return [(LABELS[k], a, b) for k, (a, b, _, _), held_by in zip(best.tolist(), nodes, taken) if k and not held_by]
 
 
 def _joined(spans) -> str:
