@@ -16,3 +16,15 @@ def test_one_naming_decides_all_occurrences(found, named):
     parts[named] = f"use token = {secret} here"
     assert found(" ".join(parts)) == [("secret", secret)] * 50
     assert not found(" ".join(["and so on then", secret, "again."] * 50))
+
+
+@pytest.mark.parametrize(
+    "kind, number, text",
+    [("id", "DE89 3704 0044 0532 0130 00", "send it to iban {} today"), ("id", "DE89 3704 0044 0532 0130 00", "send it to {} today"), ("phone", "030 1234 5678", "call tel: {} now")],
+)
+def test_groups_of_one_number_decide_together(found, kind, number, text):
+    assert found(text.format(number)) == [(kind, x) for x in number.split()]
+
+
+def test_chains_leave_plain_numbers(found):
+    assert not found("in 1998 2001 2004 and 12 30 45 on 2024-01-02 10:30 12 units")

@@ -2,10 +2,11 @@
 
 Four kinds are found by fixed patterns (the base). Every token with a digit or an at
 sign then is a node of a conditional random field. Its own potentials are log-linear
-in the token's shape and the words before it; neighbouring nodes are chained, and
+in the token's shape and the words before it; nodes with no word between are chained
+by trained transitions, so that the groups of one number decide together, and
 distant nodes with the same or a similar text (the same digits, the same mail domain)
 are linked too, through one hub for each text, so that a token that is plain in one
-place decides all others. Loopy message passing gives each node's label. Weights are trained here, by pseudo-likelihood
+place decides all others. Loopy message passing gives each node's label. Weights are trained here, by likelihood
 on seeded examples made by rule, once for each call of ``detected``.
 
 Offsets are code points. Patterns run in linear time over texts of any length.
@@ -39,6 +40,7 @@ _LONG_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){12}")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _RUN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _TOKEN = re.compile(r"(?<!\S)\S*?[0-9@]\S*")
+_LETTER = re.compile(r"\w")
 _EDGE = "\"'`()[]{}<>.,;:!?|#$%&*=~^“”«»"
 
 
@@ -114,6 +116,7 @@ _SHAPES = [
         r"[0-9]+(\.[0-9]+){1,2}",
         r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
         r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}",
+        r"[A-Z]{2}[0-9]{2}",
         r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
         r"[0-9a-fA-F]{32,}",
         r"(?=.*[A-Za-z])(?=.*[0-9])[A-Za-z0-9_\-./+]{20,}",
@@ -189,23 +192,76 @@ def _examples(rng: random.Random) -> list[tuple[int, str, str, str, bool]]:
     return [(LABELS.index(kind), *rest) for kind, *rest in out]
 
 
-def trained(seed: int = 5, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights of the potentials, and the weight of two linked nodes' agreement, by
-    gradient ascent on the pseudo-likelihood."""
-    examples = _examples(random.Random(seed))
-    x = np.array([features(t, a, b) for _, t, a, b, _ in examples])
-    y = np.array([e[0] for e in examples])
-    linked = np.array([e[4] for e in examples], float)
-    one = np.eye(len(LABELS))[y]
-    w, c = np.zeros((x.shape[1], len(LABELS))), 0.0
+def _sequences(rng: random.Random, examples: list) -> list[list[tuple[int, str, str, str, bool]]]:
+    """Chains of nodes as in ``_examples``, with no word between them."""
+    num = lambda a, b: "".join(rng.choice("0123456789") for _ in range(rng.randint(a, b)))
+    word = lambda: "".join(rng.choice("aeiounrstl") for _ in range(rng.randint(2, 8)))
+    out = []
+
+    def close(labels, tokens, before):
+        words = [*before, *tokens]
+        out.append([(LABELS.index(k), t, words[i + 1], words[i], False) for i, (k, t) in enumerate(zip(labels, tokens))])
+
+    for _ in range(100):
+        plain = (word(), word())
+        iban = [rng.choice(["DE", "FR", "ES", "GB", "NL"]) + num(2, 2), *(num(4, 4) for _ in range(rng.randint(3, 6))), num(1, 3)]
+        close(["id"] * len(iban), iban, rng.choice([plain, (word(), "iban"), (word(), "iban:"), ("iban", ":")]))
+        phone = [rng.choice([num(3, 5), f"({num(3, 3)})"]), *(num(2, 4) for _ in range(rng.randint(1, 3)))]
+        close(["phone"] * len(phone), phone, (word(), rng.choice(["tel:", "phone:", "phone", "tel", "fax", "call"])))
+        for _ in range(3):
+            close([""] * len(t := [num(1, 4) for _ in range(rng.randint(2, 7))]), t, plain)
+        close(["", "", ""], [f"{num(4, 4)}-{num(2, 2)}-{num(2, 2)}", f"{num(1, 2)}:{num(2, 2)}", num(1, 3)], plain)
+        close(["ip", ""], [".".join(str(rng.randint(0, 255)) for _ in range(4)), num(2, 4)], plain)
+        out.append([rng.choice(examples), rng.choice(examples)])
+    return out
+
+
+def trained(seed: int = 5, steps: int = 400) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights of the potentials, the weight of two linked nodes' agreement, and the
+    transitions (label, next label), by gradient ascent on the likelihood of the
+    chains, given the labels of linked nodes."""
+    rng = random.Random(seed)
+    examples = _examples(rng)
+    sequences = [[e] for e in examples] + _sequences(rng, examples)
+    nodes = [e for chain in sequences for e in chain]
+    x = np.array([features(t, a, b) for _, t, a, b, _ in nodes])
+    linked = np.array([e[4] for e in nodes], float)
+    one = np.eye(len(LABELS))[[e[0] for e in nodes]]
+    # places of the nodes of chains longer than one, padded at the end
+    alone = len(examples)
+    long = sequences[alone:]
+    there = np.array([[i < len(chain) for i in range(max(map(len, long)))] for chain in long])
+    padded = np.zeros((*there.shape, len(LABELS)))
+    padded[there] = one[alone:]
+    truth = np.einsum("nta,ntb->ab", padded[:, :-1], padded[:, 1:])
+    w, c, move = np.zeros((x.shape[1], len(LABELS))), 0.0, np.zeros((len(LABELS), len(LABELS)))
+    dw, dc, dmove = 0.0 * w, 0.0, 0.0 * move
     for _ in range(steps):
         z = x @ w + c * linked[:, None] * one
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
+        own, e = np.ones(padded.shape), np.exp(move)
+        own[there] = p[alone:]
+        forth, later = [own[:, 0]], [np.ones(own[:, 0].shape)]
+        for t in range(1, own.shape[1]):
+            f = (forth[-1] @ e) * own[:, t]
+            forth.append(f / f.sum(axis=1, keepdims=True))
+            u = own.shape[1] - t
+            g = (own[:, u] * later[0]) @ e.T
+            later.insert(0, np.where(there[:, u, None], g / g.sum(axis=1, keepdims=True), 1.0))
+        both = np.stack(forth, 1) * np.stack(later, 1)
+        p[alone:] = (both / both.sum(axis=2, keepdims=True))[there]
+        pairs = np.zeros_like(move)
+        for t in range(own.shape[1] - 1):
+            on = there[:, t + 1]
+            q = forth[t][on][:, :, None] * e * (own[on, t + 1] * later[t + 1][on])[:, None, :]
+            pairs += (q / q.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         off = one - p
-        w += 2.0 * (x.T @ off / len(x) - 1e-4 * w)
-        c += 2.0 * float((linked[:, None] * one * off).sum() / len(x) - 1e-4 * c)
-    return w, c
+        dw = 0.9 * dw + 0.5 * (x.T @ off / len(x) - 1e-4 * w)
+        dc = 0.9 * dc + 0.5 * (float((linked[:, None] * one * off).sum()) / len(x) - 1e-4 * c)
+        dmove = 0.9 * dmove + 0.5 * ((truth - pairs) / len(x) - 1e-4 * move)
+        w, c, move = w + dw, c + dc, move + dmove
+    return w, c, move
 
 
 def _through_hub(agree: float) -> float:
@@ -214,14 +270,19 @@ def _through_hub(agree: float) -> float:
     return float(np.log1p(gain + np.sqrt(gain * gain + len(LABELS) * gain)))
 
 
-def marginals(unary: np.ndarray, edges: list[tuple[int, int]], agree: float, rounds: int = 200) -> np.ndarray:
+def marginals(unary: np.ndarray, edges: list[tuple[int, int]], agree: float, chain: list[int] = (), move: np.ndarray | None = None, rounds: int = 200) -> np.ndarray:
     """Beliefs (log) after loopy sum-product message passing with damping, until nothing
-    changes; the pair potential is ``agree`` for equal labels and 0 for others."""
-    if not edges:
+    changes. The pair potential of ``edges`` is ``agree`` for equal labels and 0 for
+    others; nodes i and i + 1 have the transitions ``move`` for every i of ``chain``."""
+    n, follow = len(edges), len(chain)
+    if not n + follow:
         return unary
-    a, b = (np.array([*(e[i] for e in edges), *(e[1 - i] for e in edges)]) for i in (0, 1))
-    half = len(edges)
+    pairs = [*edges, *((i, i + 1) for i in chain)]
+    a, b = (np.array([*(e[i] for e in pairs), *(e[1 - i] for e in pairs)]) for i in (0, 1))
+    half = len(pairs)
     back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
+    skip = np.concatenate([np.arange(n), np.arange(half, half + n)])
+    onward = [(half * side + n + np.arange(follow), np.exp(move.T if side else move)) for side in (0, 1)] if follow else []
     message = np.zeros((2 * half, unary.shape[1]))
     gain = np.expm1(agree)
     for _ in range(rounds):
@@ -230,7 +291,11 @@ def marginals(unary: np.ndarray, edges: list[tuple[int, int]], agree: float, rou
         out = belief[a] - message[back]
         out -= out.max(axis=1, keepdims=True)
         e = np.exp(out)
-        new = np.log(e.sum(axis=1, keepdims=True) + gain * e)
+        new = np.empty_like(e)
+        new[skip] = e[skip].sum(axis=1, keepdims=True) + gain * e[skip]
+        for of, m in onward:
+            new[of] = e[of] @ m
+        new = np.log(new)
         new -= new.max(axis=1, keepdims=True)
         if np.abs(new - message).max() < 1e-4:
             break
@@ -270,7 +335,7 @@ def _hubs(tokens: list[str], taken: list[bool], unary: np.ndarray, own: np.ndarr
     return np.concatenate([unary, np.array(more).reshape(-1, unary.shape[1])]), edges
 
 
-def field_spans(text: str, base: list[tuple[str, int, int]], model: tuple[np.ndarray, float]) -> list[tuple[str, int, int]]:
+def field_spans(text: str, base: list[tuple[str, int, int]], model: tuple[np.ndarray, float, np.ndarray]) -> list[tuple[str, int, int]]:
     """What the field labels beside the base; tokens that a base span touches are its."""
     if not _ANY.search(text):
         return []
@@ -288,7 +353,7 @@ def field_spans(text: str, base: list[tuple[str, int, int]], model: tuple[np.nda
         nodes.append((start, start + len(token), token, seen[key]))
     if not nodes:
         return []
-    w, agree = model
+    w, agree, move = model
     x = np.array([n[3] for n in nodes])
     unary, own = x @ w, x[:, :OF_TOKEN] @ w[:OF_TOKEN]
     held = sorted((a, b, k) for k, a, b in base)
@@ -302,7 +367,9 @@ def field_spans(text: str, base: list[tuple[str, int, int]], model: tuple[np.nda
             unary[i] = -30.0
             unary[i, LABELS.index(over[2])] = 0.0
     linked, edges = _hubs([n[2] for n in nodes], taken, unary, own)
-    best = marginals(linked, edges, _through_hub(agree))[: len(nodes)].argmax(axis=1)
+    # with words between them nodes follow each other by chance: their transitions are none
+    chain = [i for i, (x, y) in enumerate(zip(nodes, nodes[1:])) if y[0] - x[1] <= 4 and not _LETTER.search(text, x[1], y[0])]
+    best = marginals(linked, edges, _through_hub(agree), chain, move)[: len(nodes)].argmax(axis=1)
     return [(LABELS[k], a, b) for k, (a, b, _, _), held_by in zip(best.tolist(), nodes, taken) if k and not held_by]
 
 
