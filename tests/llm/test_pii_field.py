@@ -28,3 +28,17 @@ def test_groups_of_one_number_decide_together(found, kind, number, text):
 
 def test_chains_leave_plain_numbers(found):
     assert not found("in 1998 2001 2004 and 12 30 45 on 2024-01-02 10:30 12 units")
+
+
+HEX = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"
+
+
+@pytest.mark.parametrize("text", ["api_key={}", "password:{}", '{{"token":"{}"}}', '{{"a":1,"token":"{}","user":"x@y.com"}}', "a@b.com:{}", "https://x.com/a?user=1&token={}"])
+def test_secrets_attached_to_something(found, text):
+    for secret in (HEX, "Zk3jH8xQp2mN5vT") if "b.com" not in text else (HEX,):
+        assert found(text.format(secret)) == [("secret", secret)]
+
+
+def test_what_stays_whole(found):
+    assert not found("at 10:30, see 1,234.50 (12) or x=12 y=13, f(a1,b2) at https://x.com/page?id=12")
+    assert not found("x=12 and id=12 and key=12 " * 20)

@@ -40,6 +40,10 @@ _LONG_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){12}")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _RUN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _TOKEN = re.compile(r"(?<!\S)\S*?[0-9@]\S*")
+_CUTS = re.compile(r"[=:\"'`()\[\]{}<>,“”«»]+")
+_PAGE = re.compile(r"https?://[^\s?\"'<>{}]*")
+_PAGE_CUTS = re.compile(r"[=:\"'`()\[\]{}<>,“”«»?&#;]+")
+_WHOLE = re.compile(r"[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?|[$€£]?[0-9]+([.,][0-9]+)*[%€$]?|[0-9A-Fa-f]{2}(:[0-9A-Fa-f]{2})+")
 _LETTER = re.compile(r"\w")
 _EDGE = "\"'`()[]{}<>.,;:!?|#$%&*=~^“”«»"
 
@@ -188,6 +192,8 @@ def _examples(rng: random.Random) -> list[tuple[int, str, str, str, bool]]:
             ("", f"@{word()}", *plain, False),
             ("", f"https://{word()}.com/{num(1, 5)}", *plain, False),
             ("", f"({num(3, 3)})", *plain, False),
+            ("", rng.choice([num(1, 6), f"{word()}{num(1, 3)}", mixed(12, 19)]), f"{word()}{rng.choice('=:')}", word(), False),
+            ("", num(1, 5), f"{trigger('secret')}{rng.choice('=:')}", word(), False),
         ]
     return [(LABELS.index(kind), *rest) for kind, *rest in out]
 
@@ -270,10 +276,10 @@ def _through_hub(agree: float) -> float:
     return float(np.log1p(gain + np.sqrt(gain * gain + len(LABELS) * gain)))
 
 
-def marginals(unary: np.ndarray, edges: list[tuple[int, int]], agree: float, chain: list[int] = (), move: np.ndarray | None = None, rounds: int = 200) -> np.ndarray:
+def marginals(unary: np.ndarray, edges: list[tuple[int, int]], agree: np.ndarray, chain: list[int] = (), move: np.ndarray | None = None, rounds: int = 200) -> np.ndarray:
     """Beliefs (log) after loopy sum-product message passing with damping, until nothing
-    changes. The pair potential of ``edges`` is ``agree`` for equal labels and 0 for
-    others; nodes i and i + 1 have the transitions ``move`` for every i of ``chain``."""
+    changes. The pair potential of ``edges`` is ``agree`` (each its own) for equal
+    labels and 0 for others; nodes i and i + 1 have the transitions ``move`` for every i of ``chain``."""
     n, follow = len(edges), len(chain)
     if not n + follow:
         return unary
@@ -284,7 +290,7 @@ def marginals(unary: np.ndarray, edges: list[tuple[int, int]], agree: float, cha
     skip = np.concatenate([np.arange(n), np.arange(half, half + n)])
     onward = [(half * side + n + np.arange(follow), np.exp(move.T if side else move)) for side in (0, 1)] if follow else []
     message = np.zeros((2 * half, unary.shape[1]))
-    gain = np.expm1(agree)
+    gain = np.expm1(np.tile(agree, 2))[:, None]
     for _ in range(rounds):
         belief = unary.copy()
         np.add.at(belief, b, message)
@@ -305,7 +311,12 @@ def marginals(unary: np.ndarray, edges: list[tuple[int, int]], agree: float, cha
     return belief
 
 
-def _hubs(tokens: list[str], taken: list[bool], unary: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+#: Agreement of occurrences of one token: they are one thing, so that what the token
+#: itself says, which only the hub has, outweighs any words before one of them.
+SAME = 20.0
+
+
+def _hubs(tokens: list[str], taken: list[str], unary: np.ndarray, own: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
     """Potentials with those of the hubs behind them, and the links: all occurrences of
     a token to one hub, and hubs (or single tokens) of similar tokens to another. No
     occurrence is more than four links from another, and links grow with the nodes only.
@@ -322,54 +333,99 @@ def _hubs(tokens: list[str], taken: list[bool], unary: np.ndarray, own: np.ndarr
             hub = len(unary) + len(more)
             free = [i for i in at if not taken[i]]
             more.append(own[free[0]] if free else np.zeros(unary.shape[1]))
+            known = set()
             for i in free:
-                unary[i] = unary[i] - own[i]
+                # the same words before it again are no new evidence either
+                unary[i] = 0.0 if contexts[i] in known else unary[i] - own[i]
+                known.add(contexts[i])
             edges.extend((hub, i) for i in at)
         if key := _similar(token):
             alike.setdefault(key, []).append(hub)
+    n_same = len(edges)
     for members in alike.values():
         if len(members) > 1:
             hub = len(unary) + len(more)
             more.append(np.zeros(unary.shape[1]))
             edges.extend((hub, i) for i in members)
-    return np.concatenate([unary, np.array(more).reshape(-1, unary.shape[1])]), edges
+    return np.concatenate([unary, np.array(more).reshape(-1, unary.shape[1])]), edges, np.arange(len(edges)) < n_same
+
+
+def _pieces(word: str) -> list[tuple[int, str, str]]:
+    """(offset, piece, mark) of a word cut at = : quotes, brackets and commas, and the
+    address of a page at ? and & as well; the mark is the = or : after the piece. Times,
+    numbers and the like stay whole."""
+    left = len(word) - len(word.lstrip(_EDGE))
+    core = word[left:].rstrip(_EDGE)
+    if _WHOLE.fullmatch(core):
+        return [(left, core, "")]
+    out, at, cuts = [], left, _CUTS
+    if (page := _PAGE.match(word, left)) is not None:
+        out.append((left, page[0], ""))
+        at, cuts = page.end(), _PAGE_CUTS
+    for m in cuts.finditer(word, at):
+        if m.start() > at:
+            out.append((at, word[at : m.start()], next((c for c in m[0] if c in "=:"), "")))
+        at = m.end()
+    return [*out, (at, word[at:], "")] if at < len(word) else out
+
+
+def _contexts(word: str) -> list[str]:
+    return [piece + mark for _, piece, mark in _pieces(word)] or [word]
+
+
+def _apart(base: list[tuple[str, int, int]]) -> list[tuple[int, int, str]]:
+    """Base spans in order, the parts of later ones that overlap left out."""
+    out, end = [], 0
+    for a, b, kind in sorted((a, b, k) for k, a, b in base):
+        if b > end:
+            out.append((max(a, end), b, kind))
+            end = b
+    return out
 
 
 def field_spans(text: str, base: list[tuple[str, int, int]], model: tuple[np.ndarray, float, np.ndarray]) -> list[tuple[str, int, int]]:
-    """What the field labels beside the base; tokens that a base span touches are its."""
+    """What the field labels beside the base; the parts of tokens in base spans are its."""
     if not _ANY.search(text):
         return []
-    nodes, seen = [], {}
+    held = _apart(base)
+    nodes, taken, seen, j = [], [], {}, 0
     for m in _TOKEN.finditer(text):
-        token = m[0].lstrip(_EDGE)
-        start = m.end() - len(token)
-        token = token.rstrip(_EDGE)
-        if not token or not _ANY.search(token):
-            continue
-        word = text[max(0, m.start() - 80) : m.start()].split()
-        before, before2 = (word[-1] if word else ""), (word[-2] if len(word) > 1 else "")
-        if (key := (token, before, before2)) not in seen:
-            seen[key] = features(token, before, before2)
-        nodes.append((start, start + len(token), token, seen[key]))
+        near = [x for word in text[max(0, m.start() - 80) : m.start()].split()[-2:] for x in _contexts(word)]
+        for at, piece, mark in _pieces(m[0]):
+            before, before2 = (near[-1] if near else ""), (near[-2] if len(near) > 1 else "")
+            near = [*near[-1:], piece + mark]
+            start, end = m.start() + at, m.start() + at + len(piece)
+            while j < len(held) and held[j][1] <= start:
+                j += 1
+            parts, k = [], j
+            while k < len(held) and held[k][0] < end:
+                parts += [(start, held[k][0], ""), (max(start, held[k][0]), min(end, held[k][1]), held[k][2])]
+                start, k = held[k][1], k + 1
+            for a, b, kind in [*parts, (start, end, "")]:
+                token = text[a:b]
+                if not kind:
+                    token = token.lstrip(_EDGE)
+                    a, token = b - len(token), token.rstrip(_EDGE)
+                if not _ANY.search(token):
+                    continue
+                if (key := (token, before, before2)) not in seen:
+                    seen[key] = features(token, before, before2)
+                nodes.append((a, a + len(token), token, seen[key]))
+                taken.append(kind)
     if not nodes:
         return []
     w, agree, move = model
     x = np.array([n[3] for n in nodes])
     unary, own = x @ w, x[:, :OF_TOKEN] @ w[:OF_TOKEN]
-    held = sorted((a, b, k) for k, a, b in base)
-    taken, j = [], 0
-    for i, (a, b, _, _) in enumerate(nodes):
-        while j < len(held) and held[j][1] <= a:
-            j += 1
-        over = next((h for h in held[j : j + 4] if h[0] < b and h[1] > a), None)
-        taken.append(over is not None)
-        if over:  # observed
+    unary -= unary.max(axis=1, keepdims=True)
+    for i, kind in enumerate(taken):
+        if kind:  # observed
             unary[i] = -30.0
-            unary[i, LABELS.index(over[2])] = 0.0
-    linked, edges = _hubs([n[2] for n in nodes], taken, unary, own)
+            unary[i, LABELS.index(kind)] = 0.0
+    linked, edges, same = _hubs([n[2] for n in nodes], taken, unary, own, [r.tobytes() for r in x[:, OF_TOKEN:]])
     # with words between them nodes follow each other by chance: their transitions are none
     chain = [i for i, (x, y) in enumerate(zip(nodes, nodes[1:])) if y[0] - x[1] <= 4 and not _LETTER.search(text, x[1], y[0])]
-    best = marginals(linked, edges, _through_hub(agree), chain, move)[: len(nodes)].argmax(axis=1)
+    best = marginals(linked, edges, np.where(same, SAME, _through_hub(agree)), chain, move)[: len(nodes)].argmax(axis=1)
     return [(LABELS[k], a, b) for k, (a, b, _, _), held_by in zip(best.tolist(), nodes, taken) if k and not held_by]
 
 
