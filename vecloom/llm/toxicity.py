@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.common import cut, lit_array, slices, table
 
-#: Labelled rows that the lexicon is found in and texts that the classifier is fitted on, at most.
+#: Labelled rows that the lexicon is found in, at most; and distinct votes up to which the classifier is fitted on the driver.
 TRAIN_ROWS, FIT_ROWS = 8_000, 20_000
 #: Voters of the lexicon, the lengths of the word beginnings, and what they must show.
 VOTERS, LENGTHS = 96, range(3, 11)
@@ -223,20 +223,65 @@ def label_model(patterns: DataFrame, told: DataFrame, n_voters: int, share: floa
     return _model(alpha, beta, share, tempered)
 
 
-def _fitted(rows: list, n_voters: int, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels; features are 1 + log of how often each voter speaks."""
-    x, y = np.zeros((len(rows), n_voters)), np.array([r["p"] for r in rows])
-    for i, r in enumerate(rows):
-        for v in r["votes"]:
-            x[i, v["v"]] = 1 + math.log(v["n"])
-    weight = np.array([r["n"] for r in rows], float)
-    weight /= weight.sum()
-    w, b = np.zeros(n_voters), math.log(max(1e-6, weight @ y) / max(1e-6, 1 - weight @ y))
-    scale = 1e-8 + np.sqrt(weight @ (x * x))  # rare voters learn as fast as common ones
+def _blocks(fit: DataFrame) -> DataFrame:
+    """Rows (votes, n, p) packed: how many voters speak in each row, which, and 1 + log of
+    how often; then p and n."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                spoken = batch.column(0)
+                flat = spoken.flatten()
+                sizes = np.diff(spoken.offsets.to_numpy()).astype(np.int64)
+                v, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("v", "n"))
+                parts = [sizes, v.astype(np.int64), 1 + np.log(n.astype(float)), batch.column(2).to_numpy(zero_copy_only=False).astype(float), batch.column(1).to_numpy(zero_copy_only=False).astype(float)]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], ["rows", "sizes", "v", "x", "p", "n"])
+
+    return fit.select("votes", F.col("n").cast("double"), "p").mapInArrow(run, "rows long, sizes binary, v binary, x binary, p binary, n binary")
+
+
+def _sums(block, n_voters: int, at: tuple[np.ndarray, float] | None) -> np.ndarray:
+    """What a block adds to the gradient at (weights, base); without these to the sums of
+    squares of the features, of the soft labels and of the counts."""
+    sizes, v = (np.frombuffer(block[k], np.int64) for k in ("sizes", "v"))
+    x, p, n = (np.frombuffer(block[k], np.float64) for k in ("x", "p", "n"))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    if at is None:
+        return np.append(np.bincount(v, n[row] * x * x, n_voters), [n @ p, n.sum()])
+    off = n * (p - 1 / (1 + np.exp(-(np.bincount(row, x * at[0][v], len(sizes)) + at[1]))))
+    return np.append(np.bincount(v, x * off[row], n_voters), off.sum())
+
+
+def _fitted(blocks: DataFrame, n_voters: int, steps: int = 300, here: int | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels; features are 1 + log of how often each voter
+    speaks. Every row counts: up to ``here`` rows the gradients are summed on the driver,
+    beyond them where the blocks are, and a vector a task comes back."""
+    rows = blocks.agg(F.sum("rows")).first()[0] or 0
+    local = blocks.collect() if rows <= (FIT_ROWS if here is None else here) else None
+
+    def total(at):
+        if local is not None:
+            return np.sum([_sums(r, n_voters, at) for r in local], axis=0)
+
+        def run(batches):
+            out = 0.0
+            for batch in batches:
+                for r in batch.to_pylist():
+                    out = out + _sums(r, n_voters, at)
+            if np.ndim(out):
+                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["s"])
+
+        return np.sum([np.frombuffer(r["s"], np.float64) for r in blocks.mapInArrow(run, "s binary").collect()], axis=0)
+
+    first = total(None)
+    of = first[-1]
+    share = first[-2] / of
+    w, b = np.zeros(n_voters), math.log(max(1e-6, share) / max(1e-6, 1 - share))
+    scale = 1e-8 + np.sqrt(first[:n_voters] / of)  # rare voters learn as fast as common ones
     for _ in range(steps):
-        off = weight * (y - 1 / (1 + np.exp(-(x @ w + b))))
-        w += 4.0 * ((x.T @ off) / scale**2 * np.minimum(1.0, scale * 10) - 1e-5 * w)
-        b += 1.0 * off.sum()
+        off = total((w, b)) / of
+        w = w + 4.0 * (off[:-1] / scale**2 * np.minimum(1.0, scale * 10) - 1e-5 * w)
+        b += 1.0 * off[-1]
         w = np.clip(w, -12, 12)
     return w, float(b)
 
@@ -284,9 +329,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Classifier | None, DataF
     told = cut(spoken.join(F.broadcast(_labelled(labels, rows)), "doc_id").select(voters, F.col("toxic").cast("int")).groupBy("voters", "toxic").agg(F.count(F.lit(1)).alias("n")))
     model = label_model(patterns, told, n_voters, share)
     # texts whose votes are the same are one row with a count
-    order = F.xxhash64(F.lit(SEED), "votes")
-    fit = spoken.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), order).limit(FIT_ROWS).select("votes", "n", model.posterior(F.transform("votes", lambda x: x["v"])).alias("p"))
-    return Classifier(starts, *_fitted(fit.collect(), n_voters)), spoken
+    fit = spoken.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).select("votes", "n", model.posterior(F.transform("votes", lambda x: x["v"])).alias("p"))
+    return Classifier(starts, *_fitted(cut(_blocks(fit)), n_voters)), spoken
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
