@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions.distance import distance, doubles, normalize
-from vecloom.operators.knn import ranked, rounded
+from vecloom.operators.knn import nearest_blocks, ranked, rounded
 from vecloom.sources.files import Store
 from vecloom.types import CorruptionError, Space, ValidationError
 
@@ -27,14 +27,17 @@ SAMPLE = 100_000
 #: Cells, at most: what is broadcast doesn't grow with the vectors.
 CELLS = 4_096
 SEED = 42
+#: Recall that the number of cells is chosen for, and the queries that it is measured on,
+#: at most; a little over 0.9, as other queries differ from the measured ones.
+RECALL, ASKED = 0.92, 200
 _META = "index.json"
 
 
 class IvfIndex:
     """``cells``: a DataFrame (id, embedding, cell), best written partitioned by cell."""
 
-    def __init__(self, centers: np.ndarray, cells: DataFrame, space: Space, count: int):
-        self.centers, self.cells, self.space, self.count = centers, cells, space, count
+    def __init__(self, centers: np.ndarray, cells: DataFrame, space: Space, count: int, nprobe: int | None = None):
+        self.centers, self.cells, self.space, self.count, self.nprobe = centers, cells, space, count, nprobe
 
     @classmethod
     def build(cls, vectors: DataFrame, space: Space | str = Space.L2, k: int | None = None, seed: int = SEED, sample: int = SAMPLE) -> IvfIndex:
@@ -53,7 +56,7 @@ class IvfIndex:
     def save(self, path: str) -> None:
         """Cells as Parquet partitions, and a description that is checked on loading."""
         self.cells.write.partitionBy("cell").parquet(f"{path}/cells")
-        meta = {"space": self.space.value, "count": self.count, "dimension": self.centers.shape[1], "centers": self.centers.tolist()}
+        meta = {"space": self.space.value, "count": self.count, "dimension": self.centers.shape[1], "centers": self.centers.tolist(), "nprobe": self.usual_probes()}
         Store(self.cells.sparkSession, path).put(_META, json.dumps(meta))
 
     @classmethod
@@ -67,23 +70,47 @@ class IvfIndex:
         cells = spark.read.parquet(f"{path}/cells")
         if cells.count() != meta["count"]:
             raise CorruptionError(f"{path} doesn't hold {meta['count']} vectors")
-        return cls(np.array(meta["centers"]), cells, Space.parse(meta["space"]), meta["count"])
+        return cls(np.array(meta["centers"]), cells, Space.parse(meta["space"]), meta["count"], meta.get("nprobe"))
 
     def without(self, ids: DataFrame) -> IvfIndex:
         """The index with some ids left out (deleted or superseded)."""
-        return IvfIndex(self.centers, self.cells.join(ids.select("id").distinct(), "id", "left_anti"), self.space, self.count)
+        return IvfIndex(self.centers, self.cells.join(ids.select("id").distinct(), "id", "left_anti"), self.space, self.count, self.nprobe)
 
     def with_added(self, vectors: DataFrame) -> IvfIndex:
         """The index with more vectors (id, embedding) in the cells that it has; an id
         that is there already is replaced. Centres stay until the index is built again."""
         more = _in_cells(vectors.where("embedding is not null").select("id", "embedding"), self.centers, "id", 1)
         cells = self.cells.join(more.select("id"), "id", "left_anti").unionByName(more)
-        return IvfIndex(self.centers, cells, self.space, cells.count())
+        return IvfIndex(self.centers, cells, self.space, cells.count(), self.nprobe)
 
     def probes(self, ef: int) -> int:
         """Cells that hold about ``ef`` vectors."""
         return max(1, min(len(self.centers), math.ceil(ef * len(self.centers) / self.count)))
 
+    def measured_probes(self, queries: DataFrame, k: int, least: float = RECALL, asked: int = ASKED, selves: bool = True) -> int:
+        """The fewest cells with which a hash-chosen sample of ``queries`` finds the share
+        ``least`` of its exact neighbours; without ``selves`` query_id is the
+        ``_number`` of a stored vector, which isn't its own neighbour."""
+        order = F.xxhash64(F.lit(SEED), F.col("query_id").cast("string"))
+        some = queries.select("query_id", "embedding").where("embedding is not null").orderBy(order, "query_id").limit(asked)
+        placed = some.select("query_id", _placed(self.space).alias("v")).collect()  # bounded by ``asked``
+        exact = nearest_blocks(self.cells.select("id", "embedding"), some, k if selves else k + 1, self.space).select("query_id", "id")
+        if not selves:
+            exact = exact.where(F.col("query_id") != _number(F.col("id")))
+        held = exact.join(self.cells.select("id", "cell"), "id").select("query_id", "cell").collect()
+        if not held:
+            return len(self.centers)
+        square = (self.centers * self.centers).sum(axis=1)
+        turn = {r["query_id"]: np.argsort(np.argsort(square - 2.0 * (self.centers @ np.array(r["v"])), kind="stable")) for r in placed}
+        turns = np.sort([turn[r["query_id"]][r["cell"]] for r in held])
+        return int(turns[math.ceil(least * len(turns)) - 1]) + 1
+
+    def usual_probes(self) -> int:
+        """Cells for searches that don't say how many: measured on stored vectors, once."""
+        if self.nprobe is None:
+            self.nprobe = self.measured_probes(self.cells.select(_number(F.col("id")).alias("query_id"), "embedding"), 10, selves=False)
+        return self.nprobe
+
     def search(self, queries: DataFrame, k: int, nprobe: int | None = None, digits: int | None = None) -> DataFrame:
         """(query_id, rank, id, distance) of ``queries`` (query_id, embedding)."""
         nprobe = len(self.centers) if nprobe is None else nprobe
@@ -95,6 +122,11 @@ class IvfIndex:
         return ranked(pairs, k)
 
 
+def _number(id):
+    """Ids of any type as the numbers that queries are named by."""
+    return F.xxhash64(id.cast("string"))
+
+
 def _placed(space: Space):
     """Where a vector lies among the cells; for cosine only its direction counts."""
     return normalize(F.col("embedding")) if space is Space.COSINE else doubles(F.col("embedding"))

@@ -45,7 +45,7 @@ def search(records: DataFrame, queries: DataFrame, k: int, space: Space, options
     path = choose(n, n if how.where is not None else None, options, True)
     if path in (EXACT, FILTERED):
         return scan(vectors, queries, k, space, digits=how.digits)
-    nprobe = index.probes(how.ef or options.ef_search)
+    nprobe = index.probes(how.ef) if how.ef else max(index.probes(options.ef_search), index.usual_probes())
     fresh = buffered.select("id") if buffered is not None else None
     base = index.without(fresh) if fresh is not None else index
     if path == POST_FILTER:

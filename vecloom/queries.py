@@ -162,10 +162,11 @@ def _nested(spark, d):
 _NESTED_SQL = f"SELECT query_id, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rank) AS ids, count(*) AS n FROM ({_sql_batch('cosine')}) GROUP BY query_id"
 
 
-def _ivf(nprobe: int | None):
+def _ivf(measured: bool):
     def run(spark, d):
         e = _read(spark, d, "embeddings")
         index = IvfIndex.build(e.select(F.col("vec_id").alias("id"), "embedding"), "l2", 16)
+        nprobe = index.measured_probes(_queries(e), K) if measured else None
         return index.search(_queries(e), K, nprobe, DIGITS).withColumnRenamed("id", "vec_id")
 
     return run
@@ -175,7 +176,7 @@ def _postfilter(spark, d):
     e = _read(spark, d, "embeddings")
     index = IvfIndex.build(e.select(F.col("vec_id").alias("id"), "embedding"), "l2", 16)
     eligible = view(spark, d).where(compile_filter({"label": {"$lt": 5}}, ColumnKeys(KEYS), two_valued=False)).select(F.col("vec_id").alias("id"))
-    found = index.search(_queries(e), 4 * K, 8, DIGITS).drop("rank").join(eligible, "id", "left_semi").select("query_id", "id", "distance")
+    found = index.search(_queries(e), 4 * K, index.measured_probes(_queries(e), 4 * K), DIGITS).drop("rank").join(eligible, "id", "left_semi").select("query_id", "id", "distance")
     return ranked(found, K).withColumnRenamed("id", "vec_id")
 
 
@@ -468,8 +469,8 @@ QUERIES = {
     "sql_json_where": _sql('SELECT * FROM v WHERE {"label": {"$in": [1, 2]}, "quality": {"$ne": 0}}'),
     "sql_nearest": _sql(f"SELECT * FROM v NEAREST TO {_UNIT_SQL} LIMIT 5"),
     "sql_nearest_where": _sql(f"SELECT * FROM v NEAREST TO {_UNIT_SQL} WHERE label <> 3 LIMIT 5"),
-    "knn_ivf_all_cells": _ivf(None),
-    "knn_ivf": _ivf(6),
+    "knn_ivf_all_cells": _ivf(False),
+    "knn_ivf": _ivf(True),
     "knn_postfilter_ivf": _postfilter,
     "stream_follower": _follower,
 }
