@@ -149,33 +149,65 @@ def test_packing_plan_is_near_the_bound():
         assert sum(n for _, n in packing.plan(h)) <= bound * (1.01 if top < 1024 else 1.03) + 1
 
 
-def test_ids_equal_the_tokenizers():
-    import random
-
+@pytest.fixture(scope="module")
+def plain_ids():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    plain, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder()
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda text: [*plain.encode(text, add_special_tokens=False).ids, 2]
+
+
+def as_list(held):
+    return [int.from_bytes(held[i : i + 4], "little") for i in range(0, len(held), 4)]
+
+
+def test_ids_equal_the_tokenizers(plain_ids):
+    import random
+
+    own = packing.Encoder()
     rng = random.Random(4)
-    odd = ["", " ", "a  b", " a", "a ", "a\n b", "a \nb", "x<|endoftext|>y z", " <|endoftext|> b", "don't 'll", "a 　 b", "a  b", "é ü", "1 234"]
-    for text in [*odd, *("".join(rng.choice(" \n\tab'é1. ") for _ in range(rng.randint(1, 20))) for _ in range(500))]:
-        assert own.ids(text) == [*plain.encode(text, add_special_tokens=False).ids, 2], repr(text)
+    odd = ["", " ", "a  b", " a", "a ", "a\n b", "a \nb", "x<|endoftext|>y z", " <|endoftext|> b", "a<|endoftext|><|endoftext|>", "don't 'll", "a \u3000 b", "a\u2003 b", "a\x1c b", "a\x85\n\nb", "a\xa0\xa0 b\xa0", "é ü", "1 234", "中文 字", "\u180e x\u180e y", "\U0001f600 \U0001f600"]
+    alphabets = (" \n\tab'é1. ", " \n\x1c\x1f\x85\xa0\u2003\u3000a.", " 中é\u0301ǅǆªº²½×÷\u0250\u1e9e'sS", "<|endoftx> \n")
+    for text in [*odd, *("".join(rng.choice(a) for _ in range(rng.randint(1, 20))) for a in alphabets for _ in range(500))]:
+        assert as_list(own.ids(text)) == plain_ids(text), repr(text)
+
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" + " \n\t" * 700_000 + "b", "\xa0 " * 300_000, "x" * 1_000_000], ids=("spaces", "newlines", "mixed", "odd", "letters"))
+def test_long_runs_have_the_tokenizers_ids(text, plain_ids):
+    assert as_list(packing.Encoder().ids(text)) == plain_ids(text)
 
-def test_packed_documents(docs, rows, clashing, make):
+
+def test_a_forgetful_encoder_is_the_same(monkeypatch, plain_ids, rows):
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
     own = packing.Encoder()
-    got = packing.packed(clashing).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r["doc_id"], []).append(r)
+    for r in rows[:40]:
+        assert as_list(own.ids(r[1] or "")) == plain_ids(r[1] or "")
+
+
+def best_fit(lengths, capacity=1024):
+    """Sequences that plain best-fit decreasing takes, piece by piece."""
+    from bisect import bisect_left, insort
+
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect_left(gaps, n)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        insort(gaps, gap - n)
+    return len(gaps)
+
+
+def check_packed(got, rows, plain_ids):
+    """Every piece of every row's ids, in sequences without gaps or overlaps."""
+    want = Counter()
     for id, text, *_ in rows:
-        ids = own.ids(text or "")
-        found = sorted(by[id], key=lambda r: r["piece"])
-        assert [r["piece"] for r in found] == list(range(len(found)))
-        assert [r["start"] for r in found] == [sum(x["length"] for x in found[:i]) for i in range(len(found))]
-        assert all(r["length"] == 1024 for r in found[1:]) and sum(r["length"] for r in found) == len(ids)
-        assert b"".join(bytes(r["ids"]) for r in found) == b"".join(i.to_bytes(4, "little") for i in ids)
-        assert all(r["ids_crc32"] == zlib.crc32(bytes(r["ids"])) for r in found)
+        ids = plain_ids(text or "")
+        first = len(ids) % 1024 or 1024
+        at = 0
+        for piece, size in enumerate([first, *[1024] * ((len(ids) - first) // 1024)]):
+            want[id, piece, at, size, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[at : at + size]))] += 1
+            at += size
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
     seq = {}
     for r in got:
         seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -185,11 +217,31 @@ def test_packed_documents(docs, rows, clashing, make):
             assert offset == at
             at += length
         assert at <= 1024
+    lengths = [r["length"] for r in got]
+    assert -(-sum(lengths) // 1024) <= len(seq) <= best_fit(lengths) * 1.01 + 1
+
+
+@pytest.mark.parametrize("together", [100_000, 7])
+def test_packed_documents(rows, clashing, make, plain_ids, monkeypatch, together):
+    monkeypatch.setattr(packing, "TOGETHER", together)
+    got = packing.packed(clashing).collect()
+    check_packed(got, rows, plain_ids)
+    assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in got)
+    same = [(None, "a b c")] * 60 + [(1, "a b c")] * 40 + [(2, None), (2, "x " * 3000)]
+    check_packed(packing.packed(make(same), ids=False).collect(), same, plain_ids)
     joined = packing.sequences(packing.packed(make([(1, "a b"), (1, "a b"), (2, None)]))).collect()
     assert len(joined) == 1 and joined[0]["length"] * 4 == len(joined[0]["ids"])
     assert packing.packed(make([])).count() == 0
 
 
+def test_packing_query(spark, plain_ids):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = packing.op5_packing(spark, folder)
+    assert got.dtypes == [("doc_id", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")]
+    check_packed(got.collect(), rows, plain_ids)
+
+
 def test_targets():
     assert mixing.targets({"b": 100, "a": 100, None: 100}) == {"a": 200.0, "b": pytest.approx(500 / 3), None: pytest.approx(250 / 3)}
     sizes = {f"s{i}": 10 * (i + 1) for i in range(9)} | {None: 50}

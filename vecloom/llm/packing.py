@@ -7,8 +7,8 @@ documents there are: pieces above one third of the capacity fit at most twice in
 sequence and are matched greedily, the largest with the largest partner that fits;
 the smaller ones then go, largest first, to the smallest gap that holds them. The
 plan is a list of patterns (lengths side by side, how often). Each piece finds its
-slot by its rank among the pieces of its length; ranks are counted in salted parts,
-so that one length that a third of all pieces share is not ordered by one task.
+slot by its rank among the pieces of its length; ranks are counted in salted parts
+whose number grows with the pieces of that length, so that no task orders them all.
 
 Defined results: a null or empty text is one piece that holds the end token alone;
 repeated rows are packed as often as they occur; an empty table packs nothing; other
@@ -17,7 +17,10 @@ columns are ignored.
 
 from __future__ import annotations
 
-import base64
+import re
+import sys
+import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from itertools import accumulate
@@ -31,82 +34,120 @@ from vecloom.llm.common import cut, slices, table
 
 CAPACITY = 1024
 END = 2
-SALTS = 256
+#: Pieces of one length that one task puts in order; more are dealt to several.
+TOGETHER = 100_000
 #: Chunks of text whose ids a worker remembers; a full memory is emptied.
 REMEMBERED = 200_000
 
 
 class Encoder:
-    """Ids as the byte-level BPE file gives them.
-
-    Between a space and a character that isn't white space the vocabulary's pattern
-    always splits, so a text without runs of white space after a space is a sequence
-    of independent chunks, most of which repeat. Other texts are encoded whole.
+    """Ids as the named tokenizer gives them, remembered by chunk.
+
+    The tokenizer's own pattern never goes from a character that isn't white space to
+    one that is, so a text is a sequence of independent chunks, each some white space
+    with what follows it. A chunk that isn't known yet is divided by that pattern, and
+    each piece is merged by the tokenizer's model. Chunks of characters whose classes
+    depend on the version of Unicode, or that hold a special token, go through the whole
+    tokenizer, as do texts in which other white space stands before a chunk's end.
     """
 
     def __init__(self, name: str = "byte_bpe_50k", end: int = END):
         import public_tokenizers
-        import tiktoken
-
-        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self._encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
-        self._known: dict[str, list[int]] = {}
-        self._end = end
-
-    def whole(self, text: str) -> list[int]:
-        return self._encoding.encode(text, allowed_special="all")
-
-    def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        chunks = text.split(" ")
-        if "" in chunks or any(x in text for x in _AFTER_SPACE):
-            out = self.whole(text)
-        else:
-            known, add = self._known, out.extend
-            if len(known) > REMEMBERED:
-                known.clear()
-            first = True
-            for chunk in chunks:
-                if first:
-                    add(self.whole(chunk))
-                    first = False
-                    continue
-                got = known.get(chunk)
-                if got is None:
-                    got = self.whole(" " + chunk)
-                    if len(chunk) < 64:
-                        known[chunk] = got
-                add(got)
-        out.append(self._end)
-        return out
-
-
-#: White space after a space, as far as it is one character long: then chunks depend on each other.
-_AFTER_SPACE = [" " + chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-
-
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k", end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids): ids are little-endian unsigned 32-bit."""
+        import regex
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._model, self._split = self._tokenizer.model, regex.compile(public_tokenizers.PATTERN).findall
+        self._letters = _byte_letters()
+        self._chunks: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+        self._end = _packed([end])
+
+    def whole(self, text: str) -> bytes:
+        return _packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        got = self._pieces.get(piece)
+        if got is None:
+            got = _packed([t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))])
+            if len(piece) < 64:
+                _remember(self._pieces, piece, got)
+        return got
+
+    def _chunk(self, chunk: str) -> bytes:
+        got = self._chunks.get(chunk)
+        if got is None:
+            if _STABLE.fullmatch(chunk) and not any(t in chunk for t in self._special):
+                got = b"".join(map(self._piece, self._split(chunk)))
+            else:
+                got = self.whole(chunk)
+            if len(chunk) < 64:
+                _remember(self._chunks, chunk, got)
+        return got
+
+    def ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids, the end token's last."""
+        if _ODD_END.search(text):
+            return self.whole(text) + self._end
+        chunks = _CHUNK.findall(text)
+        try:
+            return b"".join(map(self._chunks.__getitem__, chunks)) + self._end
+        except KeyError:
+            return b"".join(map(self._chunk, chunks)) + self._end
+
+
+_CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: Other white space right before one of these four: there chunks depend on each other.
+_ODD_END = re.compile(r"[^\S \t\n\r][ \t\n\r]")
+#: Characters that are letters, digits, white space or neither in every version of Unicode alike.
+_STABLE = re.compile("[ -~\\t\\n\\rÀ-ɏ]*")
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def _remember(memory: dict, key: str, value: bytes) -> None:
+    if len(memory) >= REMEMBERED:
+        memory.clear()
+    memory[key] = value
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes
+    for themselves, the others by letters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in shown)
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(others)}
+
+
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k", end: int = END, ids: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, ids): ids are little-endian unsigned
+    32-bit, and are null without ``ids``."""
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
 
     def run(batches):
-        import numpy as np
-
         encoder = Encoder(tokenizer, end)
         for batch in batches:
             for part in slices(batch, 128):
-                rows: list[list] = [[], [], [], [], []]
+                rows: list[list] = [[] for _ in kinds]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    ids = np.array(encoder.ids(text.as_py() or ""), "<u4")
-                    at = 0
-                    for piece in range(-(-len(ids) // capacity)):
-                        size = (len(ids) - at) % capacity or capacity
-                        for column, value in zip(rows, (doc, piece, at, size, ids[at : at + size].tobytes())):
+                    held = encoder.ids(text.as_py() or "")
+                    n, at = len(held) // 4, 0
+                    for piece in range(-(-n // capacity)):
+                        size = (n - at) % capacity or capacity
+                        own = held[4 * at : 4 * (at + size)]
+                        for column, value in zip(rows, (doc, piece, at, size, zlib.crc32(own), own if ids else None)):
                             column.append(value)
                         at += size
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "piece", "start", "length", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -196,30 +237,31 @@ def _slots(patterns) -> list[tuple[int, int, int, int, int, int]]:
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``rows`` (doc_id, piece, length, ...) with sequence_id and offset."""
     spark = rows.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS))
-    rows = cut(rows.withColumn("salt", salt))
-    counted = cut(rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
-    histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    slots = _slots(plan(histogram, capacity))
-    before = counted.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    of = W.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    ranked = rows.withColumn("own", F.row_number().over(of) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "salt")
+    # written, so that a row's place among its equals stays the same when tasks run again
+    rows = cut(rows.withColumn("mix", F.xxhash64(F.monotonically_increasing_id())))
+    histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     # the slots of one length lie side by side from rank 0, so a search in their first ranks finds a piece's own
     by_length: dict[int, list] = {}
-    for size, start, _, sequence, offset in slots:
+    for size, start, _, sequence, offset in _slots(plan(histogram, capacity)):
         by_length.setdefault(size, []).append((start, sequence, offset))
-    found = spark.createDataFrame([(k, [x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for k, v in by_length.items()], "length long, starts array<long>, firsts array<long>, offsets array<long>")
+    told = [(k, -(-histogram[k] // TOGETHER), [x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for k, v in by_length.items()]
+    found = F.broadcast(spark.createDataFrame(told, "length long, salts long, starts array<long>, firsts array<long>, offsets array<long>"))
+    salted = rows.join(found.select("length", "salts"), "length").withColumn("salt", F.pmod("mix", "salts")).drop("salts")
+    counted = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = counted.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
+    own = F.row_number().over(W.partitionBy("length", "salt").orderBy("mix")) - 1
+    ranked = salted.withColumn("own", own).join(before, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "salt", "mix")
     # halvings find one of up to 2^20 slots; the plan of one length is far smaller
     steps = F.array(*[F.lit(1 << k) for k in range(19, -1, -1)])
     low = F.aggregate(steps, F.lit(0), lambda lo, k: F.when(F.get("starts", lo + k) <= F.col("rank"), lo + k).otherwise(lo))
-    placed = ranked.join(F.broadcast(found), "length").withColumn("at", low)
-    return placed.withColumn("sequence_id", F.get("firsts", F.col("at")) + F.col("rank") - F.get("starts", F.col("at"))).withColumn("offset", F.get("offsets", F.col("at"))).drop("at", "rank", "starts", "firsts", "offsets")
+    placed = ranked.join(found, "length").withColumn("at", low)
+    return placed.withColumn("sequence_id", F.get("firsts", F.col("at")) + F.col("rank") - F.get("starts", F.col("at"))).withColumn("offset", F.get("offsets", F.col("at"))).drop("at", "rank", "starts", "firsts", "offsets", "salts")
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k", end: int = END, ids: bool = True) -> DataFrame:
     """All pieces with their ids (``ids``: little-endian unsigned 32-bit) and places.
     Without ``ids`` only their CRC-32 is kept."""
-    rows = pieces(docs, capacity, tokenizer, end).withColumn("ids_crc32", F.crc32("ids"))
+    rows = pieces(docs, capacity, tokenizer, end, ids)
     return pack(rows if ids else rows.drop("ids"), capacity)
 
 
