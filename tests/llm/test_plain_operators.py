@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from vecloom.llm import licenses, mixing, packing, pii, quality, simhash
 
@@ -279,6 +280,115 @@ def test_mix(docs, rows, clashing, make):
     assert mixing.mix(make([])).count() == 0 and mixing.mix(make([(1, None)])).first()["copies"] == 0
 
 
+def plain_mix(rows):
+    """(size, source_size, target) of every row, and the words that each source should give."""
+    size = [len(WORD.findall(r[1] or "")) for r in rows]
+    totals = Counter()
+    for n, r in zip(size, rows):
+        totals[r[3]] += n
+    ordered = sorted((s for s in totals if s is not None), key=str.encode) + [None] * (None in totals)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(ordered)}
+    # by halving: the level at which sources that aren't full give 150 % together
+    low, high = 0.0, 4.0 * sum(totals.values()) + 1
+    goal = min(1.5 * sum(totals.values()), 2.0 * sum(totals.values()))
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * totals[s], level * weight[s]) for s in ordered) < goal else (low, level)
+    return [(n, totals[r[3]], min(2 * totals[r[3]], low * weight[r[3]])) for n, r in zip(size, rows)]
+
+
+def check_mix(got, rows):
+    want = plain_mix(rows)
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    assert sorted(((r["doc_id"], r["size"], r["source_size"]) for r in got), key=key) == sorted(((r[0], n, s) for r, (n, s, _) in zip(rows, want)), key=key)
+    target, taken, largest = {}, Counter(), Counter()
+    source = {}
+    for r, (n, _, t) in zip(rows, want):
+        target[r[3]], largest[r[3]] = t, max(largest[r[3]], n)
+        source[r[0]] = r[3]
+    for r in got:
+        assert r["taken"] in (0, r["size"], 2 * r["size"]) and r["target"] == pytest.approx(target[source[r["doc_id"]]], abs=1e-6)
+        taken[source[r["doc_id"]]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6 for s in target)
+
+
+def test_mixing_query(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = mixing.op9_mixing(spark, folder)
+    assert got.dtypes[:5] == [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")]
+    check_mix(got.collect(), rows)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mixing.op9_mixing(spark, folder).collect()))
+
+
+@pytest.mark.parametrize("case", ["equal", "null_ids", "zeros"])
+def test_rows_that_repeat_are_taken_one_by_one(make, case):
+    text = "a b c d"
+    if case == "equal":
+        rows = [(1, text, "en", "a", 7)] * 1000 + [(2, "w " * 50, "en", "b", 1)] * 40
+    elif case == "null_ids":
+        rows = [(None, text, "en", "a", 7)] * 300 + [(None, "x y", "en", "a", 7)] * 200
+    else:
+        rows = [(1, text, "en", "a", 7)] * 20 + [(i, None, "en", "a", 0) for i in range(200)] + [(500 + i, "x " * 30, "en", "a", 0) for i in range(9)]
+    df = make(rows).repartition(5)
+    got = mixing.mix(df)
+    check_mix(got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")).collect(), rows)
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == sum((Counter({(r["doc_id"], r["text"]): r["copies"]}) for r in got.join(df.select(F.col("doc_id").alias("d"), "text", F.size(F.split("text", " ")).alias("w")).distinct(), F.expr("doc_id <=> d and (size = w or size = w - 1)")).select("doc_id", "text", "copies").collect()), Counter())
+
+
+def test_flow_costs_what_the_cheapest_does():
+    """Overlapping patterns against a linear program solved by trying all whole flows."""
+    import random
+    from itertools import product
+
+    rng = random.Random(8)
+    for _ in range(25):
+        patterns = rng.sample([("x",), ("y",), ("x", "y"), ("y", "z"), ("z",)], 3)
+        capacity = {p: rng.randint(1, 3) for p in patterns}
+        sources = sorted({s for p in patterns for s in p})
+        quota = {s: rng.randint(0, 4) for s in sources}
+        arcs = [(p, s) for p in patterns for s in p]
+        best = None
+        for amounts in product(range(5), repeat=len(arcs)):
+            given = dict(zip(arcs, amounts))
+            of = {p: sum(n for (q, _), n in given.items() if q == p) for p in patterns}
+            to = {s: sum(n for (_, t), n in given.items() if t == s) for s in sources}
+            if any(of[p] > 2 * capacity[p] for p in patterns) or any(to[s] > quota[s] for s in sources):
+                continue
+            key = (-sum(to.values()), sum(max(0, of[p] - capacity[p]) for p in patterns))
+            best = min(best or key, key)
+        got = mixing.flow(capacity, quota)
+        of = {p: sum(n for (q, _), n in got.items() if q == p) for p in patterns}
+        to = {s: sum(n for (_, t), n in got.items() if t == s) for s in sources}
+        assert all(of[p] <= 2 * capacity[p] + 1e-6 for p in patterns) and all(to[s] <= quota[s] + 1e-6 for s in sources)
+        assert (-sum(to.values()), sum(max(0, of[p] - capacity[p]) for p in patterns)) == pytest.approx(best)
+
+
+def test_overlapping_sources(spark):
+    import random
+
+    rng = random.Random(3)
+    choices = [["a"], ["b"], ["a", "b"], ["b", "c"], ["c", "a", "b"], None]
+    rows = [(i, " ".join(["w"] * rng.randint(1, 30)), rng.choice(choices)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    got = mixing.mix(df).collect()
+    sizes, capacity = Counter(), Counter()
+    for _, t, s in rows:
+        p = tuple(sorted(s)) if s else (None,)
+        capacity[p] += len(t.split())
+        for x in p:
+            sizes[x] += len(t.split())
+    flow = mixing.flow(dict(capacity), mixing.targets(dict(sizes)))
+    want, taken = Counter(), Counter()
+    for (p, _), n in flow.items():
+        want[p] += n
+    for r in got:
+        taken[tuple(r["pattern"])] += r["size"] * r["copies"]
+    assert all(abs(taken[p] - want[p]) <= 15 + 1e-6 for p in capacity)
+
+
 def test_fingerprint_by_the_bit():
     import xxhash
 

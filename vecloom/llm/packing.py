@@ -36,72 +36,64 @@ CAPACITY = 1024
 END = 2
 #: Pieces of one length that one task puts in order; more are dealt to several.
 TOGETHER = 100_000
-#: Chunks of text whose ids a worker remembers; a full memory is emptied.
+#: Pieces of text whose ids a worker remembers; a full memory is emptied.
 REMEMBERED = 200_000
 
 
 class Encoder:
-    """Ids as the named tokenizer gives them, remembered by chunk.
-
-    The tokenizer's own pattern never goes from a character that isn't white space to
-    one that is, so a text is a sequence of independent chunks, each some white space
-    with what follows it. A chunk that isn't known yet is divided by that pattern, and
-    each piece is merged by the tokenizer's model. Chunks of characters whose classes
-    depend on the version of Unicode, or that hold a special token, go through the whole
-    tokenizer, as do texts in which other white space stands before a chunk's end.
+    """Ids as the named tokenizer gives them, remembered by piece.
+
+    A text is divided as the tokenizer's own pattern does it, and each piece that isn't
+    known yet is merged by the tokenizer's model. In texts with characters whose classes
+    depend on the version of Unicode, or that hold a special token, the whole tokenizer
+    reads chunks instead: some white space with what follows it, as the pattern never
+    goes from a character that isn't white space to one that is. Where other white space
+    stands before a chunk's end, it reads the text as a whole.
     """
 
     def __init__(self, name: str = "byte_bpe_50k", end: int = END):
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._model, self._split = self._tokenizer.model, regex.compile(public_tokenizers.PATTERN).findall
-        self._letters = _byte_letters()
-        self._chunks: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self._special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self._end = _packed([end])
-
-    def whole(self, text: str) -> bytes:
-        return _packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _piece(self, piece: str) -> bytes:
-        got = self._pieces.get(piece)
-        if got is None:
-            got = _packed([t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))])
-            if len(piece) < 64:
-                _remember(self._pieces, piece, got)
-        return got
-
-    def _chunk(self, chunk: str) -> bytes:
-        got = self._chunks.get(chunk)
-        if got is None:
-            if _STABLE.fullmatch(chunk) and not any(t in chunk for t in self._special):
-                got = b"".join(map(self._piece, self._split(chunk)))
-            else:
-                got = self.whole(chunk)
-            if len(chunk) < 64:
-                _remember(self._chunks, chunk, got)
-        return got
+        model, letters = tokenizer.model, _byte_letters()
+        self._whole = lambda text: _packed(tokenizer.encode(text, add_special_tokens=False).ids)
+        self._pieces = _Known(lambda piece: _packed([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]))
+        self._chunks = _Known(self._whole)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, the end token's last."""
+        if _STABLE.fullmatch(text) and not any(t in text for t in self._special):
+            return b"".join(map(self._pieces.__getitem__, _PIECE.findall(text))) + self._end
         if _ODD_END.search(text):
-            return self.whole(text) + self._end
-        chunks = _CHUNK.findall(text)
-        try:
-            return b"".join(map(self._chunks.__getitem__, chunks)) + self._end
-        except KeyError:
-            return b"".join(map(self._chunk, chunks)) + self._end
+            return self._whole(text) + self._end
+        return b"".join(map(self._chunks.__getitem__, _CHUNK.findall(text))) + self._end
+
+
+class _Known(dict):
+    """What ``make`` gives for short strings, remembered; a full memory is emptied."""
+
+    def __init__(self, make):
+        self._make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self._make(key)
+        if len(key) < 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = value
+        return value
 
 
 _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Other white space right before one of these four: there chunks depend on each other.
 _ODD_END = re.compile(r"[^\S \t\n\r][ \t\n\r]")
+#: The tokenizer's pattern for texts of such characters as ``_STABLE`` has.
+_PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ɏ0-9]+|\s+(?!\S)|\s+")
 #: Characters that are letters, digits, white space or neither in every version of Unicode alike.
-_STABLE = re.compile("[ -~\\t\\n\\rÀ-ɏ]*")
+_STABLE = re.compile("[ -~\\t\\n\\rÀ-ɏ\u2010-\u2027\u2030-\u205e]*")
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -111,12 +103,6 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-def _remember(memory: dict, key: str, value: bytes) -> None:
-    if len(memory) >= REMEMBERED:
-        memory.clear()
-    memory[key] = value
-
-
 def _byte_letters() -> dict[int, int]:
     """The letter that stands for each byte in a byte-level vocabulary: printable bytes
     for themselves, the others by letters from 256 on."""
