@@ -45,14 +45,23 @@ def plain_groups(ids, fps, radius=3):
 def test_near_duplicates(docs, rows, clashing, make):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(clashing).collect()}
     assert got == plain_groups([r[0] for r in rows], [simhash.fingerprint(r[1]) for r in rows])
-    kept = simhash.keep_one(docs).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted(set(got.values())) and simhash.keep_one(clashing).columns == clashing.columns
+    keep = lambda df: simhash.keep_one(df, simhash.near_duplicates(df))
+    assert sorted(r["doc_id"] for r in keep(docs).collect()) == sorted(set(got.values())) and keep(clashing).columns == clashing.columns
     odd = make([(1, "a b c"), (1, "a b c"), (None, "x y z"), (None, "x y z"), (2, None), (3, "")])
-    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in simhash.keep_one(odd).collect()) == [(False, 1), (False, 2), (True, None)]
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in keep(odd).collect()) == [(False, 1), (False, 2), (True, None)]
     assert simhash.near_duplicates(make([])).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [4096, 4])
+def test_simhash_query(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    fps = [simhash.fingerprint(r["text"]) for r in rows]
+    want = plain_groups([r["doc_id"] for r in rows], fps)
+    got = simhash.op3_simhash(spark, folder).collect()
+    assert sorted(map(tuple, got)) == sorted((r["doc_id"], f"{fp:016x}", want[r["doc_id"]]) for r, fp in zip(rows, fps))
+
+
+@pytest.mark.parametrize("bucket", [4096, 64, 4, 1])
 def test_links_join_all_pairs_within_the_radius(spark, bucket):
     """A dense group, pairs at each distance, and noise; small buckets are divided."""
     rng = random.Random(12)

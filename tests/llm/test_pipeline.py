@@ -21,7 +21,7 @@ def test_stages_keep_their_promises(spark):
     assert b.columns == columns and all(r["text"] == edited[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in b.collect())
     assert {i for i, t in edited.items() if t.strip()} == {r["doc_id"] for r in b.collect()}
     c = stages["simhash_dedup"](spark, b, FOLDER).cache()
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(b).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_texts(b).collect()}
     assert c.columns == columns and {r["doc_id"] for r in c.collect()} == set(groups.values())
     d = stages["mixing"](spark, c, FOLDER).cache()
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(c).collect() if r["copies"]}

@@ -17,27 +17,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name that driver and executors can all reach.
-
-    It lies under ``spark.checkpoint.dir``. Only where that setting is missing
-    (tests on one machine) a temporary folder is set in its place.
-    """
+    """A new folder name that driver and executors can all reach, under
+    ``spark.checkpoint.dir``. Only a session on one machine may do without the setting."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if base is None:
+        if not context._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="vecloom-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/vecloom-{uuid.uuid4().hex}"
 
 
+#: Tables that ``cut`` has written and nobody has deleted.
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: a short lineage, and
-    rows that stay the same when a lost executor's tasks run again."""
+    rows that stay the same when a lost executor's tasks run again. The table stays
+    until ``release``, as results are read from it later."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """The place in the list of written tables, for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables written since ``mark`` said so, but those that ``keep`` reads.
+    To be called once the results that were made of them are written."""
+    used = set() if keep is None else {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in keep.inputFiles()}
+    kept = []
+    for path in _written[since:]:
+        if path.rsplit("/", 1)[1] in used:
+            kept.append(path)
+        else:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written[since:] = kept
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -71,7 +95,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = big.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = big.join(least, big.a == least.k).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = cut(small.select("e.a", "e.b").where("a <> b").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 1_000_003)).first()
+        # whole sums of 64-bit hashes, in decimals, which don't overflow
+        whole = lambda h: F.sum(h.cast("decimal(20,0)"))
+        now = edges.agg(F.count(F.lit(1)), whole(F.xxhash64("a", "b")), whole(F.xxhash64("b", "a"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = now

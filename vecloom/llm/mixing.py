@@ -17,8 +17,8 @@ each pattern; rows are compared with it where they lie.
 
 Defined results: a null text has no words, and no words are taken of it; a null
 source is a source of its own, after all others; repeated rows are selected each by
-itself, ties in the order being broken by size; with nothing to mix every target is
-zero; an empty table gives an empty result; other columns are ignored by ``mix``.
+itself, as many of them as reach the target, no matter which; with nothing to mix
+every target is zero; an empty table gives an empty result; other columns are ignored by ``mix``.
 """
 
 from __future__ import annotations
@@ -60,7 +60,8 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE,
         for s in full:
             out[s] = float(repeats * sizes[s])
             total -= out[s]
-            free.remove(s)
+        gone = set(full)
+        free = [s for s in free if s not in gone]
     return out
 
 
@@ -129,14 +130,15 @@ def _placed(docs: DataFrame, sources: str, seed: int) -> DataFrame:
     part = F.pmod(F.shiftrightunsigned(h, 40), F.lit(PARTS)).cast("int")
     size = n_words(F.col("text"))
     # arrays with a null in them never equal each other in a join, so the key is text
-    columns = {"__mix_size": size, "__mix_pattern": pattern, "__mix_key": F.to_json(F.struct(pattern.alias("pattern"))), "__mix_at": F.struct(part.alias("part"), h.alias("h"), size.alias("size"), F.col("doc_id").cast("long").alias("doc_id"))}
+    columns = {"__mix_size": size, "__mix_pattern": pattern, "__mix_key": F.to_json(F.struct(pattern.alias("pattern"))), "__mix_at": F.struct(part.alias("part"), h.alias("h"), size.alias("size"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("of"))}
     return docs.withColumns(columns)
 
 
 def planned(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
     """One row for each pattern: key, source_size and target (of its first source),
-    full (how often all its documents are taken) and last (the place in the order up
-    to which they are taken once more). ``rows`` has the columns of ``_placed``."""
+    full (how often all its documents are taken), last (the place in the order up to
+    which they are taken once more) and ties, how many rows at that place are, where
+    not all of them are. ``rows`` has the columns of ``_placed``."""
     rows = rows.select(F.col("__mix_key").alias("key"), F.col("__mix_pattern").alias("pattern"), F.col("__mix_at").alias("at"))
     counted = cut(rows.groupBy("key", F.col("at.part").alias("part")).agg(F.sum("at.size").alias("sum"), F.first("pattern").alias("pattern")))
     known = counted.groupBy("key").agg(F.sum("sum").alias("sum"), F.first("pattern").alias("pattern")).collect()  # one row a pattern
@@ -160,20 +162,41 @@ def planned(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int
     parts = counted.select("key", "part", "sum", upto.alias("upto")).join(F.broadcast(plan), "key").where("upto - sum < rest")
     whole = parts.where("upto <= rest").groupBy("key").agg(F.max("part").alias("whole"))
     edge = parts.where("upto > rest").select("key", "part", (F.col("upto") - F.col("sum")).alias("before"), "rest")
+    # rows that repeat each other are one place in the order, with a count
+    inside = rows.select("key", "at", F.col("at.part").alias("part")).join(F.broadcast(edge), ["key", "part"])
+    places = inside.groupBy("key", "at").agg(F.count(F.lit(1)).alias("n"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     within = W.partitionBy("key").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    ends = F.col("before") + F.sum("at.size").over(within)
-    inside = rows.select("key", "at", F.col("at.part").alias("part")).join(F.broadcast(edge), ["key", "part"]).withColumn("ends", ends)
+    size = F.col("at.size")
+    begin = F.col("before") + F.sum(F.col("n") * size).over(within) - F.col("n") * size
     # a document is taken if that brings the sum nearer to what is still wanted
-    last = inside.where(F.col("ends") - F.col("at.size") / 2 < F.col("rest")).groupBy("key").agg(F.max("at").alias("last"))
-    return plan.join(whole, "key", "left").join(last, "key", "left").select("key", "source_size", "target", "full", "whole", "last")
+    some = F.when(size > 0, F.least(F.col("n"), F.ceil((F.col("rest") - begin) / size - F.lit(0.5)))).when(begin < F.col("rest"), F.col("n"))
+    taken = places.withColumn("some", some).where("some > 0").groupBy("key").agg(F.max_by(F.struct("at", "n", "some"), "at").alias("end"))
+    last = taken.select("key", F.col("end.at").alias("last"), F.when(F.col("end.some") < F.col("end.n"), F.col("end.some")).alias("ties"))
+    return plan.join(whole, "key", "left").join(last, "key", "left").select("key", "source_size", "target", "full", "whole", "last", "ties")
 
 
 def _decided(placed: DataFrame, plan: DataFrame) -> DataFrame:
     """``placed`` with the plan of its pattern and ``__mix_copies``."""
-    plan = F.broadcast(cut(plan).withColumnsRenamed({c: f"__mix_p_{c}" for c in plan.columns}))
-    told = placed.join(plan, F.col("__mix_key") == F.col("__mix_p_key"))
+    plan = cut(plan).withColumnsRenamed({c: f"__mix_p_{c}" for c in plan.columns})
+    split = not plan.where("__mix_p_ties is not null").isEmpty()
+    told = placed.join(F.broadcast(plan), F.col("__mix_key") == F.col("__mix_p_key"))
     more = F.coalesce(F.col("__mix_at.part") <= F.col("__mix_p_whole"), F.lit(False)) | F.coalesce(F.col("__mix_at") <= F.col("__mix_p_last"), F.lit(False))
-    return told.withColumn("__mix_copies", F.when(F.col("__mix_size") > 0, F.col("__mix_p_full") + more.cast("int")).otherwise(0))
+    copies = lambda more: F.when(F.col("__mix_size") > 0, F.col("__mix_p_full") + more.cast("int")).otherwise(0)
+    if not split:
+        return told.withColumn("__mix_copies", copies(more))
+    tied = F.coalesce((F.col("__mix_at") == F.col("__mix_p_last")) & F.col("__mix_p_ties").isNotNull(), F.lit(False))
+    numbered = _numbered(told.where(tied), "__mix_key").withColumn("__mix_copies", copies(F.col("__mix_no") <= F.col("__mix_p_ties"))).drop("__mix_no")
+    return told.where(~tied).withColumn("__mix_copies", copies(more)).unionByName(numbered)
+
+
+def _numbered(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with __mix_no, their number among those of their key from 1. They are
+    written, and numbered by the parts that they are read in, so no task has all of them."""
+    rows = cut(rows).withColumns({"__mix_of": F.spark_partition_id(), "__mix_no": F.monotonically_increasing_id()})
+    counted = rows.groupBy(key, "__mix_of").agg(F.count(F.lit(1)).alias("__mix_n"))
+    before = counted.select(key, "__mix_of", (F.sum("__mix_n").over(W.partitionBy(key).orderBy("__mix_of")) - F.col("__mix_n")).alias("__mix_before"))
+    own = rows.withColumn("__mix_no", F.row_number().over(W.partitionBy(key, "__mix_of").orderBy("__mix_no")).cast("long"))
+    return own.join(before, [key, "__mix_of"]).withColumn("__mix_no", F.col("__mix_no") + F.col("__mix_before")).drop("__mix_of", "__mix_before")
 
 
 def mix(docs: DataFrame, sources: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:

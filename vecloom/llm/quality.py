@@ -6,7 +6,7 @@ All of it is built-in functions: no user functions, no shuffle, one narrow stage
 
 Defined results: a null or blank text has no words and fails the base rule; repeated
 rows are judged each on their own; an empty table gives an empty result; other
-columns pass through ``measures`` only if they are selected after it.
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from vecloom.llm import licenses, linededup, mixing, packing, pii, quality, simhash, spotsigs, toxicity, warc
 
 QUERIES = {
@@ -16,7 +15,6 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc": warc.op10_warc,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

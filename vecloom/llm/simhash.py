@@ -9,6 +9,15 @@ larger maximum coordinate difference rules a pair out. Survivors are verified bi
 by bit. Pivot distances alone can't bring candidates together without all pairs
 (one pivot lets about half of random pairs pass), hence the blocks.
 
+Fingerprints of texts whose five-word shingles are 0.8 alike differ in 10 bits on
+average and in 4 to 14 and more now and then; blocks for such radii are so short that
+their buckets grow with the square of the rows. ``near_texts`` therefore brings texts
+together by bands of minima of the same hashes, discards by the same pivot table at a
+wide radius, and verifies on the shingles. Two sets that are 0.8 alike share one of 24
+bands of five minima with probability 0.9999; fingerprints of such sets differ by more
+than 26 bits with a probability of about one in 100,000 for sets of five shingles and
+less for larger ones.
+
 Defined results: a null text counts as empty; a text without words has fingerprint 0
 and links like any other; repeated rows share a fingerprint and a component; a null
 doc_id never is a component id unless its whole component has null ids; an empty
@@ -24,15 +33,18 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.llm import shingles
 from vecloom.llm.common import components, cut, slices, table
 
 BITS = 64
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: The setting of ``near_texts``: words of a shingle, least likeness as a fraction, and bits.
+WIDE_SHINGLE, LEAST, WIDE_RADIUS = 5, (4, 5), 26
 #: Distinct fingerprints that one task compares with each other; larger sets are divided by further blocks.
 BUCKET = 4096
 _CHUNK = 1 << 15
@@ -59,22 +71,23 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         else:
             grams = [b" ".join(g) for g in zip(*(part[i:] for i in range(shingle)))]
         hashes = np.fromiter((hashed(g, SEED) for g in grams), np.uint64, len(grams))
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(total * 2 > last, bitorder="little")
-    return int(bits.view(np.uint64)[0])
+        total += shingles.bit_counts(hashes)
+    return shingles.majority(total, last)
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
+    """(doc_id, key, fp): the fingerprint of every whole text as a signed long, and
+    xxhash64 of the text."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                texts = part.column(1)
+                texts = part.column(2)
                 fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -161,16 +174,16 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     done, members = [], keys.join(shared, ["mask", "key"])
     level = masks
     while True:
-        done.append(members.where(F.col("n") <= bucket).drop("n"))
         finer = {m: finer_masks(m, radius) for m in level}
-        if shared.where(F.col("n") > bucket).isEmpty():
-            break
-        large = members.where(F.col("n") > bucket)
-        if not any(finer.values()):  # 12 bits are left at most: the bucket can't hold more
-            done.append(large.drop("n"))
-            break
-        # the extra blocks of each mask, as one table bounded by the number of masks
+        # the extra blocks of each mask, as one table bounded by the number of masks; without any
+        # 12 bits are left at most, and a bucket can't hold more than they can tell apart
         more = fps.sparkSession.createDataFrame([(_signed(m), [_signed(x) for x in finer[m]]) for m in level], "mask long, finer array<long>")
+        ends = [_signed(m) for m in level if not finer[m]]
+        ready = (F.col("n") <= bucket) | F.col("mask").isin(ends) if ends else F.col("n") <= bucket
+        done.append(members.where(ready).drop("n"))
+        if shared.where(~ready).isEmpty():
+            break
+        large = members.where(~ready)
         keys = large.drop("n", "key").join(F.broadcast(more), "mask").select(F.explode("finer").alias("mask"), "fp", "pv").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "pv").distinct()
         keys = cut(keys)
         shared = cut(keys.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -206,34 +219,84 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, key, fp, root, component_id) for every row of ``docs`` (doc_id, text):
+    ``key`` is xxhash64 of the text, ``root`` the smallest fingerprint of the component."""
     rows = cut(with_fingerprints(docs, shingle))
     own = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = cut(components(links(own.select("fp"), radius, bucket)))
-    linked = roots.join(own, roots.node == own.fp).groupBy("root").agg(F.min("first").alias("first"))
-    named = roots.join(linked, "root").select(F.col("node").alias("fp"), F.col("first").alias("reached"))
-    # written, so that both sides of the last join are plain exchanges, whose large partitions can be split
-    ids = cut(own.join(named, "fp", "left").select(F.col("fp").alias("of"), F.coalesce("reached", "first").alias("component_id")))
-    return rows.join(ids, rows.fp == ids.of).select("doc_id", "fp", "component_id")
-
+    return _named(rows, "fp", own, components(links(own.select("fp"), radius, bucket)))
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` with one document of each component: that whose doc_id is
-    the smallest. Of several rows with that doc_id one stays."""
-    return one_of_each(docs, near_duplicates(docs, shingle, radius))
 
-
-def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``found`` (doc_id, component_id) names a component by."""
-    kept = cut(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+def _named(rows: DataFrame, by: str, own: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the root and the smallest doc_id of the component of their ``by``."""
+    roots = cut(roots)
+    linked = roots.join(own, roots.node == own[by]).groupBy("root").agg(F.min("first").alias("least"))
+    reached = roots.join(linked, "root").select(F.col("node").alias("of"), F.col("root").alias("to"), "least")
+    # written, so that both sides of the last join are plain exchanges, whose large partitions can be split
+    ids = cut(own.join(reached, own[by] == reached.of, "left").select(F.col(by).alias("of"), F.coalesce("to", by).alias("root"), F.coalesce("least", "first").alias("component_id")))
+    return rows.join(ids, rows[by] == ids.of).drop("of")
+
+
+def _apart(a: str, b: str, radius: int) -> Column:
+    """Whether the pivot table leaves two sets' fingerprints to be compared, and whether
+    they then are within the radius."""
+    gap = F.greatest(*[F.abs(F.get(f"{a}pv", F.lit(i)) - F.get(f"{b}pv", F.lit(i))) for i in range(len(pivots()))])
+    return (gap <= radius) & (F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp"))) <= radius)
+
+
+def near_texts(docs: DataFrame, shingle: int = WIDE_SHINGLE, least: tuple[int, int] = LEAST, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(doc_id, key, root, component_id) as ``near_duplicates`` gives them, but linked
+    where the sets of shingles are ``least`` (a fraction) alike or more. Candidates share
+    a band of minima of the shingles' hashes; the pivot table discards those among them
+    that differ by more than ``radius``; the others are verified on the shingles."""
+    rows = cut(shingles.sketched(docs, shingle))
+    fields = ["n", "fp", "bands"]
+    own = rows.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("at"), *[F.first(c).alias(c) for c in fields])
+    table = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))) for p in pivots()])
+    own = cut(own.select(F.col("of").alias("id"), F.col("at.doc_id").alias("first"), F.col("at.key").alias("key"), *fields, table.alias("pv")))
+    one = ["id", "n", "fp", "pv"]
+    keys = own.select(*one, F.explode("bands").alias("band"))
+    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("center")).where("rows > 1").drop("rows")
+    members = cut(keys.join(shared, "band"))
+    held = own.join(members.select("id").distinct(), "id", "left_semi").select("first", "key")
+    sets = cut(shingles.sets(docs.withColumn("__key", F.xxhash64(F.col("text").cast("string"))).join(held, F.col("doc_id").cast("long").eqNullSafe(F.col("first")) & (F.col("__key") == held.key), "left_semi"), shingle).dropDuplicates(["id"]))
+    # first each set of a band with the smallest only: a large group of copies costs a comparison a member
+    centers = own.select(*[F.col(c).alias(f"c_{c}") for c in one])
+    tried = members.where("id <> center").select(*one, "center").distinct().join(centers, F.col("center") == F.col("c_id"))
+    tried = cut(tried.where(_sizes_fit("n", "c_n", least) & _apart("", "c_", radius)).select(F.greatest("id", "c_id").alias("a"), F.least("id", "c_id").alias("b")).distinct())
+    edges = shingles.verified(tried, sets, least)
+    # then what that left apart: sets outside the band's largest group with all others of the band
+    roots = cut(components(edges))
+    grouped = cut(members.join(roots, members.id == roots.node, "left").select("band", *one, F.coalesce("root", "id").alias("group")))
+    main = grouped.groupBy("band", "group").agg(F.count(F.lit(1)).alias("rows")).groupBy("band").agg(F.max(F.struct("rows", "group")).alias("m"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    parted = cut(grouped.join(main.select("band", F.col("m.group").alias("main")), "band"))
+    x, y = (parted.select("band", "main", *[F.col(c).alias(f"{side}_{c}") for c in (*one, "group")]) for side in "xy")
+    more = x.where("x_group <> main").join(y.drop("main"), "band").where((F.col("x_group") != F.col("y_group")) & _sizes_fit("x_n", "y_n", least) & _apart("x_", "y_", radius))
+    more = more.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    edges = edges.union(shingles.verified(more, sets, least))
+    return _named(rows.select("doc_id", "key", "of").withColumnRenamed("of", "id"), "id", own.select("id", "first"), components(edges)).select("doc_id", "key", "root", "component_id")
+
+
+def _sizes_fit(a: str, b: str, least: tuple[int, int]) -> Column:
+    return F.lit(least[0]) * F.greatest(a, b) <= F.lit(least[1]) * F.least(a, b)
+
+
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` with one document of each component of ``found`` (by
+    default ``near_texts``): that with the smallest doc_id, equal ones by the hash of
+    the text. Of rows that repeat both doc_id and text one stays."""
+    found = near_texts(docs) if found is None else found
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
+    chosen = found.groupBy("root").agg(best).select(F.col("best.doc_id").alias("__doc"), F.col("best.key").alias("__of"))
+    rows = found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    kept = cut(rows.join(chosen, rows.doc_id.eqNullSafe(F.col("__doc")) & (rows.key == F.col("__of")), "left_semi").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__of"), "n"))
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+    same = keyed.doc_id.cast("long").eqNullSafe(F.col("__doc")) & (keyed["__key"] == F.col("__of"))
     # the same plan at every size: texts are shuffled once, and no set of ids is broadcast
-    once = docs.join(kept.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
-    once = once.select(docs.columns)
-    again = cut(kept.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("of")))
+    once = keyed.join(kept.where("n = 1").hint("merge"), same, "left_semi").select(docs.columns)
+    again = kept.where("n > 1")
     if again.isEmpty():
         return once
-    more = docs.join(again, docs.doc_id.eqNullSafe(again.of), "left_semi")
-    return once.union(more.dropDuplicates(["doc_id"]).select(docs.columns))
+    return once.union(keyed.join(again.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "__key"]).select(docs.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
