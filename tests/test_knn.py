@@ -3,8 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom.functions import distance as D
+from vecloom.operators import ivf, knn
 from vecloom.operators.ivf import IvfIndex
-from vecloom.operators.knn import materialized, nearest, nearest_blocks, nearest_each, nested
+from vecloom.operators.knn import materialized, nearest, nearest_blocks, nested
 from vecloom.plans.planner import EXACT, FILTERED, HYBRID, POST_FILTER, SearchOptions, choose, search
 from vecloom.types import CorruptionError, IndexOptions, Space, ValidationError, tagged_map
 
@@ -42,14 +43,16 @@ def test_all_scans_agree_with_brute_force(spark, vectors, space):
     queries = [(i, rows[f"v{i * 20:03d}"] if i else [0.0] * 16) for i in range(6)]
     q = spark.createDataFrame(queries, "query_id long, embedding array<float>")
     want = {i: sorted((round(truth(space, e, v), 9), k) for k, v in rows.items())[:10] for i, e in queries}
-    for scan in (nearest_each, nearest_blocks):
-        got = scan(df, q, 10, space, digits=9).collect()
+    for block in (1_000, 2):
+        got = nearest_blocks(df, q, 10, space, digits=9, query_block=block).collect()
         assert {i: [(r["distance"], r["id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] for i in want} == {i: [(pytest.approx(d, abs=2e-9), k) for d, k in w] for i, w in want.items()}
     got = nearest(df, queries[3][1], 10, space).collect()
     assert [r["id"] for r in got] == [k for _, k in want[3]]
 
 
-def test_queries_come_in_blocks(spark, vectors):
+def test_queries_meet_vectors_in_a_grid(spark, vectors, monkeypatch):
+    monkeypatch.setattr(knn, "GRID_QUERIES", 3)
+    monkeypatch.setattr(knn, "GRID_VECTORS", 40)
     df, rows = vectors
     q = spark.createDataFrame([(i, rows[f"v{i:03d}"]) for i in range(10)], "query_id long, embedding array<float>")
     one, many = (sorted(map(tuple, nearest_blocks(df, q, 3, query_block=n).collect())) for n in (4, 1000))
@@ -68,31 +71,66 @@ def test_nested_and_materialized(spark, vectors):
     assert {r["id"] == r["document"] for r in materialized(top, records, ("distances", "documents")).collect()} == {True}
 
 
-def test_index_with_all_cells_is_exact(spark, vectors, tmp_path):
+@pytest.mark.parametrize("block", [1_000, 4])
+def test_index_with_all_cells_is_exact(spark, vectors, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(knn, "QUERY_BLOCK", block)
     df, rows = vectors
     q = spark.createDataFrame([(i, rows[f"v{i:03d}"]) for i in range(20)], "query_id long, embedding array<float>")
     for space in ("l2", "cosine"):
-        index = IvfIndex.build(df, space, 8)
-        want = sorted(map(tuple, nearest_each(df, q, 10, space, digits=6).collect()))
+        index = IvfIndex.build(df, str(tmp_path / space), space, 8)
+        want = sorted(map(tuple, nearest_blocks(df, q, 10, space, digits=6).collect()))
         assert sorted(map(tuple, index.search(q, 10, None, 6).collect())) == want
     some = {(r["query_id"], r["id"]) for r in index.search(q, 10, 6, 6).collect()}
     assert len(some & {(w[0], w[2]) for w in want}) >= 0.8 * len(want)
-    index.save(str(tmp_path / "index"))
-    back = IvfIndex.load(spark, str(tmp_path / "index"), "cosine", 16)
+    back = IvfIndex.load(spark, index.entry, "cosine", 16)
     assert sorted(map(tuple, back.search(q, 10, None, 6).collect())) == want
+    assert index.search(q.limit(0), 10).count() == 0
+    for bad in ({"space": "l2"}, {"dimension": 3}):
+        with pytest.raises(CorruptionError):
+            IvfIndex.load(spark, index.entry, **bad)
     with pytest.raises(CorruptionError):
-        IvfIndex.load(spark, str(tmp_path / "index"), "l2")
+        IvfIndex.load(spark, {**index.entry, "parts": [{**index.entry["parts"][0], "rows": 7}]})
     with pytest.raises(ValidationError):
-        IvfIndex.build(df.limit(0))
+        IvfIndex.build(df.limit(0), str(tmp_path / "none"))
 
 
-def test_planner(spark, vectors):
+def test_index_reads_only_the_cells_it_looks_into(spark, vectors, tmp_path):
+    df, rows = vectors
+    index = IvfIndex.build(df, str(tmp_path / "i"), "l2", 8)
+    one = spark.createDataFrame([(0, rows["v003"])], "query_id long, embedding array<float>")
+    plan = index.search(one, 3, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "cell" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_index_parts_are_joined(spark, vectors, tmp_path, monkeypatch):
+    """Many small writes: moved, new and deleted vectors, through all kinds of joins."""
+    monkeypatch.setattr(ivf, "PARTS", 3)
+    df, rows = vectors
+    rows = dict(rows)
+    index = IvfIndex.build(df, str(tmp_path / "i"), "l2", 4)
+    rng = np.random.default_rng(5)
+    q = spark.createDataFrame([(i, rows[f"v{i:03d}"]) for i in range(5)], "query_id long, embedding array<float>")
+    for turn in range(8):
+        moved = {f"v{int(i):03d}": [float(x) for x in rng.normal(size=16).astype(np.float32)] for i in rng.choice(200, 6 + 10 * turn, replace=False)} | {f"new{turn}": [float(turn)] * 16}
+        gone = sorted(rows)[turn::40]
+        touched = spark.createDataFrame([(k,) for k in (*moved, *gone)], "id string")
+        rows = {k: v for k, v in rows.items() if k not in gone} | {k: v for k, v in moved.items() if k not in gone}
+        live = spark.createDataFrame([(k, rows[k]) for k in moved if k in rows], "id string, embedding array<float>")
+        index = index.added(live, touched)
+        assert index.count == len(rows)
+    index = IvfIndex.load(spark, index.entry)
+    got = {(r["query_id"], r["id"]) for r in index.search(q, 10, None, 9).collect()}
+    assert got == {(i, k) for i, e in ((i, r["embedding"]) for i, r in enumerate(q.orderBy("query_id").collect())) for _, k in sorted((round(truth("l2", e, v), 9), k) for k, v in rows.items())[:10]}
+    assert index.without(spark.createDataFrame([("new0",)], "id string")).count == len(rows) - 1
+
+
+def test_planner(spark, vectors, tmp_path):
     options = IndexOptions(max_scan=50)
     assert [choose(100, None, options, True), choose(100, None, options, False), choose(100, 60, options, True), choose(100, 40, options, True)] == [HYBRID, EXACT, POST_FILTER, FILTERED]
     df, rows = vectors
     records = df.join(spark.createDataFrame([(k, tagged_map({"n": i})) for i, k in enumerate(sorted(rows))], "id string, metadata map<string,struct<s:string,b:boolean,i:bigint,f:double>>"), "id", "left")
     q = spark.createDataFrame([(0, rows["v050"])], "query_id long, embedding array<float>")
-    index = IvfIndex.build(df, "l2", 4)
+    index = IvfIndex.build(df, str(tmp_path / "i"), "l2", 4)
     index_all = lambda how, buffered=None: [r["id"] for r in search(records, q, 5, Space.L2, options, how, index, buffered).orderBy("rank").collect()]
     exact = lambda ids: [k for _, k in sorted((truth("l2", rows["v050"], rows[k]), k) for k in ids)[:5]]
     assert index_all(SearchOptions(ef=1000)) == exact(rows)

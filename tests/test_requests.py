@@ -18,20 +18,22 @@ def test_requests(engine):
     assert r.create({"name": "c", "get_or_create": True})["id"] == made["id"] and r.describe("c")["dimension"] is None
     assert handle(r.create, {"name": "c"})[0] == 409 and handle(r.create, {"name": ""})[0] == 400 and handle(r.describe, "no")[0] == 404
     assert handle(r.add, "c", {"ids": []})[0] == 400
-    assert r.add(made["id"], {"ids": ["a", "b"], "embeddings": [[0, 0], [1, 1]], "metadatas": [{"color": "red"}, {"color": "blue"}], "documents": ["one", None]}) == {"seq": 2}
-    assert r.count("c") == 2
-    assert r.query("c", {"query_embeddings": [[0, 0]]}) == {"ids": [["a", "b"]]}
-    got = r.query("c", {"query_embeddings": [[0, 0], [1, 1]], "n_results": 1, "where": {"color": "blue"}, "include": ["distances", "metadatas", "documents"]})
-    assert got == {"ids": [["b"], ["b"]], "distances": [[2.0], [0.0]], "metadatas": [[{"color": "blue"}]] * 2, "documents": [[None]] * 2}
-    assert r.query("c", {"query_embeddings": [[0, 0]], "where_filter": {"color": "none"}, "include": ["distances"]}) == {"ids": [[]], "distances": [[]]}
+    shelf = [("dune", [0, 3], {"pages": 412, "genre": "novel"}, "sand"), ("emma", [4, 0], {"pages": 474}, None), ("ilias", [5, 1], {"genre": "epic", "pages": 700}, "wrath"), ("odes", [9, 9], None, "short")]
+    ids, vectors, metadatas, documents = (list(x) for x in zip(*shelf))
+    assert r.add(made["id"], {"ids": ids, "embeddings": vectors, "metadatas": metadatas, "documents": documents}) == {"seq": 4}
+    assert r.count("c") == 4
+    assert r.query("c", {"query_embeddings": [[5, 0]]}) == {"ids": [["emma", "ilias", "dune", "odes"]]}
+    got = r.query("c", {"query_embeddings": [[5, 0], [0, 0]], "n_results": 2, "where": {"pages": {"$gt": 450}}, "include": ["distances", "metadatas", "documents"]})
+    assert got == {"ids": [["emma", "ilias"], ["emma", "ilias"]], "distances": [[1.0, 1.0], [16.0, 26.0]], "metadatas": [[metadatas[1], metadatas[2]]] * 2, "documents": [[None, "wrath"]] * 2}
+    assert r.query("c", {"query_embeddings": [[1, 1]], "where_filter": {"genre": "essay"}, "include": ["distances"]}) == {"ids": [[]], "distances": [[]]}
     assert handle(r.query, "c", {"query_embeddings": [[0, 0]], "include": ["nothing"]})[0] == 400
     assert handle(r.query, "c", {"query_embeddings": [[0, 0]], "where": {"a": {"$bad": 1}}})[0] == 400
-    r.update("c", {"ids": ["a"], "documents": ["new"]})
-    assert r.get("c", {"ids": ["a", "none", "a"], "include": ["embeddings"]}) == {"ids": ["a", "a"], "metadatas": [None, None], "documents": ["new", "new"], "embeddings": [[0.0, 0.0]] * 2}
-    assert r.get("c", {"where": {"color": "blue"}})["ids"] == ["b"]
-    r.upsert("c", {"ids": ["b"], "embeddings": [[5, 5]]})
-    r.delete("c", {"ids": ["a", "never"]})
-    assert r.get("c", {}) == {"ids": ["b"], "metadatas": [None], "documents": [None]}
+    r.update("c", {"ids": ["dune"], "documents": ["spice"]})
+    assert r.get("c", {"ids": ["dune", "none", "dune"], "include": ["embeddings"]}) == {"ids": ["dune", "dune"], "metadatas": [None, None], "documents": ["spice", "spice"], "embeddings": [[0.0, 3.0]] * 2}
+    assert r.get("c", {"where": {"pages": {"$gte": 474, "$lt": 700}}})["ids"] == ["emma"] and r.get("c", {"limit": 2})["ids"] == ["dune", "emma"]
+    r.upsert("c", {"ids": ["odes"], "embeddings": [[5, 5]]})
+    r.delete("c", {"ids": ["dune", "emma", "never"]})
+    assert r.get("c", {}) == {"ids": ["ilias", "odes"], "metadatas": [metadatas[2], None], "documents": ["wrath", None]}
     assert [c["name"] for c in r.list()] == ["c"] and r.list({"offset": 1}) == []
     r.drop("c")
     assert handle(r.count, "c")[0] == 404 and heartbeat() and preflight()["max_batch_size"] == 10_000
@@ -55,6 +57,17 @@ def test_shell(engine, tmp_path):
     assert shell.current is None and not shell.open and not engine.list_collections()
 
 
+def test_command_line(spark, tmp_path):
+    from vecloom.__main__ import main
+
+    said = []
+    payload = tmp_path / "p.json"
+    payload.write_text('{"ids": ["a", "b"], "embeddings": [[1, 2], [3, 4]], "metadatas": [{"n": 1}, null], "documents": ["x", null]}')
+    assert main([str(tmp_path / "e"), "--load", "c", str(payload), "--format", "csv", "-c", "SELECT COUNT(*) FROM c", "-c", "SELECT id FROM c NEAREST TO [3, 4] LIMIT 1"], spark, said.append) == 0
+    assert [x.split("\n")[1] for x in said] == ["2", "b"]
+    assert main([str(tmp_path / "e"), "-c", "SELECT * FROM nothing"], spark, said.append) == 1
+
+
 def test_flush_brings_the_index_up_to_date(engine):
     c = engine.create_collection("c", 1, "l2", options=IndexOptions(batch_size=3, max_scan=2))
     c.add([f"e{i}" for i in range(10)], [[i] for i in range(10)])

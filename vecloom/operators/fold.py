@@ -1,9 +1,8 @@
 """The state of a collection as a fold over its operation log.
 
 An add or upsert sets everything, an update sets metadata and document and keeps the
-embedding, a delete forgets all before it. The last operation of an id wins, which a
-grouped ``max_by`` expresses without ordering the whole log. An update of an id that
-isn't there leaves a record without an embedding.
+embedding, a delete forgets all before it. The last operation of an id wins. An update
+of an id that isn't there leaves a record without an embedding.
 """
 
 from __future__ import annotations
@@ -17,14 +16,17 @@ COLUMNS = ("id", "embedding", "metadata", "document", "seq")
 def fold(log: DataFrame) -> DataFrame:
     """Records from operations (id, embedding, metadata, document, seq, op).
 
-    Two aggregations on the same key: the last delete of each id, then the rest. The
-    log is only shuffled for the second where deletes are few enough to be broadcast.
+    First which operations count, from ids and numbers alone: hashed partial maxima.
+    Then what these operations hold, joined by (id, seq); what was overwritten is never
+    sorted or kept, and embeddings and documents are read by the join that needs them.
     """
-    deleted = log.where("op = 'delete'").groupBy("id").agg(F.max("seq").alias("deleted"))
-    live = log.where("op <> 'delete'").join(deleted, "id", "left").where("deleted is null or seq > deleted")
-    last = F.max_by(F.struct("metadata", "document"), "seq")
-    rows = live.groupBy("id").agg(F.max_by("embedding", F.when(F.col("op").isin("add", "upsert"), F.col("seq"))).alias("embedding"), last.alias("last"), F.max("seq").alias("seq"))
-    return rows.select("id", "embedding", "last.metadata", "last.document", "seq")
+    seq = F.col("seq")
+    of = lambda *ops: F.max(F.when(F.col("op").isin(*ops), seq))
+    last = log.groupBy("id").agg(of("delete").alias("gone"), F.max(F.when(F.col("op") != "delete", seq)).alias("seq"), of("add", "upsert").alias("at"))
+    live = last.where("seq > coalesce(gone, -1)").select("id", "seq", F.when(F.col("at") > F.coalesce("gone", F.lit(-1)), F.col("at")).alias("at"))
+    told = log.where("op <> 'delete'").select("id", "seq", "metadata", "document")
+    vectors = log.where("op in ('add', 'upsert')").select("id", seq.alias("at"), "embedding")
+    return live.join(told, ["id", "seq"]).join(vectors, ["id", "at"], "left").select(*COLUMNS)
 
 
 def fold_onto(snapshot: DataFrame, tail: DataFrame) -> DataFrame:

@@ -6,8 +6,6 @@ are joined to the few rows that remain.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,28 +15,17 @@ from pyspark.sql import functions as F
 from vecloom.functions.distance import block, distance, exact, literal_vector
 from vecloom.types import Space
 
-#: Queries that are compared with all vectors at once; more are taken in turns.
+#: Queries that are sent to all vectors as they lie; more meet the vectors in a grid.
 QUERY_BLOCK = 1_000
+#: Queries and vectors of one cell of the grid, about.
+GRID_QUERIES, GRID_VECTORS = 2_000, 50_000
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int, space: Space | str = Space.L2, id: str = "id", embedding: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, query: list[float], k: int, space: Space | str = Space.L2, id: str = "id", embedding: str = "embedding", digits: int | None = None) -> DataFrame:
     """The ``k`` nearest rows of one query: (id, distance). One pass with a bounded
-    heap in each task and no shuffle of the rows."""
-    measured = vectors.where(F.col(embedding).isNotNull()).select(F.col(id), distance(space, F.col(embedding), literal_vector(query)).alias("distance"))
-    return measured.orderBy("distance", id).limit(max(k, 1))
-
-
-def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, space: Space | str = Space.L2, id: str = "id", embedding: str = "embedding", digits: int | None = None) -> DataFrame:
-    """The ``k`` nearest rows of every row of ``queries`` (query_id, embedding), as
-    (query_id, rank, id, distance), with expressions alone. ``digits`` rounds distances before ranking.
-
-    Every query meets every vector; the window's group limit keeps k rows a query and
-    task before the shuffle. ``nearest_blocks`` does the same faster.
-    """
-    q = queries.select("query_id", F.col(embedding).alias("_q"))
-    d = distance(space, F.col(embedding), F.col("_q"))
-    pairs = vectors.where(F.col(embedding).isNotNull()).select(id, embedding).join(q).select("query_id", id, rounded(d, digits).alias("distance"))
-    return ranked(pairs, k, id)
+    heap in each task and no shuffle of the rows. ``digits`` rounds before ranking."""
+    d = rounded(distance(space, F.col(embedding), literal_vector(query)), digits)
+    return vectors.where(F.col(embedding).isNotNull()).select(F.col(id), d.alias("distance")).orderBy("distance", id).limit(max(k, 1))
 
 
 def rounded(d: Column, digits: int | None) -> Column:
@@ -47,74 +34,115 @@ def rounded(d: Column, digits: int | None) -> Column:
 
 
 def ranked(pairs: DataFrame, k: int, id: str = "id") -> DataFrame:
+    """The ``k`` nearest of each query. Pairs come with at most k rows a query and task."""
     order = W.partitionBy("query_id").orderBy("distance", id)
     return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= max(k, 1)).select("query_id", "rank", id, "distance")
 
 
+def few(queries: DataFrame, at_most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and vectors of ``queries`` (query_id, embedding), if they are that few."""
+    rows = queries.select("query_id", "embedding").where("embedding is not null").limit(at_most + 1).collect()
+    if len(rows) > at_most:
+        return None
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float32).reshape(len(rows), len(rows[0][1]) if rows else 0)
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+class Best:
+    """The ``k`` nearest vectors so far of each of some queries."""
+
+    def __init__(self, queries: np.ndarray, k: int, space: Space | str, digits: int | None):
+        self.queries, self.k, self.space, self.digits = queries, max(k, 1), space, digits
+        self.found: list[list[tuple[float, object]]] = [[] for _ in queries]
+        self._squares = (queries.astype(np.float64) ** 2).sum(axis=1)
+
+    def see(self, names: list, vectors: np.ndarray, of: np.ndarray | None = None) -> None:
+        """Compare more vectors with all queries, or with those numbered ``of``."""
+        of = np.arange(len(self.queries)) if of is None else of
+        if not len(names) or not len(of):
+            return
+        near = block(self.space, self.queries[of], vectors)
+        some = min(len(names), self.k + 8)
+        largest = float((vectors.astype(np.float64) ** 2).sum(axis=1).max())
+        for row, i in zip(near, of.tolist()):
+            if some < len(row):
+                # neither the block form's rounding nor a tie of rounded distances may lose a candidate
+                slack = 1e-12 * (1.0 + largest + self._squares[i]) + (0.0 if self.digits is None else 10.0**-self.digits)
+                at = np.flatnonzero(row <= np.partition(row, some - 1)[some - 1] + slack)
+            else:
+                at = np.arange(len(row))
+            d = exact(self.space, self.queries[i], vectors[at])
+            if self.digits is not None:
+                d = np.round(d, self.digits) + 0.0
+            found = self.found[i] + list(zip(d.tolist(), (names[x] for x in at)))
+            found.sort()
+            self.found[i] = found[: self.k]
+
+    def table(self, query_ids, id: str, kind: str) -> pa.Table:
+        rows = [(int(query_ids[i]), name, d) for i, found in enumerate(self.found) for d, name in found]
+        columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], arrow(kind)), pa.array([r[2] for r in rows], pa.float64())]
+        return pa.Table.from_arrays(columns, ["query_id", id, "distance"])
+
+
 def nearest_blocks(vectors: DataFrame, queries: DataFrame, k: int, space: Space | str = Space.L2, id: str = "id", embedding: str = "embedding", digits: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """As ``nearest_each``, over numpy blocks: each task compares its vectors with a
-    block of queries, keeps k of each query, and the rest is ranked after one shuffle
-    of k rows a query and task. Queries are read in blocks of ``query_block`` rows, so
-    that what is sent to the tasks stays bounded."""
-    rows = queries.select("query_id", embedding).toLocalIterator(prefetchPartitions=False)
-    out: DataFrame | None = None
-    for ids, matrix in _query_blocks(rows, query_block):
-        part = _block_pass(vectors, ids, matrix, k, space, id, embedding, digits)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return ranked(nearest_each(vectors, queries.limit(0), k, space, id, embedding).drop("rank"), k, id)
-    return ranked(out, k, id)
-
-
-def _query_blocks(rows, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, vectors = [], []
-    for row in rows:
-        ids.append(row[0])
-        vectors.append(row[1])
-        if len(ids) == size:
-            yield np.array(ids, np.int64), np.array(vectors, np.float32)
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(vectors, np.float32)
-
-
-def _block_pass(vectors, ids, matrix, k, space, id, embedding, digits) -> DataFrame:
-    spark = vectors.sparkSession
-    sent = spark.sparkContext.broadcast((ids, matrix))
-    kind = vectors.select(id).schema[0].dataType.simpleString()
-    keep, slack = max(k, 1), 1e-9 + (0.0 if digits is None else 10.0**-digits)
+    """The ``k`` nearest rows of every row of ``queries`` (query_id, embedding), as
+    (query_id, rank, id, distance). ``digits`` rounds distances before ranking.
+
+    Up to ``query_block`` queries are sent to the vectors where these lie; more meet
+    them in a grid. Either way numpy compares blocks, each task keeps k of each query,
+    and only these are shuffled to be ranked.
+    """
+    source = vectors.where(F.col(embedding).isNotNull()).select(id, F.col(embedding).alias("embedding"))
+    queries = queries.select("query_id", F.col(embedding).alias("embedding"))
+    sent = few(queries, query_block)
+    if sent is None:
+        one = F.lit(0).alias("key")
+        return ranked(grid(source.select("*", one), queries.where("embedding is not null").select("*", one), k, space, id, digits), k, id)
+    sent = source.sparkSession.sparkContext.broadcast(sent)
+    kind = source.schema[id].dataType.simpleString()
 
     def run(batches):
         query_ids, q = sent.value
-        best: list[list[tuple[float, object]]] = [[] for _ in query_ids]
+        best = Best(q, k, space, digits)
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            flat = batch.column(1)
-            v = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)
-            near = block(space, q, v)
-            some = min(len(names), keep + 8)
-            for i in range(len(query_ids)):
-                row = near[i]
-                if some < len(row):
-                    limit = np.partition(row, some - 1)[some - 1]
-                    # neither the block form's rounding nor a tie of rounded distances may lose a candidate
-                    at = np.flatnonzero(row <= limit + slack * max(1.0, abs(limit)))
-                else:
-                    at = np.arange(len(row))
-                d = exact(space, q[i], v[at])
-                if digits is not None:
-                    d = np.round(d, digits) + 0.0
-                found = best[i] + list(zip(d.tolist(), (names[x] for x in at)))
-                found.sort()
-                best[i] = found[:keep]
-        rows = [(int(query_ids[i]), name, d) for i, found in enumerate(best) for d, name in found]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]).cast(_arrow(kind)), pa.array([r[2] for r in rows], pa.float64())], ["query_id", id, "distance"])
-
-    source = vectors.where(F.col(embedding).isNotNull()).select(id, embedding)
-    return source.mapInArrow(run, f"query_id long, {id} {kind}, distance double")
-
-
-def _arrow(kind: str) -> pa.DataType:
+            best.see(batch.column(0).to_pylist(), matrix(batch.column(1)))
+        yield from best.table(query_ids, id, kind).to_batches()
+
+    return ranked(source.mapInArrow(run, f"query_id long, {id} {kind}, distance double"), k, id)
+
+
+def grid(vectors: DataFrame, queries: DataFrame, k: int, space: Space | str, id: str, digits: int | None) -> DataFrame:
+    """(query_id, id, distance): the ``k`` nearest of each query among the vectors of
+    its key, for each cell of a grid. Vectors (id, embedding, key) and queries (query_id,
+    embedding, key) of one key are dealt into parts of bounded size, and every part of
+    the one meets every part of the other, so neither a common key nor many queries
+    come to one task. What is broadcast are the numbers of parts of the keys."""
+    parts = lambda rows, size, name: rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
+    counts = parts(vectors, GRID_VECTORS, "v").join(parts(queries, GRID_QUERIES, "q"), "key").collect()  # one row a key: cells are bounded
+    spark, kind = vectors.sparkSession, vectors.schema[id].dataType.simpleString()
+    known = F.broadcast(spark.createDataFrame([tuple(r) for r in counts], "key int, v int, q int"))
+    deal = lambda by, n: F.pmod(F.xxhash64(by), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = vectors.join(known, "key").select(id, "embedding", "key", deal(id, "v").alias("pv"), every("q").alias("pq"))
+    right = queries.join(known, "key").select("query_id", "embedding", "key", deal("query_id", "q").alias("pq"), every("v").alias("pv"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        best = Best(matrix(right.column(1)) if right.num_rows else np.zeros((0, 1), np.float32), k, space, digits)
+        for start in range(0, left.num_rows, 4_096):
+            part = left.slice(start, 4_096)
+            best.see(part.column(0).to_pylist(), matrix(part.column(1)))
+        return best.table(right.column(0).to_pylist(), id, kind)
+
+    cell = ["key", "pv", "pq"]
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(run, f"query_id long, {id} {kind}, distance double")
+
+
+def arrow(kind: str) -> pa.DataType:
     return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +15,9 @@ from vecloom.operators.ivf import IvfIndex
 from vecloom.operators.knn import materialized
 from vecloom.plans.catalog import Catalog
 from vecloom.plans.planner import SearchOptions, search
-from vecloom.sources.files import Store
-from vecloom.sources.oplog import OpLog
-from vecloom.types import MAX_DIMENSION, MAX_ID_BYTES, MAX_IDS, MAX_QUERIES, MAX_RESULTS, AlreadyExistsError, CollectionConfig, IndexOptions, NotFoundError, Space, ValidationError, tagged_map
+from vecloom.sources.files import UNREADABLE, Store
+from vecloom.sources.oplog import Moved, OpLog
+from vecloom.types import MAX_DIMENSION, MAX_ID_BYTES, MAX_IDS, MAX_QUERIES, MAX_RESULTS, AlreadyExistsError, CollectionConfig, CorruptionError, IndexOptions, NotFoundError, Space, ValidationError, tagged_map
 
 
 @dataclass(frozen=True)
@@ -40,21 +42,23 @@ def _checked(ids: list[str], **lists) -> None:
 
 
 class Collection:
+    """A handle; any number of them may read and write one collection."""
+
     def __init__(self, engine: Engine, config: CollectionConfig):
         self._engine, self.config = engine, config
         self.log = OpLog(engine.spark, engine.store.path(config.id))
-        self._index: tuple[IvfIndex, int] | None = None
+        self._index: IvfIndex | None = None
 
     @property
     def spark(self) -> SparkSession:
         return self._engine.spark
 
     def records(self) -> DataFrame:
-        return self.log.records()
+        return self.log.refresh().records()
 
-    def _existing(self, ids: list[str]) -> set[str]:
+    def _existing(self, records: DataFrame, ids: list[str]) -> set[str]:
         asked = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
-        return {r["id"] for r in self.records().select("id").join(F.broadcast(asked), "id", "left_semi").collect()}
+        return {r["id"] for r in records.select("id").join(F.broadcast(asked), "id", "left_semi").collect()}
 
     def _dimension(self, embeddings) -> int:
         """Of a batch, which must agree with the collection's; nothing is changed yet."""
@@ -67,16 +71,36 @@ class Collection:
                 raise ValidationError(f"{len(e)} dimensions where {have} are expected")
         return have
 
-    def _write(self, op: str, ids, embeddings, metadatas, documents, dimension: int) -> int:
+    def _settle(self, dimension: int) -> None:
+        """Fix the dimension in the catalog before anything of it is written."""
+        if dimension and not self.config.dimension:
+            self._engine.catalog.update_dimension(self.config.id, dimension)
+            self.config = self.config.with_dimension(dimension)
+
+    def _write(self, op: str, ids, embeddings, metadatas, documents, dimension: int, check: Callable[[DataFrame], None] | None = None) -> int:
+        """``check`` sees the records that the batch is written after: where another
+        handle writes in between, both are done again."""
         at = lambda values, i: None if values is None else values[i]
         rows = []
         for i, id in enumerate(ids):
             vector = at(embeddings, i)
             rows.append({"id": id, "op": op, "embedding": None if vector is None else [float(x) for x in vector], "metadata": tagged_map(at(metadatas, i)), "document": at(documents, i)})
-        seq = self.log.append(rows)
-        if dimension and not self.config.dimension:
-            self._engine.catalog.update_dimension(self.config.id, dimension)
-            self.config = self.config.with_dimension(dimension)
+        self._settle(dimension)
+        while True:
+            after = self.log.refresh().last_seq
+            try:
+                if check is not None:
+                    check(self.log.records())
+                seq = self.log.append(rows, after if check is not None else None)
+                break
+            except Moved:
+                continue
+            except UNREADABLE:
+                if self.log.refresh().last_seq == after:
+                    raise
+        return self._wrote(seq)
+
+    def _wrote(self, seq: int) -> int:
         self._engine.catalog.advance(self.config.id, seq)
         self.flush()
         if seq - self.log.snapshot_seq >= self.config.options.sync_threshold:
@@ -88,20 +112,42 @@ class Collection:
         dimension = self._dimension(embeddings)
         if len(set(ids)) < len(ids):
             raise ValidationError("an id stands twice in the batch")
-        if taken := self._existing(ids):
-            raise AlreadyExistsError(f"ids are there already: {sorted(taken)[:5]}")
-        return self._write("add", ids, embeddings, metadatas, documents, dimension)
+
+        def free(records: DataFrame) -> None:
+            if taken := self._existing(records, ids):
+                raise AlreadyExistsError(f"ids are there already: {sorted(taken)[:5]}")
+
+        return self._write("add", ids, embeddings, metadatas, documents, dimension, free)
 
     def upsert(self, ids, embeddings, metadatas=None, documents=None) -> int:
         _checked(ids, embeddings=embeddings, metadatas=metadatas, documents=documents)
         return self._write("upsert", ids, embeddings, metadatas, documents, self._dimension(embeddings))
 
+    def upsert_frame(self, rows: DataFrame) -> int:
+        """Upsert the rows (id, embedding, metadata, document) of a DataFrame of any
+        length, in the order of their ids; only counts come to the driver."""
+        told = rows.agg(F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most"), F.min(F.octet_length("id")).alias("short"), F.max(F.octet_length("id")).alias("long"), F.count_if(F.col("id").isNull()).alias("none")).first()
+        if told["least"] is None and told["short"] is None and not told["none"]:
+            return self.log.last_seq
+        if told["none"] or not 1 <= told["short"] <= told["long"] <= MAX_ID_BYTES:
+            raise ValidationError(f"an id has 1 to {MAX_ID_BYTES} bytes")
+        if told["least"] is None or told["least"] != told["most"] or not 0 < told["most"] <= MAX_DIMENSION:
+            raise ValidationError("vectors must be there and have one dimension")
+        if self.config.dimension not in (0, told["most"]):
+            raise ValidationError(f"{told['most']} dimensions where {self.config.dimension} are expected")
+        self._settle(told["most"])
+        self.log.refresh()
+        return self._wrote(self.log.append_frame(rows.select("id", "embedding", "metadata", "document", F.lit("upsert").alias("op")), "id"))
+
     def update(self, ids, metadatas=None, documents=None) -> int:
         """Metadata and document are replaced, by nothing where none are given."""
         _checked(ids, metadatas=metadatas, documents=documents)
-        if missing := set(ids) - self._existing(ids):
-            raise NotFoundError(f"no such ids: {sorted(missing)[:5]}")
-        return self._write("update", ids, None, metadatas, documents, 0)
+
+        def there(records: DataFrame) -> None:
+            if missing := set(ids) - self._existing(records, ids):
+                raise NotFoundError(f"no such ids: {sorted(missing)[:5]}")
+
+        return self._write("update", ids, None, metadatas, documents, 0, there)
 
     def delete(self, ids) -> int:
         _checked(ids)
@@ -123,7 +169,7 @@ class Collection:
         asked = self.spark.createDataFrame(list(enumerate(ids)), "pos long, id string")
         return F.broadcast(asked).join(rows.select("id", *columns, F.lit(True).alias("found")), "id", "left").select("pos", "id", F.coalesce("found", F.lit(False)).alias("found"), *columns).orderBy("pos")
 
-    def query(self, embeddings, k: int = 10, where=None, include: tuple[str, ...] = (), ef: int = 0, oversampling: int = 4) -> DataFrame:
+    def query(self, embeddings, k: int = 10, where=None, include: tuple[str, ...] = (), ef: int = 0, oversampling: int = 4, digits: int | None = None) -> DataFrame:
         """(query_id, rank, id, ...) for a list of vectors, or a DataFrame of
         (query_id, embedding) of any length."""
         if isinstance(embeddings, DataFrame):
@@ -136,26 +182,51 @@ class Collection:
             self._dimension(embeddings)
             queries = self.spark.createDataFrame([(i, [float(x) for x in e]) for i, e in enumerate(embeddings)], "query_id long, embedding array<float>")
         records = self.records()
-        index, buffered = None, None
-        if self._index:
-            index = self._index[0]
-            buffered = self.log.read(self._index[1] + 1).select("id").distinct() if self.log.last_seq > self._index[1] else None
-        found = search(records, queries, k, self.config.space, self.config.options, SearchOptions(where, ef, oversampling), index, buffered)
+        index = self.index()
+        buffered = None
+        if index is not None and self.log.last_seq > self.flushed_seq():
+            buffered = self.log.read(self.flushed_seq() + 1).select("id").distinct()
+        found = search(records, queries, k, self.config.space, self.config.options, SearchOptions(where, ef, oversampling, digits), index, buffered)
         return materialized(found, records, include)
 
+    def index(self) -> IvfIndex | None:
+        """The index that the manifest names, as last seen; it is checked when it is
+        opened. One that is damaged, or that the log no longer reaches back to, isn't
+        used; it can be built again."""
+        entry = self.log.index
+        if entry is None or entry["seq"] < self.log.kept_from:
+            self._index = None
+        elif self._index is None or self._index.entry != entry["index"]:
+            try:
+                self._index = IvfIndex.load(self.spark, entry["index"], self.config.space, self.config.dimension)
+            except CorruptionError:
+                self._index = None
+        return self._index
+
     def build_index(self, cells: int | None = None) -> IvfIndex:
-        index = IvfIndex.build(self.records(), self.config.space, cells)
-        self._index = (index, self.log.last_seq)
-        return index
+        """Fit and write an index of all vectors, and name it in the manifest."""
+        records, seq = self.records(), self.log.last_seq
+        index = IvfIndex.build(records, self.log.store.path(f"index/{uuid.uuid4().hex}"), self.config.space, cells)
+        self.log.set_index(lambda now: {"seq": seq, "index": index.entry} if now is None or now["seq"] <= seq else now)
+        return self.index() or index
 
     def flush(self, force: bool = False) -> bool:
         """Bring the index up to date once ``batch_size`` operations wait for it."""
-        if not self._index or not (force or self.log.last_seq - self._index[1] >= self.config.options.batch_size):
+        entry, last = self.log.refresh().index, self.log.last_seq
+        waiting = last - entry["seq"] if entry else 0
+        if entry is None or not (force or waiting >= self.config.options.batch_size):
             return False
-        index, seq = self._index
-        touched = self.log.read(seq + 1).select("id").distinct()
-        live = self.records().join(touched, "id", "left_semi")
-        self._index = (index.without(touched).with_added(live), self.log.last_seq)
+        if not waiting:
+            return True
+        index = self.index()
+        if index is None:
+            self.build_index()
+            return True
+        touched = self.log.read(entry["seq"] + 1, last).select("id").distinct()
+        live = self.log.records().join(touched, "id", "left_semi").select("id", "embedding")
+        newer = index.added(live, touched)
+        # where another handle was faster, its parts stand
+        self.log.set_index(lambda now: {"seq": last, "index": newer.entry} if now == entry else now)
         return True
 
     def indexed_count(self) -> int:
@@ -163,24 +234,29 @@ class Collection:
         return self.records().where("embedding is not null").count()
 
     def committed_count(self) -> int:
-        return self._index[0].count if self._index else 0
+        index = self.index()
+        return index.count if index else 0
 
     def flushed_seq(self) -> int:
-        return self._index[1] if self._index else 0
+        return self.log.index["seq"] if self.log.index else 0
 
     def checkpoint(self) -> int:
+        """A snapshot, with the index up to date, as the log before it goes."""
+        self.flush(force=True)
         return self.log.checkpoint()
 
     def optimize(self) -> OptimizeStats:
-        before = self.log.log_bytes()
-        if self._index:
-            self.build_index(len(self._index[0].centers))
+        before = self.log.refresh().log_bytes()
+        index = self.index()
+        if index is not None:
+            self.build_index(len(index.centers))
         self.checkpoint()
         return OptimizeStats(self.count(), self.committed_count(), before, self.log.log_bytes())
 
     def delta(self, first: int) -> DataFrame:
-        """What a follower that has seen all before ``first`` still lacks."""
-        return self.log.read(first)
+        """What a follower that has seen all before ``first`` still lacks; raises where
+        the log no longer has all of it."""
+        return self.log.refresh().read(first)
 
     def apply(self, operations: DataFrame) -> DataFrame:
         """The state as it would be after more operations, without logging them."""
@@ -219,7 +295,7 @@ class Engine:
         """Put back the records of every collection that ``path`` has."""
         theirs = Store(self.spark, path)
         for config in self.catalog.list():
-            for seq in theirs.list(config.id)[-1:]:
+            for seq in sorted(theirs.list(config.id), key=int)[-1:]:
                 Collection(self, config).log.replace(self.spark.read.parquet(f"{path}/{config.id}/{seq}"), int(seq))
 
     def sql(self, text: str, current: str | None = None) -> DataFrame:

@@ -5,11 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from vecloom.functions.filters import MapKeys, compile_filter
 from vecloom.operators.ivf import IvfIndex
-from vecloom.operators.knn import nearest_blocks, nearest_each, ranked
+from vecloom.operators.knn import nearest_blocks, ranked
 from vecloom.types import IndexOptions, Space
 
 EXACT, FILTERED, HYBRID, POST_FILTER = "exact", "filtered", "hybrid", "post_filter"
@@ -30,39 +29,28 @@ def choose(n: int, eligible: int | None, options: IndexOptions, indexed: bool) -
     return POST_FILTER if indexed and eligible > options.max_scan else FILTERED
 
 
-def search(records: DataFrame, queries: DataFrame, k: int, space: Space, options: IndexOptions, how: SearchOptions = SearchOptions(), index: IvfIndex | None = None, buffered: DataFrame | None = None, keys=None, blocks: bool = True) -> DataFrame:
+def search(records: DataFrame, queries: DataFrame, k: int, space: Space, options: IndexOptions, how: SearchOptions = SearchOptions(), index: IvfIndex | None = None, buffered: DataFrame | None = None, keys=None) -> DataFrame:
     """(query_id, rank, id, distance). ``records`` are all live records; ``index`` may
     lag behind them by ``buffered``, the ids written since it was built."""
     vectors = records.where("embedding is not null")
-    scan = nearest_blocks if blocks else nearest_each
     k = max(k, 1)
     if how.where is not None:
         # without an index every path is the filtered scan, so nothing needs counting
         vectors = vectors.where(compile_filter(how.where, keys or MapKeys(), two_valued=False))
-    if index is None:
-        return scan(vectors, queries, k, space, digits=how.digits)
-    n = vectors.count()
-    path = choose(n, n if how.where is not None else None, options, True)
+    path = EXACT
+    if index is not None:
+        eligible = None if how.where is None else vectors.count()
+        path = choose(index.count, eligible, options, True)
     if path in (EXACT, FILTERED):
-        return scan(vectors, queries, k, space, digits=how.digits)
-    nprobe = index.probes(how.ef) if how.ef else max(index.probes(options.ef_search), index.usual_probes())
-    fresh = buffered.select("id") if buffered is not None else None
-    base = index.without(fresh) if fresh is not None else index
+        return nearest_blocks(vectors, queries, k, space, digits=how.digits)
+    nprobe = index.probes(how.ef) if how.ef else max(index.probes(options.ef_search), index.nprobe)
     if path == POST_FILTER:
-        found = base.search(queries, k * how.oversampling, nprobe, how.digits).drop("rank").join(vectors.select("id"), "id", "left_semi")
-    else:
-        found = base.search(queries, k, nprobe, how.digits).drop("rank").join(vectors.select("id"), "id", "left_semi")
+        found = index.search(queries, k * how.oversampling, nprobe, how.digits, buffered).join(vectors.select("id"), "id", "left_semi")
+    else:  # what the index has without ``buffered`` is live
+        found = index.search(queries, k, nprobe, how.digits, buffered)
     found = found.select("query_id", "id", "distance")
-    if fresh is not None:
+    if buffered is not None:
         # what the index doesn't know yet is scanned
-        tail = vectors.join(fresh, "id", "left_semi")
-        found = found.unionByName(scan(tail, queries, k, space, digits=how.digits).select("query_id", "id", "distance"))
+        tail = vectors.join(buffered.select("id"), "id", "left_semi")
+        found = found.unionByName(nearest_blocks(tail, queries, k, space, digits=how.digits).select("query_id", "id", "distance"))
     return ranked(found, k)
-
-
-def describe(records: DataFrame, where=None, index: IvfIndex | None = None, options: IndexOptions = IndexOptions()) -> dict:
-    """Which path a search would take, and the counts it is chosen by."""
-    vectors = records.where("embedding is not null")
-    n = vectors.count()
-    eligible = None if where is None else vectors.where(compile_filter(where, two_valued=False)).agg(F.count(F.lit(1))).first()[0]
-    return {"vectors": n, "eligible": eligible, "path": choose(n, eligible, options, index is not None)}

@@ -8,7 +8,7 @@ import json
 
 from pyspark.sql import DataFrame
 
-from vecloom.types import untagged_map
+from vecloom.types import MAX_IDS, ValidationError, untagged_map
 
 #: Characters of a document that a table shows.
 WIDTH = 40
@@ -28,8 +28,10 @@ def _cell(name: str, value, width: int | None) -> str:
 
 
 def render(df: DataFrame, how: str = "table") -> str:
-    """The rows of a small result; it is collected."""
-    rows = [_plain(r.asDict()) for r in df.collect()]
+    """The rows of a result of at most ``MAX_IDS`` rows; they are collected."""
+    rows = [_plain(r.asDict()) for r in df.limit(MAX_IDS + 1).collect()]
+    if len(rows) > MAX_IDS:
+        raise ValidationError(f"more than {MAX_IDS} rows to show: add a LIMIT")
     names = df.columns
     if how == "json":
         return json.dumps(rows, ensure_ascii=False, indent=2)

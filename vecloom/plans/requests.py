@@ -82,7 +82,10 @@ class Requests:
         ids, include = body.get("ids"), _include(body)
         if ids is not None and len(ids) > MAX_IDS:
             raise ValidationError(f"at most {MAX_IDS} ids at once")
-        found = self._at(name_or_id).get(ids, _where(body), body.get("limit"), include).collect()
+        limit = MAX_IDS + 1 if body.get("limit") is None else int(body["limit"])
+        found = self._at(name_or_id).get(ids, _where(body), limit, include).collect()
+        if ids is None and len(found) > MAX_IDS:
+            raise ValidationError(f"more than {MAX_IDS} records: ask for a part of them by a limit or a filter")
         rows = [r for r in found if ids is None or r["found"]]
         out = {"ids": [r["id"] for r in rows], "metadatas": [untagged_map(r["metadata"]) for r in rows], "documents": [r["document"] for r in rows]}
         return out | ({"embeddings": [r["embedding"] for r in rows]} if "embeddings" in include else {})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pydoc
 import time
 from pathlib import Path
 
@@ -34,7 +35,9 @@ class Shell:
         self._file: Path | None = None
 
     def out(self, text: str) -> None:
-        if self._file is None:
+        if self._file is None and self.pager:
+            pydoc.pager(text)
+        elif self._file is None:
             self._write(text)
         else:
             with self._file.open("a") as file:

@@ -3,21 +3,32 @@
 Base relation V: ``embeddings`` left-joined to ``documents`` and ``labels`` on the id,
 so that metadata keys are really absent for some records. Distances are rounded to six
 digits before ranking, and ties rank by id.
+
+Queries on collections run through an engine in a scratch folder, in which V is loaded
+once a session (``home``); those that write make a collection of their own.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.functions import distance as D
 from vecloom.functions.filters import ColumnKeys, MapKeys, compile_filter
+from vecloom.operators import clock
 from vecloom.operators.fold import fold, fold_onto, supersede
-from vecloom.operators.ivf import IvfIndex
-from vecloom.operators.knn import nearest_blocks, nearest_each, ranked, rounded
+from vecloom.operators.knn import nearest, nearest_blocks, nested, rounded
 from vecloom.operators.postings import has_key, in_range, postings
-from vecloom.types import METADATA, VALUE
+from vecloom.plans.engine import Collection, Engine
+from vecloom.plans.planner import SearchOptions, search
+from vecloom.plans.requests import Requests
+from vecloom.plans.requests import handle as handled
+from vecloom.sources.files import scratch
+from vecloom.sources.oplog import OpLog
+from vecloom.types import METADATA, VALUE, IndexOptions, Space
 
 DIGITS = 6
 EVERY, K = 20, 10
@@ -45,6 +56,50 @@ def with_metadata(v: DataFrame) -> DataFrame:
     return v.withColumn("metadata", F.map_from_entries(F.array_compact(F.array(*entries))).cast(METADATA))
 
 
+_HOMES: dict[tuple[str, str], Engine] = {}
+
+
+def home(spark: SparkSession, d: str) -> Engine:
+    """An engine with V as the collection ``v``, and as ``indexed`` with an index that
+    searches use at any size."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _HOMES:
+        engine = Engine(spark, scratch(spark))
+        rows = as_records(spark, d)
+        plain = engine.create_collection("v")
+        plain.upsert_frame(rows)
+        plain.checkpoint()
+        indexed = engine.create_collection("indexed", options=IndexOptions(max_scan=0))
+        indexed.upsert_frame(rows)
+        indexed.checkpoint()
+        indexed.build_index(16)
+        _HOMES[key] = engine
+    return _HOMES[key]
+
+
+def as_records(spark: SparkSession, d: str) -> DataFrame:
+    """V as (id, embedding, metadata, document); ids sort as the numbers do."""
+    docs = _read(spark, d, "documents").select("doc_id", F.col("text").alias("document"))
+    v = with_metadata(view(spark, d))
+    return v.join(docs, v.vec_id == docs.doc_id, "left").select(_id(F.col("vec_id")).alias("id"), "embedding", "metadata", "document")
+
+
+def _id(number: Column) -> Column:
+    return F.lpad(number.cast("string"), 12, "0")
+
+
+def _number(id: str = "id") -> Column:
+    return F.col(id).cast("long").alias("vec_id")
+
+
+def _own(spark: SparkSession, d: str, rows: DataFrame | None = None, **options) -> Collection:
+    """A new collection that a query may write to; ``rows`` are loaded."""
+    made = home(spark, d).create_collection(f"own-{uuid.uuid4().hex}", options=IndexOptions(**options))
+    if rows is not None:
+        made.upsert_frame(rows)
+    return made
+
+
 V_SQL = """(SELECT e.vec_id, e.embedding, e.label, d.lang, d.source, d.n_chars, l.quality, l.toxic, l.toxic = 1 AS toxic_flag
  FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id LEFT JOIN labels l ON e.vec_id = l.doc_id)"""
 
@@ -92,19 +147,24 @@ def _normalized(spark, d):
 
 
 def _single(space: str, where=None, k: int = K):
-    """One query against typed columns, so that the filter reaches the Parquet scan."""
+    """One query; a filter over typed columns reaches the Parquet scans."""
 
     def run(spark, d):
-        v = view(spark, d)
+        e = _read(spark, d, "embeddings").select("vec_id", "embedding")
         if where is not None:
-            v = v.where(compile_filter(where, ColumnKeys(KEYS), two_valued=False))
-        dist = rounded(D.distance(space, F.col("embedding"), D.literal_vector(_first(spark, d))), DIGITS)
-        top = v.select("vec_id", dist.alias("distance")).orderBy("distance", "vec_id").limit(k)
-        return top.withColumn("rank", F.row_number().over(W.orderBy("distance", "vec_id")).cast("long")).select("rank", "vec_id", "distance")
+            eligible = view(spark, d).where(compile_filter(where, ColumnKeys(KEYS), two_valued=False)).select("vec_id")
+            e = e.join(eligible, "vec_id", "left_semi")
+        top = nearest(e, _first(spark, d), k, space, id="vec_id", digits=DIGITS)
+        return _with_rank(top)
 
     return run
 
 
+def _with_rank(top: DataFrame) -> DataFrame:
+    """``top`` has at most k rows."""
+    return top.agg(F.sort_array(F.collect_list(F.struct("distance", "vec_id"))).alias("r")).select(F.posexplode("r").alias("pos", "x")).select((F.col("pos") + 1).cast("long").alias("rank"), "x.vec_id", "x.distance")
+
+
 def _sql_single(space: str, where: str = "TRUE", k: int = K) -> str:
     return f"""SELECT CAST(row_number() OVER (ORDER BY distance, vec_id) AS BIGINT) AS rank, vec_id, distance
 FROM (SELECT vec_id, {_sql_distance(space, "embedding", _FIRST)} AS distance FROM {V_SQL} WHERE {where} ORDER BY distance, vec_id LIMIT {k})"""
@@ -115,69 +175,92 @@ def _queries(e: DataFrame) -> DataFrame:
     return e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def _batch(space: str, where=None, blocks: bool = True):
+def _batch(space: str, where=None, **options):
+    """Typed columns through the planner, without an index."""
+
     def run(spark, d):
         e = _read(spark, d, "embeddings")
-        v = e if where is None else view(spark, d).where(compile_filter(where, ColumnKeys(KEYS), two_valued=False))
-        scan = nearest_blocks if blocks else nearest_each
-        return scan(v.select("vec_id", "embedding"), _queries(e), K, space, id="vec_id", digits=DIGITS)
+        v = e if where is None else view(spark, d)
+        how = SearchOptions(where, digits=DIGITS)
+        return search(v.withColumnRenamed("vec_id", "id"), _queries(e), K, Space.parse(space), IndexOptions(), how, keys=ColumnKeys(KEYS)).withColumnRenamed("id", "vec_id")
 
     return run
 
 
-def _sql_batch(space: str, where: str = "TRUE") -> str:
+def _grid(spark, d):
+    """More queries than are sent to all tasks: blocks of both sides meet in a grid."""
+    e = _read(spark, d, "embeddings")
+    return nearest_blocks(e.select("vec_id", "embedding"), _queries(e), K, "l2", id="vec_id", digits=DIGITS, query_block=4)
+
+
+def _sql_batch(space: str, where: str = "TRUE", k: int = K, of: str = "embeddings") -> str:
     return f"""SELECT query_id, rank, vec_id, distance FROM (
  SELECT q.vec_id AS query_id, v.vec_id, {_sql_distance(space, "v.embedding", "q.embedding")} AS distance,
         CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_sql_distance(space, "v.embedding", "q.embedding")}, v.vec_id) AS BIGINT) AS rank
- FROM {V_SQL} v, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % {EVERY} = 0) q WHERE {where}) WHERE rank <= {K}"""
+ FROM {V_SQL} v, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % {EVERY} = 0) q WHERE {where}) WHERE rank <= {k}"""
 
 
 def _all_neighbours(spark, d):
-    """k beyond the number of vectors: all of them, ranked by the windowed plan."""
+    """As many neighbours as a request may ask for, which is more than small tables have."""
     e = _read(spark, d, "embeddings")
-    return nearest_each(e.select("vec_id", "embedding"), _queries(e), 1_000_000, "l2", id="vec_id", digits=DIGITS)
-
-
-_ALL_SQL = f"""SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_sql_distance("l2", "v.embedding", "q.embedding")}, v.vec_id) AS BIGINT) AS rank,
- v.vec_id, {_sql_distance("l2", "v.embedding", "q.embedding")} AS distance
-FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % {EVERY} = 0) q"""
+    return nearest_blocks(e.select("vec_id", "embedding"), _queries(e), 1_000, "l2", id="vec_id", digits=DIGITS)
 
 
 def _included(spark, d):
     """Ranked ids first; documents and metadata are joined to what remains."""
-    top = _batch("l2")(spark, d)
-    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang", F.md5("text").alias("document_md5"))
-    return top.join(docs, "vec_id", "left")
+    asked = _queries(_read(spark, d, "embeddings"))
+    top = home(spark, d).collection("v").query(asked, K, include=("distances", "documents", "metadatas"), digits=DIGITS)
+    return top.select("query_id", "rank", _number(), "distance", F.try_element_at("metadata", F.lit("lang"))["s"].alias("lang"), F.md5("document").alias("document_md5"))
 
 
 _INCLUDED_SQL = f"SELECT t.*, d.lang, md5(d.text) AS document_md5 FROM ({_sql_batch('l2')}) t LEFT JOIN documents d ON d.doc_id = t.vec_id"
 
 
 def _nested(spark, d):
-    top = _batch("cosine")(spark, d)
-    rows = F.sort_array(F.collect_list(F.struct("rank", F.col("vec_id").cast("string").alias("id"))))
-    return top.groupBy("query_id").agg(F.array_join(rows["id"], ",").alias("ids"), F.count(F.lit(1)).alias("n"))
+    rows = nested(_batch("cosine")(spark, d).withColumnRenamed("vec_id", "id"))
+    return rows.select("query_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.size("ids").cast("long").alias("n"))
 
 
 _NESTED_SQL = f"SELECT query_id, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rank) AS ids, count(*) AS n FROM ({_sql_batch('cosine')}) GROUP BY query_id"
 
 
-def _ivf(measured: bool):
+def _numbered(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "rank", _number(), "distance")
+
+
+def _ivf(where=None, ef: int = 0, oversampling: int = 4):
+    """Through a collection's own index; ``ef`` beyond all vectors looks into all cells."""
+
     def run(spark, d):
-        e = _read(spark, d, "embeddings")
-        index = IvfIndex.build(e.select(F.col("vec_id").alias("id"), "embedding"), "l2", 16)
-        nprobe = index.measured_probes(_queries(e), K) if measured else None
-        return index.search(_queries(e), K, nprobe, DIGITS).withColumnRenamed("id", "vec_id")
+        asked = _queries(_read(spark, d, "embeddings"))
+        return _numbered(home(spark, d).collection("indexed").query(asked, K, where, ("distances",), ef, oversampling, DIGITS))
 
     return run
 
 
-def _postfilter(spark, d):
-    e = _read(spark, d, "embeddings")
-    index = IvfIndex.build(e.select(F.col("vec_id").alias("id"), "embedding"), "l2", 16)
-    eligible = view(spark, d).where(compile_filter({"label": {"$lt": 5}}, ColumnKeys(KEYS), two_valued=False)).select(F.col("vec_id").alias("id"))
-    found = index.search(_queries(e), 4 * K, index.measured_probes(_queries(e), 4 * K), DIGITS).drop("rank").join(eligible, "id", "left_semi").select("query_id", "id", "distance")
-    return ranked(found, K).withColumnRenamed("id", "vec_id")
+def _index_writes(flush: bool):
+    """After the index was built, odd vectors are moved and every seventh is deleted;
+    flushed into the index, or still waiting beside it."""
+
+    def run(spark, d):
+        rows = as_records(spark, d)
+        c = _own(spark, d, rows, max_scan=0, batch_size=10**9, sync_threshold=10**9)
+        c.build_index(8)
+        number = F.col("id").cast("long")
+        c.upsert_frame(rows.where(number % 2 == 1).withColumn("embedding", F.transform("embedding", lambda x: (x + F.lit(1.0)).cast("float"))))
+        c.delete([r["id"] for r in rows.where((number % 7 == 0) & (number < 700)).select("id").collect()])
+        if flush:
+            c.flush(force=True)
+            c = home(spark, d).collection(c.config.id)  # another handle loads the index
+        return _numbered(c.query(_queries(_read(spark, d, "embeddings")), K, None, ("distances",), 10**9, digits=4))
+
+    return run
+
+
+_MOVED_SQL = f"""SELECT query_id, rank, vec_id, distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS BIGINT) AS rank FROM (
+ SELECT q.vec_id AS query_id, v.vec_id, round(list_distance(v.e, q.embedding::DOUBLE[]) * list_distance(v.e, q.embedding::DOUBLE[]), 4) + 0.0 AS distance FROM
+ (SELECT vec_id, CASE WHEN vec_id % 2 = 1 THEN list_transform(embedding, lambda x: CAST(x::DOUBLE + 1.0 AS FLOAT)::DOUBLE) ELSE embedding::DOUBLE[] END AS e FROM embeddings WHERE vec_id % 7 <> 0 OR vec_id >= 700) v,
+ (SELECT * FROM embeddings WHERE vec_id % {EVERY} = 0) q)) WHERE rank <= {K}"""
 
 
 # --- filters: JSON, and the same as two-valued SQL -------------------------
@@ -226,15 +309,22 @@ def _where(test, keys=None):
 # --- collection ------------------------------------------------------------
 
 
+def _one(spark: SparkSession, **values) -> DataFrame:
+    return spark.createDataFrame([tuple(values.values())], list(values))
+
+
 def _count(spark, d):
-    return _read(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n"))
+    return _one(spark, n=home(spark, d).collection("v").count())
+
+
+def _key(name: str, kind: str) -> Column:
+    return F.try_element_at("metadata", F.lit(name))[kind].alias(name)
 
 
 def _get(ids: list[int]):
     def run(spark, d):
-        asked = spark.createDataFrame(list(enumerate(ids)), "pos long, vec_id long")
-        v = view(spark, d).select("vec_id", "label", "lang", F.lit(True).alias("found"))
-        return F.broadcast(asked).join(v, "vec_id", "left").select("pos", "vec_id", F.coalesce("found", F.lit(False)).alias("found"), "label", "lang")
+        got = home(spark, d).collection("v").get([f"{i:012d}" for i in ids])
+        return got.select("pos", _number(), "found", _key("label", "i").cast("int").alias("label"), _key("lang", "s"))
 
     return run
 
@@ -244,8 +334,167 @@ def _sql_get(ids: list[int]) -> str:
     return f"SELECT CAST(a.pos AS BIGINT) AS pos, CAST(a.vec_id AS BIGINT) AS vec_id, v.vec_id IS NOT NULL AS found, v.label, v.lang FROM (VALUES {values}) a(pos, vec_id) LEFT JOIN {V_SQL} v ON v.vec_id = a.vec_id"
 
 
+def _get_vectors(spark, d):
+    """Embeddings by point id."""
+    got = home(spark, d).collection("v").get([f"{i:012d}" for i in (5, 2, 99_999_999)], include=("embeddings",))
+    return got.select("pos", _number(), F.size("embedding").alias("dimension"), rounded(D.dot(F.col("embedding"), F.col("embedding")), DIGITS).alias("square"), rounded(F.get("embedding", F.lit(3)).cast("double"), DIGITS).alias("fourth"))
+
+
 def _get_where(spark, d):
-    return view(spark, d).where(compile_filter({"toxic_flag": True}, ColumnKeys(KEYS), two_valued=False)).select("vec_id", "lang", "n_chars")
+    got = home(spark, d).collection("v").get(where={"toxic_flag": True})
+    return got.select(_number(), _key("lang", "s"), _key("n_chars", "i"))
+
+
+def _index_counts(spark, d):
+    """Vectors in sight of a search, vectors in the index and the operations it has seen,
+    before and after a flush of ten more."""
+    rows = as_records(spark, d)
+    c = _own(spark, d, rows, max_scan=0, batch_size=1_000_000, sync_threshold=10**9)
+    c.build_index(4)
+    n = c.indexed_count()
+    c.upsert([f"new{i}" for i in range(10)], [[1.0] + [0.0] * 63] * 10)
+    before = (c.indexed_count() - n, c.committed_count() - n, c.log.last_seq - c.flushed_seq())
+    c.flush(force=True)
+    return spark.createDataFrame([("waiting", n, *before), ("flushed", n, c.indexed_count() - n, c.committed_count() - n, c.log.last_seq - c.flushed_seq())], "moment string, loaded long, in_sight long, committed long, waiting long")
+
+
+def _writes(spark, d):
+    """Adds, upserts, updates and deletes through the API, and the state they leave."""
+    c = _own(spark, d)
+    vector = lambda x: [float(x), 1.0]
+    c.add(["a", "b", "c"], [vector(1), vector(2), vector(3)], [{"n": 1}, {"n": 2}, None], ["one", "two", None])
+    c.upsert(["b", "d"], [vector(20), vector(4)], None, ["zwei", None])
+    c.update(["a", "c"], [{"n": 10}, None], [None, "drei"])
+    c.delete(["d", "nobody"])
+    return c.records().select("id", F.get("embedding", F.lit(0)).cast("double").alias("x"), _key("n", "i"), "document", "seq")
+
+
+_WRITES_SQL = """SELECT * FROM (VALUES ('a', 1.0::DOUBLE, 10::BIGINT, NULL::VARCHAR, 6::BIGINT), ('b', 20.0, NULL, 'zwei', 4), ('c', 3.0, NULL, 'drei', 7)) t(id, x, n, document, seq)"""
+
+
+def _limits(spark, d):
+    """What requests beyond the limits, or against the state, are answered with."""
+    engine = home(spark, d)
+    asked, name = Requests(engine), f"limits-{uuid.uuid4().hex}"
+    asked.create({"name": name})
+    tests = {
+        "add": (asked.add, name, {"ids": ["a"], "embeddings": [[1.0, 2.0]]}),
+        "add_again": (asked.add, name, {"ids": ["a"], "embeddings": [[1.0, 2.0]]}),
+        "add_nothing": (asked.add, name, {"ids": [], "embeddings": []}),
+        "add_twice": (asked.add, name, {"ids": ["x", "x"], "embeddings": [[1.0, 2.0]] * 2}),
+        "empty_id": (asked.add, name, {"ids": [""], "embeddings": [[1.0, 2.0]]}),
+        "long_id": (asked.add, name, {"ids": ["i" * 513], "embeddings": [[1.0, 2.0]]}),
+        "many_ids": (asked.delete, name, {"ids": [str(i) for i in range(10_001)]}),
+        "other_dimension": (asked.add, name, {"ids": ["b"], "embeddings": [[1.0]]}),
+        "unequal_lists": (asked.upsert, name, {"ids": ["b"], "embeddings": [[1.0, 2.0]] * 2}),
+        "null_metadata": (asked.upsert, name, {"ids": ["b"], "embeddings": [[1.0, 2.0]], "metadatas": [{"x": None}]}),
+        "update_missing": (asked.update, name, {"ids": ["nobody"], "documents": ["x"]}),
+        "delete_missing": (asked.delete, name, {"ids": ["nobody"]}),
+        "many_queries": (asked.query, name, {"query_embeddings": [[1.0, 2.0]] * 101}),
+        "many_results": (asked.query, name, {"query_embeddings": [[1.0, 2.0]], "n_results": 1_001}),
+        "bad_filter": (asked.query, name, {"query_embeddings": [[1.0, 2.0]], "where": {"x": {"$like": "y"}}}),
+        "bad_include": (asked.get, name, {"include": ["everything"]}),
+        "unknown": (asked.count, "no-such-collection"),
+        "name_taken": (asked.create, {"name": name}),
+        "get_or_create": (asked.create, {"name": name, "get_or_create": True}),
+        "no_name": (asked.create, {"name": ""}),
+        "bad_space": (asked.create, {"name": "x", "space": "cos"}),
+        "count": (asked.count, name),
+    }
+    return spark.createDataFrame([(k, handled(*t)[0]) for k, t in tests.items()], "request string, status int")
+
+
+_LIMITS_SQL = """SELECT * FROM (VALUES ('add', 200), ('add_again', 409), ('add_nothing', 400), ('add_twice', 400), ('empty_id', 400), ('long_id', 400), ('many_ids', 400), ('other_dimension', 400),
+ ('unequal_lists', 400), ('null_metadata', 400), ('update_missing', 404), ('delete_missing', 200), ('many_queries', 400), ('many_results', 400), ('bad_filter', 400), ('bad_include', 400),
+ ('unknown', 404), ('name_taken', 409), ('get_or_create', 200), ('no_name', 400), ('bad_space', 400), ('count', 200)) t(request, status)"""
+
+
+def _responses(spark, d):
+    """Nested lists as a client gets them: padded, and with what was asked for."""
+    got = Requests(home(spark, d)).query("v", {"query_embeddings": [_first(spark, d)], "n_results": 3, "where": {"label": {"$lt": 5}}, "include": ["distances", "metadatas"], "pad": True})
+    rows = [(i, int(id), round(x, DIGITS) + 0.0, m["label"]) for i, (id, x, m) in enumerate(zip(got["ids"][0], got["distances"][0], got["metadatas"][0]))]
+    return spark.createDataFrame(rows, "pos long, vec_id long, distance double, label long")
+
+
+# --- catalog ---------------------------------------------------------------
+
+
+def _catalog(spark, d):
+    """Tenants, databases and collections after they were made, changed and dropped."""
+    engine = Engine(spark, scratch(spark))
+    c = engine.catalog
+    c.create_tenant("t")
+    c.create_database("t", "db")
+    one = engine.create_collection("one", 3, "cosine")
+    other = engine.create_collection("one", tenant="t", database="db", metadata={"k": 1})
+    gone = engine.create_collection("gone")
+    again = engine.create_collection("one", get=True)
+    engine.delete_collection("gone")
+    c.update_dimension(other.config.id, 7)
+    c.update_metadata(other.config.id, {"k": 2})
+    c.advance(one.config.id, 9)
+    c.advance(one.config.id, 4)
+    rows = []
+    for config in (again.config, engine.collection(other.config.id).config):
+        rows.append((config.tenant, config.database, config.name, config.dimension, config.space.value, json.dumps(config.metadata), engine.collection(config.id).config.id == config.id))
+    rows.append(("listed", "", ",".join(sorted(x.name for x in engine.list_collections())), len(engine.list_collections("t", "db")), "", "null", gone.config.id not in {x.id for x in engine.list_collections()}))
+    made = spark.createDataFrame(rows, "tenant string, database string, name string, dimension int, space string, metadata string, by_id boolean")
+    seqs = c.frame().select("tenant", "name", "max_seq")
+    return made.join(seqs, ["tenant", "name"], "left").select("tenant", "database", "name", "dimension", "space", "metadata", "by_id", "max_seq")
+
+
+_CATALOG_SQL = """SELECT * FROM (VALUES ('default_tenant', 'default_database', 'one', 3, 'cosine', 'null', TRUE, 9::BIGINT), ('t', 'db', 'one', 7, 'l2', '{"k": 2}', TRUE, 0), ('listed', '', 'one,one', 1, '', 'null', TRUE, NULL))
+ t(tenant, database, name, dimension, space, metadata, by_id, max_seq)"""
+
+
+def _restored(spark, d):
+    """The records of a snapshot of all collections, after they were deleted and restored."""
+    engine = Engine(spark, scratch(spark))
+    c = engine.create_collection("v")
+    c.upsert_frame(as_records(spark, d))
+    at = scratch(spark)
+    engine.snapshot(at)
+    c.delete([f"{i:012d}" for i in range(100)])
+    engine.restore(at)
+    return engine.collection("v").get().select(_number(), _key("label", "i"), F.md5("document").alias("document_md5"))
+
+
+def _payload(spark, d):
+    """A JSON payload of parallel lists, written from V and read again."""
+    from vecloom.sources.files import Store
+    from vecloom.sources.payload import read_payload
+    from vecloom.types import untagged_map
+
+    rows = as_records(spark, d).where("id < '000000000020'").orderBy("id").collect()
+    body = {"ids": [r["id"] for r in rows], "embeddings": [list(r["embedding"]) for r in rows], "metadatas": [untagged_map(r["metadata"]) for r in rows], "documents": [r["document"] for r in rows]}
+    store = Store(spark, scratch(spark))
+    store.put("payload.json", json.dumps(body))
+    made = _own(spark, d, read_payload(spark, store.path("payload.json")))
+    return made.get(include=("embeddings",)).select(_number(), _key("label", "i"), _key("lang", "s"), _key("toxic_flag", "b"), F.md5("document").alias("document_md5"), F.size("embedding").alias("dimension"))
+
+
+def _rendered(spark, d):
+    """Lines of the four formats that a session shows results in."""
+    from vecloom.plans.shell import Shell
+
+    lines: list[str] = []
+    shell = Shell(home(spark, d), lines.append)
+    shell.line("\\use v")
+    for how in ("csv", "table", "vertical", "json"):
+        shell.line(f"\\format {how}")
+        lines.append(f"-- {how}")
+        shell.line("SELECT id FROM * WHERE label = 3 LIMIT 2")
+    shell.line("SELECT id FROM * WHERE label = 77")
+    shell.line("\\format nothing")
+    text = "\n".join(lines).split("\n")
+    return spark.createDataFrame(list(enumerate(text)), "line long, text string")
+
+
+_RENDERED_SQL = f"""WITH r AS (SELECT lpad(CAST(vec_id AS VARCHAR), 12, '0') AS id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 2),
+ t AS (SELECT list(id ORDER BY n) AS ids FROM r),
+ l AS (SELECT ['-- csv', 'id', ids[1], ids[2], '', '-- table', '+--------------+', '| id           |', '+--------------+', '| ' || ids[1] || ' |', '| ' || ids[2] || ' |', '+--------------+', '2 rows in set',
+  '-- vertical', '*** row 1 ***', 'id: ' || ids[1], '*** row 2 ***', 'id: ' || ids[2], '-- json', '[', '  {{', '    "id": "' || ids[1] || '"', '  }},', '  {{', '    "id": "' || ids[2] || '"', '  }}', ']', '[]', 'error: unknown format ' || chr(39) || 'nothing' || chr(39)] AS x FROM t)
+SELECT CAST(i - 1 AS BIGINT) AS line, x[i] AS text FROM (SELECT x, unnest(range(1, len(x) + 1)) AS i FROM l)"""
 
 
 # --- operation log ---------------------------------------------------------
@@ -294,12 +543,68 @@ def _fold_split(spark, d):
     return _flat(fold_onto(fold(log.where(F.col("seq") <= middle)), log.where(F.col("seq") > middle)))
 
 
+def _written_log(spark, d) -> OpLog:
+    """``events`` as an operation log in a folder, appended in three batches."""
+    log = OpLog(spark, scratch(spark))
+    rows = op_log(spark, d)
+    top = rows.agg(F.max("seq")).first()[0]
+    for i in range(3):
+        log.append_frame(rows.where(F.col("seq").between(top * i // 3 + 1, top * (i + 1) // 3)), "seq")
+    return log
+
+
 def _range(spark, d):
-    return op_log(spark, d).where(F.col("seq").between(100, 200)).select("seq", "id", "op")
+    return _written_log(spark, d).read(100, 200).select("seq", "id", "op")
 
 
 def _prune(spark, d):
-    return op_log(spark, d).where(F.col("seq") > 500).groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+    log = _written_log(spark, d)
+    log.prune(500)
+    return log.refresh().read().groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+
+
+def _log_appended(spark, d):
+    """Every operation has the number that its place gives it."""
+    return _written_log(spark, d).read().select("seq", "id", "op", F.md5("document").alias("document_md5"), "epoch")
+
+
+def _log_recovered(spark, d):
+    """The last batch is lost: whoever opens the log next has the prefix before it."""
+    log = _written_log(spark, d)
+    log.store.delete(log._state["batches"][-1]["path"])
+    again = OpLog(spark, log.store.root)
+    return again.read().agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last")).withColumn("told", F.lit(again.last_seq).cast("long"))
+
+
+def _checkpointed(spark, d):
+    """State of a collection after two checkpoints, from its snapshot and the operations since."""
+    log = _written_log(spark, d)
+    log.checkpoint()
+    log.append([{"id": "extra", "op": "upsert", "embedding": [7.0], "document": "x"}])
+    log.checkpoint()
+    log.append([{"id": "extra", "op": "delete"}])
+    return _flat(OpLog(spark, log.store.root).records())
+
+
+def _delta(spark, d):
+    """What followers lack that have seen all before some number."""
+    log = _written_log(spark, d)
+    top = log.last_seq
+    return spark.createDataFrame([(a, log.read(a).count()) for a in (1, 10, top - 3, top, top + 1, top + 10)], "first long, n long")
+
+
+def _fenced(spark, d):
+    """The log up to the first operation of an older epoch than 1; epochs by rule."""
+    epoch = F.when(F.col("seq") % 331 == 0, 0).otherwise(1)
+    return clock.unfenced(op_log(spark, d).withColumn("epoch", epoch), 1).select("seq", "id")
+
+
+def _clocks(spark, d):
+    """How far each user's events have come, from what was known and what was seen."""
+    e = _read(spark, d, "events").select(F.col("user_id").alias("node"), F.col("event_id").alias("seq"))
+    half = e.agg(F.max("seq")).first()[0] // 2
+    known = e.where(F.col("seq") <= half).groupBy("node").agg(F.max("seq").alias("seq"))
+    return clock.advanced(known, e.where(F.col("seq") > half // 2))
 
 
 def _upsert_clears(spark, d):
@@ -361,39 +666,65 @@ def _key_present(spark, d):
 
 
 def _high_water(spark, d):
-    tag = F.struct(F.col("user_id").alias("node"), F.col("event_id").alias("seq"))
-    return _read(spark, d, "events").agg(F.max(tag).alias("t"), F.max("event_id").alias("flushed")).select("t.node", "t.seq", "flushed")
+    clocks = _read(spark, d, "events").select(F.col("user_id").alias("node"), F.col("event_id").alias("seq"))
+    return clock.high_water(clocks).join(clocks.agg(F.max("seq").alias("flushed")))
 
 
 def _optimize_stats(spark, d):
-    log = op_log(spark, d)
-    state = fold(log).agg(F.count(F.lit(1)).alias("records"), F.count("embedding").alias("indexed"))
-    return state.join(log.agg(F.count(F.lit(1)).alias("log_before"))).withColumn("log_after", F.lit(0).cast("long"))
+    """A collection of which a third was deleted, before and after it is optimized."""
+    rows = as_records(spark, d)
+    c = _own(spark, d, rows, max_scan=0, batch_size=10**9, sync_threshold=10**9)
+    c.build_index(4)
+    c.delete([r["id"] for r in rows.where((F.col("id").cast("long") % 3 == 0) & (F.col("id") < "000000001500")).select("id").collect()])
+    c.log.checkpoint()
+    stats = c.optimize()
+    waiting = c.log.read(c.log.snapshot_seq + 1).count()
+    return _one(spark, records=stats.records, indexed=stats.indexed, log_shrinks=stats.log_bytes_after <= stats.log_bytes_before and stats.log_bytes_before > 0, waiting=waiting)
 
 
 # --- query language --------------------------------------------------------
 
 
 def _sql(text: str):
-    """A query of the language over V, through its parser."""
-    from vecloom.plans.sql import DEFAULT_LIMIT, Count, parse
+    """A query of the language on the collections of ``home``."""
 
     def run(spark, d):
-        query = parse(text)
-        v = view(spark, d)
-        if isinstance(query, Count):
-            return v.agg(F.count(F.lit(1)).alias("n"))
-        if query.where is not None:
-            v = v.where(compile_filter(query.where, ColumnKeys(KEYS), two_valued=False))
-        limit = DEFAULT_LIMIT if query.limit is None else query.limit
-        if query.nearest is None:
-            return v.orderBy("vec_id").limit(limit).select("vec_id", "label", "lang")
-        dist = rounded(D.distance("l2", F.col("embedding"), D.literal_vector(query.nearest)), DIGITS)
-        return v.select("vec_id", dist.alias("distance")).orderBy("distance", "vec_id").limit(limit)
+        found = home(spark, d).sql(text, "v")
+        if found.columns == ["count"]:
+            return found.withColumnRenamed("count", "n")
+        if "distance" in found.columns:
+            return found.select(_number(), rounded(F.col("distance"), DIGITS).alias("distance"))
+        return found.select(_number(), _key("label", "i").cast("int").alias("label"), _key("lang", "s"))
 
     return run
 
 
+def _select_list(spark, d):
+    """A list of fields gives these fields."""
+    found = home(spark, d).sql("SELECT document, id FROM v WHERE lang = 'fr' LIMIT 9")
+    assert found.columns == ["document", "id"]
+    return found.select(_number(), F.md5("document").alias("document_md5"))
+
+
+def _shell(spark, d):
+    """What a session answers to its commands."""
+    from vecloom.plans.shell import Shell
+
+    engine = Engine(spark, scratch(spark))
+    lines: list[str] = []
+    shell = Shell(engine, lines.append)
+    for text in ("CREATE COLLECTION books", "\\create films", "\\use films", "SELECT COUNT(*) FROM *", "\\clear", "SELECT * FROM *", "\\drop films", "SELECT COUNT(*) FROM films", "DELETE books", "\\nonsense", "\\format csv", "SELECT COUNT(*) FROM books;", "\\quit"):
+        lines.append(f"> {text}")
+        shell.line(text)
+    rows = [x for line in lines for x in line.split("\n") if x.startswith(("> ", "error: ")) or x.strip("| ").isdigit()]
+    return spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "line long, text string")
+
+
+_SHELL_SQL = """SELECT CAST(i - 1 AS BIGINT) AS line, x[i] AS text FROM (SELECT x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT ['> CREATE COLLECTION books', '> \\create films', '> \\use films',
+ '> SELECT COUNT(*) FROM *', '| 0     |', '> \\clear', '> SELECT * FROM *', 'error: no collection is in use', '> \\drop films', '> SELECT COUNT(*) FROM films', 'error: collection films',
+ '> DELETE books', 'error: unsupported query: ''DELETE books''', '> \\nonsense', 'error: unknown command \\nonsense', '> \\format csv', '> SELECT COUNT(*) FROM books;', '0', '> \\quit'] AS x))"""
+
+
 _UNIT = [1.0 if i == 0 else 0.0 for i in range(64)]
 _UNIT_SQL = "[" + ", ".join(f"{x}" for x in _UNIT) + "]"
 
@@ -409,23 +740,19 @@ def _sql_rows(where: str, n: int) -> str:
 # --- streaming -------------------------------------------------------------
 
 
-def _follower(spark, d):
-    """The log in four batches of files, read as a stream and folded by a follower."""
-    from vecloom.sources.files import Store
+def _follower(spark, d, checkpoints: bool = False):
+    """The log's batches followed as a stream; with checkpoints the follower comes late
+    and starts from a snapshot, as the log before it is gone."""
     from vecloom.streaming.follower import Follower
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="vecloom-")
-    import uuid
-
-    root = f"{base.rstrip('/')}/follower-{uuid.uuid4().hex}"
-    op_log(spark, d).repartitionByRange(4, "seq").write.parquet(f"{root}/log/oplog")
-    Store(spark, root).put("follower/.keep", "")
-    follower = Follower(spark, f"{root}/log", f"{root}/follower")
-    follower.start(f"{root}/checkpoint", available_now=True).awaitTermination()
+    log = _written_log(spark, d)
+    if checkpoints:
+        for i in range(2):
+            log.append([{"id": f"late{i}", "op": "upsert", "embedding": [1.0]}, {"id": f"late{i}", "op": "delete"}])
+            log.checkpoint()
+    root = scratch(spark)
+    follower = Follower(spark, log.store.root, root, buckets=8)
+    follower.start(f"{root}-checkpoint", available_now=True).awaitTermination()
     return _flat(follower.state())
 
 
@@ -440,7 +767,7 @@ QUERIES = {
     "vec_normalize": _normalized,
     **{f"knn_{s}": _single(s) for s in ("l2", "ip", "cosine")},
     **{f"knn_batch_{s}": _batch(s) for s in ("l2", "ip", "cosine")},
-    "knn_batch_expressions": _batch("l2", blocks=False),
+    "knn_batch_grid": _grid,
     "knn_k_exceeds_n": _all_neighbours,
     "knn_include_projection": _included,
     "knn_nested_response": _nested,
@@ -451,10 +778,25 @@ QUERIES = {
     "get_by_ids": _get([3, 1, 4, 159]),
     "get_missing_and_duplicate_ids": _get([7, 7, 99_999_999, 0]),
     "get_where": _get_where,
+    "get_vectors": _get_vectors,
+    "index_counts": _index_counts,
+    "writes": _writes,
+    "request_limits": _limits,
+    "request_response": _responses,
+    "catalog": _catalog,
+    "snapshot_restore": _restored,
+    "json_payload": _payload,
+    "rendered_results": _rendered,
     "fold_full": _fold_full,
     "fold_incremental_equals_full": _fold_split,
     "oplog_range": _range,
     "oplog_prune": _prune,
+    "oplog_append": _log_appended,
+    "oplog_recover": _log_recovered,
+    "oplog_checkpoint": _checkpointed,
+    "oplog_delta": _delta,
+    "epoch_fencing": _fenced,
+    "clocks": _clocks,
     "upsert_clears_metadata": _upsert_clears,
     "update_replaces_document": _update_replaces,
     "delete_then_readd": _delete_readd,
@@ -469,10 +811,16 @@ QUERIES = {
     "sql_json_where": _sql('SELECT * FROM v WHERE {"label": {"$in": [1, 2]}, "quality": {"$ne": 0}}'),
     "sql_nearest": _sql(f"SELECT * FROM v NEAREST TO {_UNIT_SQL} LIMIT 5"),
     "sql_nearest_where": _sql(f"SELECT * FROM v NEAREST TO {_UNIT_SQL} WHERE label <> 3 LIMIT 5"),
-    "knn_ivf_all_cells": _ivf(False),
-    "knn_ivf": _ivf(True),
-    "knn_postfilter_ivf": _postfilter,
+    "sql_select_list": _select_list,
+    "shell_commands": _shell,
+    "knn_ivf_all_cells": _ivf(ef=10**9),
+    "knn_ivf": _ivf(),
+    "knn_ivf_filtered_all_cells": _ivf({"label": {"$lt": 5}}, 10**9, 1_000),
+    "knn_postfilter_ivf": _ivf({"label": {"$lt": 5}}),
+    "index_flushed_writes": _index_writes(True),
+    "index_waiting_writes": _index_writes(False),
     "stream_follower": _follower,
+    "stream_follower_from_snapshot": lambda spark, d: _follower(spark, d, True),
 }
 
 
@@ -494,8 +842,8 @@ ORACLES = {
     "vec_normalize": f"SELECT vec_id, count(*) AS dimension, round(sum(x * x), {DIGITS}) + 0.0 AS square, round(max(x), {DIGITS}) + 0.0 AS largest FROM (SELECT vec_id, unnest({_DOUBLES.format('embedding')}) / sqrt({_sql_dot('embedding', 'embedding')}) AS x FROM embeddings) GROUP BY vec_id",
     **{f"knn_{s}": _sql_single(s) for s in ("l2", "ip", "cosine")},
     **{f"knn_batch_{s}": _sql_batch(s) for s in ("l2", "ip", "cosine")},
-    "knn_batch_expressions": _sql_batch("l2"),
-    "knn_k_exceeds_n": _ALL_SQL,
+    "knn_batch_grid": _sql_batch("l2"),
+    "knn_k_exceeds_n": _sql_batch("l2", k=1_000),
     "knn_include_projection": _INCLUDED_SQL,
     "knn_nested_response": _NESTED_SQL,
     **{k: f"SELECT vec_id FROM {V_SQL} WHERE {sql}" for k, (_, sql) in WHERE.items()},
@@ -505,7 +853,22 @@ ORACLES = {
     "get_by_ids": _sql_get([3, 1, 4, 159]),
     "get_missing_and_duplicate_ids": _sql_get([7, 7, 99_999_999, 0]),
     "get_where": f"SELECT vec_id, lang, n_chars FROM {V_SQL} WHERE coalesce(toxic_flag, FALSE)",
+    "get_vectors": f"SELECT CAST(a.pos AS BIGINT) AS pos, CAST(a.vec_id AS BIGINT) AS vec_id, CAST(len(e.embedding) AS INTEGER) AS dimension, round({_sql_dot('e.embedding', 'e.embedding')}, {DIGITS}) + 0.0 AS square, round(e.embedding[4]::DOUBLE, {DIGITS}) + 0.0 AS fourth FROM (VALUES (0, 5), (1, 2), (2, 99999999)) a(pos, vec_id) LEFT JOIN embeddings e ON e.vec_id = a.vec_id",
+    "index_counts": "SELECT moment, (SELECT count(*) FROM embeddings) AS loaded, in_sight, committed, waiting FROM (VALUES ('waiting', 10::BIGINT, 0::BIGINT, 10::BIGINT), ('flushed', 10, 10, 0)) t(moment, in_sight, committed, waiting)",
+    "writes": _WRITES_SQL,
+    "request_limits": _LIMITS_SQL,
+    "request_response": f"SELECT rank - 1 AS pos, vec_id, distance, CAST(label AS BIGINT) AS label FROM ({_sql_single('l2', 'label < 5', 3)}) JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id)",
+    "catalog": _CATALOG_SQL,
+    "snapshot_restore": "SELECT e.vec_id, CAST(e.label AS BIGINT) AS label, md5(d.text) AS document_md5 FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id",
+    "json_payload": f"SELECT v.vec_id, CAST(v.label AS BIGINT) AS label, v.lang, v.toxic_flag, md5(d.text) AS document_md5, 64 AS dimension FROM {V_SQL} v LEFT JOIN documents d ON d.doc_id = v.vec_id WHERE v.vec_id < 20",
+    "rendered_results": _RENDERED_SQL,
     "fold_full": _sql_fold(),
+    "oplog_append": f"SELECT seq, id, op, CASE WHEN op <> 'delete' THEN md5(document) END AS document_md5, CAST(0 AS BIGINT) AS epoch FROM {LOG_SQL}",
+    "oplog_recover": f"SELECT count(*) AS n, max(seq) AS last, max(seq) AS told FROM {LOG_SQL} WHERE seq <= (SELECT (max(event_id) + 1) * 2 // 3 FROM events)",
+    "oplog_checkpoint": _sql_fold(),
+    "oplog_delta": "SELECT CAST(f AS BIGINT) AS first, greatest(0, n - f + 1) AS n FROM (SELECT n, unnest([1, 10, n - 3, n, n + 1, n + 10]) AS f FROM (SELECT count(*) AS n FROM events))",
+    "epoch_fencing": f"SELECT seq, id FROM {LOG_SQL} WHERE seq < 331",
+    "clocks": "SELECT user_id AS node, max(event_id) AS seq FROM events GROUP BY user_id",
     "fold_incremental_equals_full": _sql_fold(),
     "oplog_range": f"SELECT seq, id, op FROM {LOG_SQL} WHERE seq BETWEEN 100 AND 200",
     "oplog_prune": f"SELECT op, count(*) AS n, min(seq) AS first FROM {LOG_SQL} WHERE seq > 500 GROUP BY op",
@@ -516,13 +879,19 @@ ORACLES = {
     "postings_table": _sql_postings(),
     "key_present": f"SELECT vec_id FROM {V_SQL} WHERE quality IS NOT NULL AND n_chars BETWEEN 100 AND 5000",
     "high_water": "SELECT user_id AS node, max(event_id) AS seq, (SELECT max(event_id) FROM events) AS flushed FROM events WHERE user_id = (SELECT max(user_id) FROM events) GROUP BY user_id",
-    "optimize_stats": f"SELECT count(*) AS records, count(x) AS indexed, (SELECT count(*) FROM events) AS log_before, CAST(0 AS BIGINT) AS log_after FROM ({_sql_fold()})",
+    "optimize_stats": "SELECT count(*) AS records, count(*) AS indexed, TRUE AS log_shrinks, CAST(0 AS BIGINT) AS waiting FROM embeddings WHERE vec_id % 3 <> 0 OR vec_id >= 1500",
     "sql_count": "SELECT count(*) AS n FROM embeddings",
     "sql_select_limit": _sql_rows("TRUE", 7),
     "sql_where": _sql_rows("coalesce(lang = 'de', FALSE)", 20),
     "sql_json_where": _sql_rows("label IN (1, 2) AND quality IS NOT NULL AND quality <> 0", 10),
     "sql_nearest": _sql_near("TRUE", 5),
     "sql_nearest_where": _sql_near("label <> 3", 5),
+    "sql_select_list": f"SELECT v.vec_id, md5(d.text) AS document_md5 FROM {V_SQL} v LEFT JOIN documents d ON d.doc_id = v.vec_id WHERE v.lang = 'fr' ORDER BY v.vec_id LIMIT 9",
+    "shell_commands": _SHELL_SQL,
     "knn_ivf_all_cells": _sql_batch("l2"),
+    "knn_ivf_filtered_all_cells": _sql_batch("l2", "label < 5"),
+    "index_flushed_writes": _MOVED_SQL,
+    "index_waiting_writes": _MOVED_SQL,
     "stream_follower": _sql_fold(),
+    "stream_follower_from_snapshot": _sql_fold(),
 }

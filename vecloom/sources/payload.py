@@ -4,25 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vecloom.types import METADATA
 
-_FILE = T.StructType(
-    [
-        T.StructField("ids", T.ArrayType(T.StringType())),
-        T.StructField("embeddings", T.ArrayType(T.ArrayType(T.FloatType()))),
-        T.StructField("metadatas", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
-        T.StructField("documents", T.ArrayType(T.StringType())),
-    ]
-)
+#: Metadata is read as JSON text first, so that each value keeps its own type.
+_FILE = "ids array<string>, embeddings array<array<float>>, metadatas array<string>, documents array<string>"
 
 
 def read_payload(spark: SparkSession, path: str) -> DataFrame:
-    """(id, embedding, metadata, document) from files of parallel lists. Metadata is
-    read as JSON text first, so that each value keeps its own type."""
-    raw = T.StructType([*_FILE.fields[:2], T.StructField("metadatas", T.ArrayType(T.StringType())), _FILE.fields[3]])
-    rows = spark.read.schema(raw).json(path, multiLine=True)
+    """(id, embedding, metadata, document) from files of parallel lists."""
+    rows = spark.read.schema(_FILE).json(path, multiLine=True)
     wide = rows.select(F.explode(F.arrays_zip("ids", "embeddings", "metadatas", "documents")).alias("r"))
     return wide.select(F.col("r.ids").alias("id"), F.col("r.embeddings").alias("embedding"), metadata_from_json(F.col("r.metadatas")).alias("metadata"), F.col("r.documents").alias("document"))
 

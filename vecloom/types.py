@@ -29,6 +29,14 @@ class CorruptionError(VecloomError):
     """Stored data that doesn't agree with its manifest."""
 
 
+class PrunedError(VecloomError):
+    """Operations that the log no longer has."""
+
+
+class FencedError(VecloomError):
+    """Operations of a writer whose epoch is over."""
+
+
 class Space(str, Enum):
     L2 = "l2"
     COSINE = "cosine"
