@@ -145,7 +145,7 @@ def plain_signatures(text):
         out += [" ".join([w[i], *rest]) for i in range(content[k - 1] + 1 if k else 0, p)]
     if not out:
         out = [" ".join(w[i] for i in content[k : k + 3]) for k in range(len(content))] or ([" ".join(w)] if w else [])
-    return sorted({hashlib.md5(x.encode()).hexdigest()[:8] for x in out})
+    return sorted({hashlib.md5(x.encode()).hexdigest()[:16] for x in out})
 
 
 def jaccard(a, b):
@@ -170,18 +170,26 @@ def test_spotsigs(spark, docs, rows, clashing, make):
     assert spotsigs.fingerprints(make([(None, "x"), (None, "y"), (1, "z")])).count() == 3
 
 
-def test_spotsigs_pairs(make):
+def test_spotsigs_classes(make, clashing, rows):
+    """Components of all pairs that are alike enough, by comparing all with all."""
     rng = random.Random(3)
     base = [" ".join(rng.choice(["the", "of", "and", *[f"w{i}" for i in range(60)]]) for _ in range(rng.randint(5, 80))) for _ in range(25)]
-    texts = base + [t + " tail" for t in base] + [t.replace("w1 ", "") for t in base] + base[:4] + [""]
-    sets = [plain_signatures(t) for t in texts]
-    first = {}
-    for i, s in enumerate(sets):
-        first.setdefault(tuple(s), i)
-    want = {(a, b) for a in first.values() for b in first.values() if a < b and sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= 0.8}
-    got = spotsigs.near_pairs(make(list(enumerate(texts)))).collect()
-    assert {(r["a"], r["b"]) for r in got} == want and want
-    assert all(r["likeness"] == pytest.approx(jaccard(sets[r["a"]], sets[r["b"]])) for r in got)
+    texts = base + [t + " tail" for t in base] + [t.replace("w1 ", "") for t in base] + base[:4] + ["", "", None, "the of", "of the"]
+    common_ = "the lorem ipsum of dolor sit and amet consectetur"
+    texts += [f"{common_} the {a} {b} of {b} {a}" for a in ("x", "y") for b in ("u", "v", "w")]
+    cases = [(make(list(enumerate(texts))), list(enumerate(texts))), (clashing, [r[:2] for r in rows])]
+    for df, told in cases:
+        ids, sets = [i for i, _ in told], [plain_signatures(t) for _, t in told]
+        order = sorted(range(len(ids)), key=lambda k: ids[k])
+        root = union_find(len(ids), [(x, y) for x in range(len(ids)) for y in range(x) if sets[order[x]] == sets[order[y]] or (sets[order[x]] and sets[order[y]] and jaccard(sets[order[x]], sets[order[y]]) >= 0.8)])
+        got = {r["doc_id"]: r for r in spotsigs.near_classes(df).collect()}
+        assert {i: got[i]["near_id"] for i in ids} == {ids[order[k]]: ids[order[root[k]]] for k in range(len(ids))}
+        first = {}
+        for k in order:
+            first.setdefault(tuple(sets[k]), ids[k])
+        assert {i: got[i]["class_id"] for i in ids} == {ids[k]: first[tuple(sets[k])] for k in range(len(ids))}
+    assert spotsigs.near_classes(make([])).count() == 0
+    assert sorted(((r["doc_id"] is None, r["near_id"]) for r in spotsigs.near_classes(make([(None, "x y z"), (4, "x y z"), (4, "a b c"), (None, None)])).collect()), key=repr) == sorted([(False, 4), (False, 4), (True, None), (True, 4)], key=repr)
 
 
 def test_toxicity(spark, make):
@@ -211,6 +219,10 @@ def test_toxicity(spark, make):
     assert {r["doc_id"]: r["score"] for r in toxicity.scored(make(rows), flipped).collect()} == got
     assert {r["score"] for r in toxicity.scored(make(rows), told.limit(0)).collect()} == {0.0}
     assert toxicity.scored(make([]), told).count() == 0
+    odd = make(rows).selectExpr("*", "1 as votes", "2 as score", "3 as toxic", "4 as n", "5 as v", "6 as voters")
+    assert {r["doc_id"]: r["score"] for r in toxicity.scored(odd, told).collect()} == got
+    kept = toxicity.accepted(odd, told)
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {i for i, x in got.items() if x < 0.5}
 
 
 def test_warc_round_trip(spark):

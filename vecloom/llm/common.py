@@ -101,3 +101,33 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = now
+
+
+def linked(members: DataFrame, alike, verified, attributes: list[str]) -> DataFrame:
+    """Connected components (node, root) of sets that share a bucket: ``members`` (bucket,
+    id, ``attributes``), written. ``alike(a, b)`` says, from the attributes behind the
+    prefixes a and b, whether two sets are worth comparing; ``verified`` keeps those of
+    the pairs (a, b) that are linked, and writes them.
+
+    First each set of a bucket is compared with the bucket's smallest only, so that a
+    large group of copies costs a comparison a member. Then what that left apart: sets
+    outside a bucket's largest group with all others of the bucket. No pair that shares a
+    bucket and isn't connected by then stays unlooked at.
+    """
+    one = ["id", *attributes]
+    members = members.select("bucket", *one)
+    prefixed = lambda rows, side: rows.select(*[F.col(c).alias(f"{side}{c}") for c in rows.columns])
+    pair = (F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b"))
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min_by(F.struct(*one), "id").alias("center")).where("rows > 1").drop("rows")
+    members = cut(members.join(shared, "bucket"))
+    stars = prefixed(members.drop("center"), "x_").join(prefixed(shared.select("bucket", *[F.col(f"center.{c}") for c in one]), "y_"), F.col("x_bucket") == F.col("y_bucket"))
+    tried = cut(stars.where((F.col("x_id") != F.col("y_id")) & alike("x_", "y_")).select(*pair).distinct())
+    edges = verified(tried)
+    roots = cut(components(edges))
+    grouped = cut(members.drop("center").join(roots, members.id == roots.node, "left").withColumn("group", F.coalesce("root", "id")).drop("node", "root"))
+    main = grouped.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("rows")).groupBy("bucket").agg(F.max(F.struct("rows", "group")).alias("m"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    parted = cut(grouped.join(main.select("bucket", F.col("m.group").alias("main")), "bucket"))
+    outside = prefixed(parted.where("group <> main").drop("main"), "x_")
+    more = outside.join(prefixed(parted.drop("main"), "y_"), F.col("x_bucket") == F.col("y_bucket")).where((F.col("x_group") != F.col("y_group")) & alike("x_", "y_"))
+    more = cut(more.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
+    return components(edges.union(verified(more)))

@@ -17,7 +17,6 @@ on their own; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 
@@ -35,8 +34,6 @@ _ANY = re.compile(r"[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
-_CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
-_LONG_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){12}")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _RUN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _TOKEN = re.compile(r"(?<!\S)\S*?[0-9@]\S*")
@@ -151,8 +148,9 @@ def _similar(token: str) -> str:
     return d if len(d) >= 6 else ""
 
 
-def _examples(rng: random.Random) -> list[tuple[int, str, str, str, bool]]:
-    """(label, token, word before, word before that, repeated elsewhere)"""
+def _examples(rng: random.Random) -> list[tuple[int, str, str, str, int]]:
+    """(label, token, word before, word before that, label of a similar token elsewhere,
+    -1 without one). Similar tokens mostly agree; some of each kind don't."""
     word = lambda: "".join(rng.choice("aeiounrstl") for _ in range(rng.randint(2, 8)))
     num = lambda a, b: "".join(rng.choice("0123456789") for _ in range(rng.randint(a, b)))
     hexa = lambda a, b: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(a, b)))
@@ -164,41 +162,57 @@ def _examples(rng: random.Random) -> list[tuple[int, str, str, str, bool]]:
 
     trigger = lambda kind: rng.choice(sorted(_TRIGGERS[kind]))
     out = []
-    for _ in range(150):
+    for turn in range(150):
         plain = (word(), word())
         out += [
-            ("email", f"{word()}{num(0, 2)}@{word()}.com", *plain, False),
-            ("ip", ".".join(str(rng.randint(0, 255)) for _ in range(4)), *rng.choice([plain, (trigger("ip"), word())]), False),
-            ("card", card(), *rng.choice([plain, (trigger("card"), word())]), False),
-            ("phone", f"+{num(9, 13)}", *plain, False),
-            ("phone", f"{num(3, 3)}-{num(3, 3)}-{num(4, 4)}", rng.choice(["tel:", "phone:", "fax"]), word(), False),
-            ("secret", hexa(32, 64), *rng.choice([("=", trigger("secret")), plain]), False),
-            ("secret", mixed(20, 40), "=", trigger("secret"), False),
-            ("secret", mixed(12, 40), *plain, True),
-            ("secret", mixed(12, 18), f"{trigger('secret')}:", word(), False),
-            ("id", f"{num(3, 3)}-{num(2, 2)}-{num(4, 4)}", *rng.choice([plain, ("ssn", word())]), False),
-            ("id", f"DE{num(20, 20)}", *rng.choice([plain, ("iban", word())]), False),
-            ("", num(1, 4), *plain, False),
-            ("", num(5, 12), *plain, False),
-            ("", "1" + num(12, 18), *plain, False),
-            ("", f"{num(1, 2)}.{num(1, 2)}", "version", word(), False),
-            ("", f"{num(1, 2)}.{num(1, 2)}.{num(1, 2)}", *plain, False),
-            ("", f"{num(4, 4)}-{num(2, 2)}-{num(2, 2)}", *plain, False),
-            ("", f"{num(1, 2)}:{num(2, 2)}", "at", word(), False),
-            ("", f"{word()}{num(1, 3)}", *plain, False),
-            ("", mixed(12, 19), *plain, False),
-            ("", mixed(20, 30), *plain, False),
-            ("", f"${num(1, 4)}.{num(2, 2)}", *plain, False),
-            ("", f"@{word()}", *plain, False),
-            ("", f"https://{word()}.com/{num(1, 5)}", *plain, False),
-            ("", f"({num(3, 3)})", *plain, False),
-            ("", rng.choice([num(1, 6), f"{word()}{num(1, 3)}", mixed(12, 19)]), f"{word()}{rng.choice('=:')}", word(), False),
-            ("", num(1, 5), f"{trigger('secret')}{rng.choice('=:')}", word(), False),
+            ("email", f"{word()}{num(0, 2)}@{word()}.com", *plain, None),
+            ("ip", ".".join(str(rng.randint(0, 255)) for _ in range(4)), *rng.choice([plain, (trigger("ip"), word())]), None),
+            ("card", card(), *rng.choice([plain, (trigger("card"), word())]), None),
+            ("phone", f"+{num(9, 13)}", *plain, None),
+            ("phone", f"{num(3, 3)}-{num(3, 3)}-{num(4, 4)}", rng.choice(["tel:", "phone:", "fax"]), word(), None),
+            ("secret", hexa(32, 64), *rng.choice([("=", trigger("secret")), plain]), None),
+            ("secret", mixed(20, 40), "=", trigger("secret"), None),
+            ("secret", mixed(12, 40), *plain, "secret"),
+            ("secret", mixed(12, 18), f"{trigger('secret')}:", word(), None),
+            ("id", f"{num(3, 3)}-{num(2, 2)}-{num(4, 4)}", *rng.choice([plain, ("ssn", word())]), None),
+            ("id", f"DE{num(20, 20)}", *rng.choice([plain, ("iban", word())]), None),
+            ("", num(1, 4), *plain, None),
+            ("", num(5, 12), *plain, None),
+            ("", "1" + num(12, 18), *plain, None),
+            ("", f"{num(1, 2)}.{num(1, 2)}", "version", word(), None),
+            ("", f"{num(1, 2)}.{num(1, 2)}.{num(1, 2)}", *plain, None),
+            ("", f"{num(4, 4)}-{num(2, 2)}-{num(2, 2)}", *plain, None),
+            ("", f"{num(1, 2)}:{num(2, 2)}", "at", word(), None),
+            ("", f"{word()}{num(1, 3)}", *plain, None),
+            ("", mixed(12, 19), *plain, None),
+            ("", mixed(20, 30), *plain, None),
+            ("", f"${num(1, 4)}.{num(2, 2)}", *plain, None),
+            ("", f"@{word()}", *plain, None),
+            ("", f"https://{word()}.com/{num(1, 5)}", *plain, None),
+            ("", f"({num(3, 3)})", *plain, None),
+            ("", rng.choice([num(1, 6), f"{word()}{num(1, 3)}", mixed(12, 19)]), f"{word()}{rng.choice('=:')}", word(), None),
+            ("", num(1, 5), f"{trigger('secret')}{rng.choice('=:')}", word(), None),
         ]
-    return [(LABELS.index(kind), *rest) for kind, *rest in out]
-
-
-def _sequences(rng: random.Random, examples: list) -> list[list[tuple[int, str, str, str, bool]]]:
+        if turn % 10 == 0:  # a likeness that misleads
+            out += [
+                ("", mixed(12, 19), *plain, "secret"),
+                ("secret", mixed(20, 40), "=", trigger("secret"), ""),
+                ("", num(6, 9), *plain, "phone"),
+                ("phone", f"+{num(9, 13)}", *plain, ""),
+                ("email", f"{word()}{num(0, 2)}@{word()}.com", *plain, ""),
+                ("", f"@{word()}", *plain, "email"),
+            ]
+        if turn % 2 == 0:
+            out += [
+                ("email", f"{word()}{num(0, 2)}@{word()}.com", *plain, "email"),
+                ("phone", f"{num(3, 3)}-{num(3, 3)}-{num(4, 4)}", *plain, "phone"),
+                ("", num(6, 9), *plain, ""),
+                ("id", f"{num(3, 3)}-{num(2, 2)}-{num(4, 4)}", *plain, "id"),
+            ]
+    return [(LABELS.index(kind), *rest, -1 if like is None else LABELS.index(like)) for kind, *rest, like in out]
+
+
+def _sequences(rng: random.Random, examples: list) -> list[list[tuple[int, str, str, str, int]]]:
     """Chains of nodes as in ``_examples``, with no word between them."""
     num = lambda a, b: "".join(rng.choice("0123456789") for _ in range(rng.randint(a, b)))
     word = lambda: "".join(rng.choice("aeiounrstl") for _ in range(rng.randint(2, 8)))
@@ -206,7 +220,7 @@ def _sequences(rng: random.Random, examples: list) -> list[list[tuple[int, str,
 
     def close(labels, tokens, before):
         words = [*before, *tokens]
-        out.append([(LABELS.index(k), t, words[i + 1], words[i], False) for i, (k, t) in enumerate(zip(labels, tokens))])
+        out.append([(LABELS.index(k), t, words[i + 1], words[i], -1) for i, (k, t) in enumerate(zip(labels, tokens))])
 
     for _ in range(100):
         plain = (word(), word())
@@ -231,7 +245,8 @@ def trained(seed: int = 5, steps: int = 400) -> tuple[np.ndarray, float, np.ndar
     sequences = [[e] for e in examples] + _sequences(rng, examples)
     nodes = [e for chain in sequences for e in chain]
     x = np.array([features(t, a, b) for _, t, a, b, _ in nodes])
-    linked = np.array([e[4] for e in nodes], float)
+    # the label of a similar token is given; agreeing with it is worth ``c``
+    like = np.array([np.eye(len(LABELS))[e[4]] if e[4] >= 0 else np.zeros(len(LABELS)) for e in nodes])
     one = np.eye(len(LABELS))[[e[0] for e in nodes]]
     # places of the nodes of chains longer than one, padded at the end
     alone = len(examples)
@@ -243,7 +258,7 @@ def trained(seed: int = 5, steps: int = 400) -> tuple[np.ndarray, float, np.ndar
     w, c, move = np.zeros((x.shape[1], len(LABELS))), 0.0, np.zeros((len(LABELS), len(LABELS)))
     dw, dc, dmove = 0.0 * w, 0.0, 0.0 * move
     for _ in range(steps):
-        z = x @ w + c * linked[:, None] * one
+        z = x @ w + c * like
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         own, e = np.ones(padded.shape), np.exp(move)
@@ -264,7 +279,7 @@ def trained(seed: int = 5, steps: int = 400) -> tuple[np.ndarray, float, np.ndar
             pairs += (q / q.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         off = one - p
         dw = 0.9 * dw + 0.5 * (x.T @ off / len(x) - 1e-4 * w)
-        dc = 0.9 * dc + 0.5 * (float((linked[:, None] * one * off).sum()) / len(x) - 1e-4 * c)
+        dc = 0.9 * dc + 0.5 * (float((like * off).sum()) / len(x) - 1e-4 * c)
         dmove = 0.9 * dmove + 0.5 * ((truth - pairs) / len(x) - 1e-4 * move)
         w, c, move = w + dw, c + dc, move + dmove
     return w, c, move
@@ -383,6 +398,17 @@ def _apart(base: list[tuple[str, int, int]]) -> list[tuple[int, int, str]]:
     return out
 
 
+def _before(text: str, at: int) -> list[str]:
+    """The last two words before a place, whole however long they are."""
+    size = 80
+    while True:
+        part = text[max(0, at - size) : at]
+        words = part.split()
+        if size >= at or len(words) > 2 or (len(words) == 2 and part[0].isspace()):
+            return words[-2:]
+        size *= 4
+
+
 def field_spans(text: str, base: list[tuple[str, int, int]], model: tuple[np.ndarray, float, np.ndarray]) -> list[tuple[str, int, int]]:
     """What the field labels beside the base; the parts of tokens in base spans are its."""
     if not _ANY.search(text):
@@ -390,7 +416,7 @@ def field_spans(text: str, base: list[tuple[str, int, int]], model: tuple[np.nda
     held = _apart(base)
     nodes, taken, seen, j = [], [], {}, 0
     for m in _TOKEN.finditer(text):
-        near = [x for word in text[max(0, m.start() - 80) : m.start()].split()[-2:] for x in _contexts(word)]
+        near = [x for word in _before(text, m.start()) for x in _contexts(word)]
         for at, piece, mark in _pieces(m[0]):
             before, before2 = (near[-1] if near else ""), (near[-2] if len(near) > 1 else "")
             near = [*near[-1:], piece + mark]
@@ -456,7 +482,3 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detected(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter(F.split("base", ","), lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2("base", 256).alias("base_sha256"), "spans")
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

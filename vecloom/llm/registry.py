@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc": warc.op10_warc,
+    "spotsigs_classes": spotsigs.spotsigs_classes,
 }
 
 ORACLES = {

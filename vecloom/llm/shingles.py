@@ -17,7 +17,7 @@ from vecloom.llm.common import cut, slices
 
 SEED = 42
 BANDS, WIDTH = 24, 5
-_CHUNK = 1 << 12
+_CHUNK = 1 << 10
 
 
 def bit_counts(found: np.ndarray) -> np.ndarray:
@@ -46,17 +46,20 @@ def _name(found: np.ndarray) -> int:
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
+    """Permutations of 32 bits, as odd factors and summands."""
     rng = random.Random(SEED)
-    a, b = ([rng.getrandbits(64) for _ in range(BANDS * WIDTH)] for _ in "ab")
-    return np.array(a, np.uint64) | np.uint64(1), np.array(b, np.uint64)
+    a, b = ([rng.getrandbits(32) for _ in range(BANDS * WIDTH)] for _ in "ab")
+    return np.array(a, np.uint32)[:, None] | np.uint32(1), np.array(b, np.uint32)[:, None]
 
 
 def bands(found: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A key for each band; a set without shingles has one, shared by all such sets."""
+    """A key for each band, from the upper halves of the hashes; a set without shingles
+    has none, as it needs no search."""
     a, b = factors
     if not len(found):
         return np.zeros(0, np.int64)
-    least = np.min([(found[s : s + _CHUNK, None] * a + b).min(axis=0) for s in range(0, len(found), _CHUNK)], axis=0).reshape(BANDS, WIDTH)
+    upper = (found >> np.uint64(32)).astype(np.uint32)
+    least = np.min([(a * upper[s : s + _CHUNK] + b).min(axis=1) for s in range(0, len(upper), _CHUNK)], axis=0).reshape(BANDS, WIDTH)
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least)], np.uint64).view(np.int64)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm import shingles
-from vecloom.llm.common import components, cut, slices, table
+from vecloom.llm.common import components, cut, linked, slices, table
 
 BITS = 64
 RADIUS = 3
@@ -236,7 +236,7 @@ def _named(rows: DataFrame, by: str, own: DataFrame, roots: DataFrame) -> DataFr
     return rows.join(ids, rows[by] == ids.of).drop("of")
 
 
-def _apart(a: str, b: str, radius: int) -> Column:
+def _within(a: str, b: str, radius: int) -> Column:
     """Whether the pivot table leaves two sets' fingerprints to be compared, and whether
     they then are within the radius."""
     gap = F.greatest(*[F.abs(F.get(f"{a}pv", F.lit(i)) - F.get(f"{b}pv", F.lit(i))) for i in range(len(pivots()))])
@@ -253,27 +253,21 @@ def near_texts(docs: DataFrame, shingle: int = WIDE_SHINGLE, least: tuple[int, i
     own = rows.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("at"), *[F.first(c).alias(c) for c in fields])
     table = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))) for p in pivots()])
     own = cut(own.select(F.col("of").alias("id"), F.col("at.doc_id").alias("first"), F.col("at.key").alias("key"), *fields, table.alias("pv")))
-    one = ["id", "n", "fp", "pv"]
-    keys = own.select(*one, F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("center")).where("rows > 1").drop("rows")
-    members = cut(keys.join(shared, "band"))
-    held = own.join(members.select("id").distinct(), "id", "left_semi").select("first", "key")
-    sets = cut(shingles.sets(docs.withColumn("__key", F.xxhash64(F.col("text").cast("string"))).join(held, F.col("doc_id").cast("long").eqNullSafe(F.col("first")) & (F.col("__key") == held.key), "left_semi"), shingle).dropDuplicates(["id"]))
-    # first each set of a band with the smallest only: a large group of copies costs a comparison a member
-    centers = own.select(*[F.col(c).alias(f"c_{c}") for c in one])
-    tried = members.where("id <> center").select(*one, "center").distinct().join(centers, F.col("center") == F.col("c_id"))
-    tried = cut(tried.where(_sizes_fit("n", "c_n", least) & _apart("", "c_", radius)).select(F.greatest("id", "c_id").alias("a"), F.least("id", "c_id").alias("b")).distinct())
-    edges = shingles.verified(tried, sets, least)
-    # then what that left apart: sets outside the band's largest group with all others of the band
-    roots = cut(components(edges))
-    grouped = cut(members.join(roots, members.id == roots.node, "left").select("band", *one, F.coalesce("root", "id").alias("group")))
-    main = grouped.groupBy("band", "group").agg(F.count(F.lit(1)).alias("rows")).groupBy("band").agg(F.max(F.struct("rows", "group")).alias("m"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    parted = cut(grouped.join(main.select("band", F.col("m.group").alias("main")), "band"))
-    x, y = (parted.select("band", "main", *[F.col(c).alias(f"{side}_{c}") for c in (*one, "group")]) for side in "xy")
-    more = x.where("x_group <> main").join(y.drop("main"), "band").where((F.col("x_group") != F.col("y_group")) & _sizes_fit("x_n", "y_n", least) & _apart("x_", "y_", radius))
-    more = more.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    edges = edges.union(shingles.verified(more, sets, least))
-    return _named(rows.select("doc_id", "key", "of").withColumnRenamed("of", "id"), "id", own.select("id", "first"), components(edges)).select("doc_id", "key", "root", "component_id")
+    members = own.select(F.explode("bands").alias("bucket"), "id", "n")
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("bucket")
+    members = cut(members.join(shared, "bucket"))
+    held = cut(own.join(members.select("id").distinct(), "id", "left_semi").select("id", "first", "key", "fp", "pv"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("of"))
+    mine = keyed.doc_id.eqNullSafe(held["first"]) & (keyed.of == held.key)
+    sets = cut(shingles.sets(keyed.join(held.select("first", "key"), mine, "left_semi"), shingle).dropDuplicates(["id"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = (held.select(F.col("id").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("pv").alias(f"{c}_pv")) for c in "ab")
+        near = pairs.join(x, "a").join(y, "b").where(_within("a_", "b_", radius)).select("a", "b")
+        return shingles.verified(near, sets, least)
+
+    roots = linked(members, lambda a, b: _sizes_fit(f"{a}n", f"{b}n", least), verified, ["n"])
+    return _named(rows.select("doc_id", "key", F.col("of").alias("id")), "id", own.select("id", "first"), roots).select("doc_id", "key", "root", "component_id")
 
 
 def _sizes_fit(a: str, b: str, least: tuple[int, int]) -> Column:

@@ -3,12 +3,12 @@
 A signature is a common word (an anchor) with the chain of the two content words that
 follow it; the set of a text's signatures is its fingerprint. Likeness is the Jaccard
 coefficient of two sets. Two sets can't be more alike than their lengths are, so
-``near_pairs`` divides the sets into partitions by length, of which only equal and
+``near_classes`` divides the sets into partitions by length, of which only equal and
 neighbouring ones can hold near pairs, looks for candidates among the rarest
 signatures that a near pair must share one of, and verifies them.
 
 Texts without anchors chain every content word instead; texts of anchors alone are
-one signature. Signatures are 32 bits of MD5, in hex.
+one signature. Signatures are 64 bits of MD5, in hex.
 
 Defined results: a null text counts as empty; an empty text has an empty fingerprint,
 which is wholly like another empty one and wholly unlike all others; the only
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import lit_array, partitions, table
+from vecloom.llm.common import cut, linked, lit_array, partitions, table
 
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
@@ -36,6 +36,8 @@ ANCHORS = (
 ).split()
 
 CHAIN = 2
+#: Ranges of doc_id that the rows are dealt to, at most.
+RANGES = 4_096
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -45,7 +47,7 @@ def words(text: Column) -> Column:
 
 
 def _signature(*parts: Column) -> Column:
-    return F.left(F.md5(F.concat_ws(" ", *parts)), F.lit(8))
+    return F.left(F.md5(F.concat_ws(" ", *parts)), F.lit(16))
 
 
 def _content(w: Column) -> Column:
@@ -101,10 +103,10 @@ def with_next(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, W]:
     (``guest``). So there is one shuffle, and no order over all rows in one task.
     Rows with ``guest`` are to be left out after the window has been evaluated.
     """
-    spark = docs.sparkSession
-    n = 4 * partitions(spark)
+    # ranges of more rows than memory holds are sorted on disk, so their number is bounded
+    n = min(4 * partitions(docs.sparkSession), RANGES)
     shares = [i / n for i in range(1, n + 1)]
-    got = docs.agg(F.percentile_approx("doc_id", shares, 100 * n).alias("cuts"), F.max("doc_id").alias("last")).first()
+    got = docs.agg(F.percentile_approx("doc_id", shares, 20 * n).alias("cuts"), F.max("doc_id").alias("last")).first()
     cuts = sorted({*(got["cuts"] or []), *([] if got["last"] is None else [got["last"]])})
     own = _bucket(F.col("doc_id"), cuts[:-1])
     if len(cuts) > 1:
@@ -134,32 +136,41 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return with_signatures(rows, "edited", "edited_signatures").drop("bucket", "guest")
 
 
-def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness) with a < b: pairs of documents of which each is the smallest
-    doc_id of its fingerprint and whose fingerprints are ``least`` alike or more.
-    Documents of one fingerprint aren't paired with each other; see ``classes``."""
-    sets = classes(docs).select("class_id", "signatures").dropDuplicates(["class_id"]).where(F.size("signatures") > 0).withColumn("n", F.size("signatures"))
-    spread = sets.select("class_id", "n", F.explode("signatures").alias("s"))
+def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, class_id, near_id): class_id is the smallest doc_id of the same
+    fingerprint, near_id the smallest reachable through fingerprints that are ``least``
+    alike or more. An empty fingerprint is like no other."""
+    rows = cut(classes(docs))
+    sets = cut(rows.where(F.size("signatures") > 0).groupBy("of").agg(F.min("doc_id").alias("first"), F.first("signatures").alias("s")).withColumn("n", F.size("s")).withColumn("id", F.conv(F.left("of", F.lit(15)), 16, 10).cast("long")))
+    spread = sets.select("id", "n", F.explode("s").alias("s"))
     often = spread.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    rare = spread.join(often, "s").groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("by"))
+    # what only one set has can't bring two together; it still counts for the prefix
+    rare = spread.join(often, "s").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("by"))
     # a near pair shares one of the first n - ceil(least * n) + 1 signatures of either
-    first = F.slice("by", 1, F.col("n") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1)
+    first = F.filter(F.slice("by", 1, F.col("n") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1), lambda x: x["df"] > 1)
     part = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / least))).cast("int")
-    keys = rare.select("class_id", "n", part.alias("part"), F.explode(first).alias("k")).select("class_id", "n", "part", "k.s")
-    left = keys.select(F.col("class_id").alias("a"), F.col("n").alias("n_a"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "s")
-    right = keys.select(F.col("class_id").alias("b"), F.col("n").alias("n_b"), "part", "s")
-    found = left.join(right, ["part", "s"]).where("a <> b and n_a <= n_b").where((F.col("n_a") < F.col("n_b")) | (F.col("a") < F.col("b")))
-    found = found.where(F.col("n_a") >= F.lit(least) * F.col("n_b")).select("a", "b").distinct()
-    sides = sets.select("class_id", "signatures")
-    checked = found.join(sides.withColumnsRenamed({"class_id": "a", "signatures": "s_a"}), "a").join(sides.withColumnsRenamed({"class_id": "b", "signatures": "s_b"}), "b").withColumn("likeness", likeness(F.col("s_a"), F.col("s_b")))
-    return checked.where(F.col("likeness") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
+    # lengths of a near pair differ by a factor of 1 / least at most: the same partition or the next one
+    places = F.explode(F.array(part, part + 1))
+    members = cut(rare.select("id", "n", F.explode(first).alias("k"), part.alias("part")).select("id", "n", "k.s", places.alias("part")).select(F.xxhash64("part", "s").alias("bucket"), "id", "n"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
+        return cut(pairs.join(x, "a").join(y, "b").where(likeness(F.col("s_a"), F.col("s_b")) >= least).select("a", "b"))
+
+    fit = lambda a, b: F.least(f"{a}n", f"{b}n") >= F.lit(least) * F.greatest(f"{a}n", f"{b}n")
+    roots = cut(linked(members, fit, verified, ["n"]))
+    best = roots.join(sets, roots.node == sets.id).groupBy("root").agg(F.min("first").alias("near_id"))
+    named = cut(roots.join(best, "root").join(sets.select("id", "of"), F.col("node") == F.col("id")).select(F.col("of").alias("of_text"), "near_id"))
+    found = rows.select("doc_id", "class_id", "of").join(named, F.col("of") == F.col("of_text"), "left")
+    return found.select("doc_id", "class_id", F.coalesce("near_id", "class_id").alias("near_id"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, signatures and class_id, the smallest doc_id with the same fingerprint."""
+    """doc_id, signatures, class_id, the smallest doc_id with the same fingerprint, and
+    ``of``, its hash."""
     rows = with_signatures(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "text", "signatures").withColumn("of", F.sha2(F.array_join("signatures", ","), 256))
     first = rows.groupBy("of").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(first, "of").select("doc_id", "signatures", "class_id")
+    return rows.join(first, "of").select("doc_id", "signatures", "class_id", "of")
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +186,11 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search for near pairs over all documents."""
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(ANCHORS))
 
 
@@ -188,7 +204,7 @@ def _sql_sets(name: str, source: str) -> str:
 {name}_a AS (SELECT c.id, concat_ws(' ', a.w, c.w, c.w2) AS chain FROM {name}_c c JOIN {name}_p a ON a.id = c.id AND a.stop AND a.i > c.p AND a.i < c.i),
 {name}_b AS (SELECT id, concat_ws(' ', w, w2, w3) AS chain FROM {name}_c WHERE id NOT IN (SELECT id FROM {name}_a)),
 {name}_o AS (SELECT id, string_agg(w, ' ' ORDER BY i) AS chain FROM {name}_p WHERE id NOT IN (SELECT id FROM {name}_c) GROUP BY id),
-{name} AS (SELECT id, list_sort(list_distinct(list(left(md5(chain), 8)))) AS s FROM (FROM {name}_a UNION ALL FROM {name}_b UNION ALL FROM {name}_o) GROUP BY id)"""
+{name} AS (SELECT id, list_sort(list_distinct(list(left(md5(chain), 16)))) AS s FROM (FROM {name}_a UNION ALL FROM {name}_b UNION ALL FROM {name}_o) GROUP BY id)"""
 
 
 _SHARED = "len(list_intersect({a}, {b}))"

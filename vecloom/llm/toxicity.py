@@ -1,13 +1,15 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier.
 
-Voters are word beginnings that labelled toxic texts favour (a lexicon found in a
-bounded sample of labelled rows) and a few patterns of writing. A voter votes for
-toxic or abstains. The label model takes a text's class as hidden and estimates for
-each voter how often it votes in either class, by expectation maximization over the
-vote patterns of all texts, counted; the labelled rows enter as prior counts. To
-abstain is no evidence, as most voters speak for one language only. Voters
-of which one goes with another more often than their classes explain are correlated
-and share their weight. Posterior labels then train a logistic regression on how
+Voters are word beginnings that labelled toxic texts favour or avoid (a lexicon found
+in a bounded sample of labelled rows) and a few patterns of writing. A voter speaks or
+abstains; what its voice is worth, for toxic or for clean, the label model estimates.
+That model is generative: a text has a hidden class, and voters form a tree in which a
+voter that goes with another one more often than their classes explain has that one for
+its parent. Its parameters are how often each voter speaks in either class, where its
+parent speaks and where it doesn't, so accuracies and correlations are estimated
+together, by expectation maximization over the vote patterns of all texts, counted;
+the labelled rows enter as prior counts. To abstain is no evidence, as most voters
+speak for one language only. Posterior labels then train a logistic regression on how
 often voters speak, and its sigmoid is the score.
 
 Only rows whose crc32(doc_id as text) mod 5 is not 0 are learnt from; labels, lang,
@@ -37,7 +39,12 @@ TRAIN_ROWS, FIT_ROWS = 8_000, 20_000
 #: Voters of the lexicon, the lengths of the word beginnings, and what they must show.
 VOTERS, LENGTHS = 96, range(3, 11)
 LEAST_TOXIC, LEAST_SHARE = 5, 0.6
-ROUNDS = 6
+#: Voters for clean: how many, and how many texts they would have in toxic texts by
+#: chance of which they have a quarter at most.
+CLEAN_VOTERS, LEAST_EXPECTED = 16, 12
+ROUNDS = 12
+#: Texts that the common rate of a voter beside its parent weighs as much as.
+PRIOR = 5.0
 SEED = 23
 _WORD = re.compile(r"[^\W\d_]+")
 _FLUSH = 200_000
@@ -75,8 +82,8 @@ def _labelled(labels: DataFrame, rows: int) -> DataFrame:
 
 
 def lexicon(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, voters: int = VOTERS) -> tuple[list[str], float, int]:
-    """Word beginnings that labelled toxic texts favour, the best first; the share of
-    toxic rows, and how many rows were learnt from."""
+    """Word beginnings that labelled toxic texts favour, the best first, then those that
+    they avoid; the share of toxic rows, and how many rows were learnt from."""
     told = cut(_labelled(labels, rows))
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(told), "doc_id").select("text", F.col("toxic").cast("int"))
 
@@ -108,13 +115,14 @@ def lexicon(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, voters:
     # how much better than chance, in bits: toxic texts gained less the clean ones that come with them
     p = (F.col("toxic") + share) / (F.col("n") + 1)
     gain = F.col("n") * (p * F.log2(p / share) + (1 - p) * F.log2((1 - p) / (1 - share)))
-    best = counts.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") >= LEAST_SHARE * F.col("n"))).withColumn("gain", gain).orderBy(F.desc("gain"), "start").limit(20 * voters).collect()
+    for_toxic = counts.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") >= LEAST_SHARE * F.col("n")))
+    for_clean = counts.where((F.col("n") * share >= LEAST_EXPECTED) & (4 * F.col("toxic") <= F.col("n") * share))
     chosen: list[str] = []
-    for row in best:
-        if not any(row["start"].startswith(c) or c.startswith(row["start"]) for c in chosen):
-            chosen.append(row["start"])
-        if len(chosen) == voters:
-            break
+    for found, most in ((for_toxic, voters), (for_clean, CLEAN_VOTERS)):
+        most += len(chosen)
+        for row in found.withColumn("gain", gain).orderBy(F.desc("gain"), "start").limit(20 * voters).collect():
+            if len(chosen) < most and not any(row["start"].startswith(c) or c.startswith(row["start"]) for c in chosen):
+                chosen.append(row["start"])
     return chosen, share, totals["n"]
 
 
@@ -158,70 +166,96 @@ def votes(docs: DataFrame, starts: list[str]) -> DataFrame:
 
 
 class LabelModel:
-    """``weights``: what each voter's vote adds to the log odds of toxic; ``base``: the
-    log odds of a text on which all abstain."""
+    """``parents``: each voter's, -1 for none; ``beside`` and ``alone``: what its voice
+    adds to the log odds of toxic where its parent speaks too, and where it doesn't;
+    ``base``: the log odds of a text on which all abstain."""
 
-    def __init__(self, weights: np.ndarray, base: float):
-        self.weights, self.base = weights, base
+    def __init__(self, parents: list[int], beside: np.ndarray, alone: np.ndarray, base: float):
+        self.parents, self.beside, self.alone, self.base = parents, beside, alone, base
 
     def log_odds(self, voters):
-        w = lit_array([float(x) for x in self.weights], "double")
-        return F.lit(self.base) + F.aggregate(voters, F.lit(0.0), lambda acc, v: acc + F.get(w, v))
+        beside, alone = (lit_array([float(x) for x in w], "double") for w in (self.beside, self.alone))
+        said = lambda v: F.when(_with_parent(voters, v, self.parents), F.get(beside, v)).otherwise(F.get(alone, v))
+        return F.lit(self.base) + F.aggregate(voters, F.lit(0.0), lambda acc, v: acc + said(v))
 
     def posterior(self, voters):
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.log_odds(voters)))
 
 
-def _model(alpha: np.ndarray, beta: np.ndarray, share: float, tempered: np.ndarray) -> LabelModel:
-    # who abstains says nothing: most voters speak for one language or kind of text only
-    return LabelModel(tempered * np.log(alpha / beta), math.log(share / (1 - share)))
+def _with_parent(voters, v, parents: list[int]):
+    return F.array_contains(voters, F.get(lit_array(parents, "int"), v))
+
+
+def tree(alone: np.ndarray, together: dict[tuple[int, int], float], expected) -> list[int]:
+    """Each voter's parent: that of the more common ones whose company it has most beyond
+    what ``expected(a, b)`` says, if that is more than as often again."""
+    order = sorted(range(len(alone)), key=lambda v: (-alone[v], v))
+    place = {v: i for i, v in enumerate(order)}
+    best: dict[int, tuple[float, int]] = {}
+    for (a, b), n in sorted(together.items()):
+        child, parent = (a, b) if place[a] > place[b] else (b, a)
+        if n > 2 * (e := expected(a, b)):
+            best[child] = max(best.get(child, (0.0, -1)), ((n - e) / max(1.0, alone[child]), parent))
+    return [best.get(v, (0.0, -1))[1] for v in range(len(alone))]
 
 
 def label_model(patterns: DataFrame, told: DataFrame, n_voters: int, share: float, rounds: int = ROUNDS) -> LabelModel:
     """``patterns`` (voters, n): vote patterns of all texts and their counts; ``told``
     (voters, toxic, n): those of labelled rows. Only sums for each voter, and for each
     pair of voters, come to the driver."""
-
-    def sums(df, of: dict) -> dict[str, np.ndarray]:
-        out = {k: np.zeros(n_voters) for k in of}
-        for r in df.select(F.explode("voters").alias("v"), *[x.alias(k) for k, x in of.items()]).groupBy("v").agg(*[F.sum(k).alias(k) for k in of]).collect():
-            for k in of:
-                out[k][r["v"]] = r[k]
+    # correlations: how often two voters speak together beyond what their classes explain
+    pair = patterns.select("n", F.explode("voters").alias("a"), "voters").select("n", "a", F.explode("voters").alias("b")).where("a <= b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    together = {(r["a"], r["b"]): float(r["n"]) for r in pair.collect()}  # voters squared at most
+    single = np.array([together.pop((v, v), 0.0) for v in range(n_voters)])
+    total = told.agg(F.sum(F.col("toxic") * F.col("n")).alias("toxic"), F.sum("n").alias("n")).first()
+    toxic, clean = float(total["toxic"]), float(total["n"] - total["toxic"])
+    every = float(patterns.agg(F.sum("n")).first()[0] or 0)
+    base = math.log(share / (1 - share))
+
+    def sums(rows: DataFrame, parents: list[int], p) -> np.ndarray:
+        """[beside its parent or not, voter]: texts in which it speaks, weighed by ``p``."""
+        out = np.zeros((2, n_voters))
+        spoken = rows.select("voters", F.col("n").cast("double").alias("n"), p.alias("p")).select("n", "p", "voters", F.explode("voters").alias("v"))
+        for r in spoken.groupBy("v", _with_parent(F.col("voters"), F.col("v"), parents).cast("int").alias("f")).agg(F.sum(F.col("n") * F.col("p")).alias("s")).collect():
+            out[r["f"], r["v"]] = r["s"]
         return out
 
-    total = told.agg(F.sum(F.col("toxic") * F.col("n")).alias("toxic"), F.sum("n").alias("n")).first()
-    toxic, clean = total["toxic"], total["n"] - total["toxic"]
-    own = sums(told, {"toxic": F.col("toxic") * F.col("n"), "n": F.col("n")})
-    rate = lambda votes, of: np.clip((votes + 0.02) / (of + 1.0), 1e-5, 1 - 1e-5)
-    alpha, beta = rate(own["toxic"], toxic), rate(own["n"] - own["toxic"], clean)
-    every = patterns.agg(F.sum("n")).first()[0] or 0
-    # correlations: how often two voters speak together beyond what their classes explain
-    pair = patterns.select("n", F.explode("voters").alias("a"), "voters").select("n", "a", F.explode("voters").alias("b")).where("a < b").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    alone = sums(patterns, {"n": F.col("n")})["n"]
-    together = [(r["a"], r["b"], r["n"]) for r in pair.collect()]  # voters squared at most
-    tempered = np.ones(n_voters)
+    none = [-1] * n_voters
+    own = [sums(told, none, of)[0] for of in (F.col("toxic"), 1 - F.col("toxic"))]
+    alpha, beta = (_rate(own[0], toxic), _rate(own[1], clean))
+    parents = tree(single, together, lambda a, b: every * (share * alpha[a] * alpha[b] + (1 - share) * beta[a] * beta[b]))
+    told_sums = [sums(told, parents, of) for of in (F.col("toxic"), 1 - F.col("toxic"))]
+    all_sums = sums(patterns, parents, F.lit(1.0))
+    # labelled rows count as much as all others together
+    scale = (toxic + clean) / max(1.0, every)
+    model = LabelModel(parents, *estimated(parents, *told_sums, toxic, clean), base)
     for _ in range(rounds):
-        load = np.zeros(n_voters)
-        for a, b, n in together:
-            expected = every * (share * alpha[a] * alpha[b] + (1 - share) * beta[a] * beta[b])
-            if n > 2 * expected:
-                # where a speaks, so much of b's voice is nothing new, and the other way round
-                load[a] += (n - expected) / max(1.0, alone[a])
-                load[b] += (n - expected) / max(1.0, alone[b])
-        tempered = 1.0 / (1.0 + load)
-        model = _model(alpha, beta, share, tempered)
-        weighed = patterns.withColumn("p", model.posterior(F.col("voters")) * F.col("n"))
-        found = sums(weighed, {"p": F.col("p"), "n": F.col("n")})
-        mass = weighed.agg(F.sum("p")).first()[0] or 0.0
-        # labelled rows count as much as all others together
-        scale = (toxic + clean) / max(1.0, every)
-        new_alpha = rate(own["toxic"] + scale * found["p"], toxic + scale * mass)
-        new_beta = rate(own["n"] - own["toxic"] + scale * (found["n"] - found["p"]), clean + scale * (every - mass))
-        done = max(np.abs(new_alpha - alpha).max(), np.abs(new_beta - beta).max()) < 1e-4
-        alpha, beta = new_alpha, new_beta
+        p = model.posterior(F.col("voters"))
+        found = sums(patterns, parents, p)
+        mass = float(patterns.agg(F.sum(p * F.col("n"))).first()[0] or 0.0)
+        new = LabelModel(parents, *estimated(parents, told_sums[0] + scale * found, told_sums[1] + scale * (all_sums - found), toxic + scale * mass, clean + scale * (every - mass)), base)
+        done = max(np.abs(new.beside - model.beside).max(initial=0), np.abs(new.alone - model.alone).max(initial=0)) < 1e-3
+        model = new
         if done:
             break
-    return _model(alpha, beta, share, tempered)
+    return model
+
+
+def _rate(votes: np.ndarray, of) -> np.ndarray:
+    return np.clip((votes + 0.02) / (of + 1.0), 1e-5, 1 - 1e-5)
+
+
+def estimated(parents: list[int], toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> tuple[np.ndarray, np.ndarray]:
+    """What each voter's voice is worth beside its parent and without it, from how often
+    (``toxic``, ``clean``: [beside or not, voter]) it speaks in either class. Beside its
+    parent the rate of both classes together is the prior: then nothing new is said."""
+    up = np.array(parents)
+    speaks = [np.where(up >= 0, x.sum(axis=0)[up], 0.0) for x in (toxic, clean)]
+    silent = [n - s for n, s in zip((n_toxic, n_clean), speaks)]
+    alone = np.log(_rate(toxic[0], np.maximum(silent[0], 0)) / _rate(clean[0], np.maximum(silent[1], 0)))
+    common = (toxic[1] + clean[1] + 0.5) / (speaks[0] + speaks[1] + 1.0)
+    beside = np.log((toxic[1] + PRIOR * common) / (speaks[0] + PRIOR)) - np.log((clean[1] + PRIOR * common) / (speaks[1] + PRIOR))
+    return np.where(up >= 0, beside, 0.0), alone
 
 
 def _blocks(fit: DataFrame) -> DataFrame:
