@@ -81,12 +81,17 @@ def plain_lexicon(rows, told):
         return n * (p * math.log2(p / share) + (1 - p) * math.log2((1 - p) / (1 - share)))
 
     order = sorted(counts, key=lambda s: (-gain(*counts[s]), s))
-    chosen = []
-    for fits, most in ((lambda t, n: t >= 5 and t >= 0.6 * n, 96), (lambda t, n: n * share >= 12 and 4 * t <= n * share, 16)):
-        most += len(chosen)
-        for s in [s for s in order if fits(*counts[s])][: 20 * 96]:
-            if len(chosen) < most and not any(s.startswith(c) or c.startswith(s) for c in chosen):
-                chosen.append(s)
+    chosen, unrelated = [], lambda s: not any(s.startswith(c) or c.startswith(s) for c in chosen)
+    holds = {s: [i for i, (id, text, *_) in enumerate(rows) if id in told and any(w.startswith(s) for w in re.findall(r"[^\W\d_]+", (text or "").lower()))] for s in order if counts[s][0] >= 5 and counts[s][0] >= 0.6 * counts[s][1]}
+    covered = set()
+    for s in list(holds)[: 20 * 96]:
+        left = [told[rows[i][0]] for i in holds[s] if i not in covered]
+        if len(chosen) < 96 and unrelated(s) and not (left.count(0) >= 2 and left.count(1) < 0.6 * len(left)):
+            chosen.append(s)
+            covered |= set(holds[s])
+    for s in [s for s in order if counts[s][1] * share >= 12 and 4 * counts[s][0] <= counts[s][1] * share][: 20 * 96]:
+        if len(chosen) < 112 and unrelated(s):
+            chosen.append(s)
     return chosen, share
 
 
@@ -135,7 +140,14 @@ def plain_scores(rows, labels):
         step = (x * off[:, None]).mean(axis=0)
         w = np.clip(w + 4.0 * (step / norm**2 * np.minimum(1.0, norm * 10) - 1e-5 * w), -12, 12)
         b += off.mean()
-    return dict(zip(range(len(rows)), 1 / (1 + np.exp(-(x @ w + b)))))
+    z = x @ w + b
+    known = label >= 0
+    cuts = sorted(set(np.round(z[known], 9)), reverse=True)
+    good = [i for i, c in enumerate(cuts) if (label[known & (z >= c - 1e-9)] == 1).mean() >= 0.998]
+    if good:
+        i = good[-1]
+        z = z - max(0.0, (cuts[i] + cuts[i + 1]) / 2 if i + 1 < len(cuts) else cuts[i])
+    return dict(zip(range(len(rows)), 1 / (1 + np.exp(-z))))
 
 
 def test_toxicity_query(spark, folder):

@@ -10,7 +10,8 @@ parent speaks and where it doesn't, so accuracies and correlations are estimated
 together, by expectation maximization over the vote patterns of all texts, counted;
 the labelled rows enter as prior counts. To abstain is no evidence, as most voters
 speak for one language only. Posterior labels then train a logistic regression on how
-often voters speak, and its sigmoid is the score.
+often voters speak, and its sigmoid is the score; its base is lowered until nearly all
+labelled rows that it calls toxic are.
 
 Only rows whose crc32(doc_id as text) mod 5 is not 0 are learnt from; labels, lang,
 source and doc_id are no inputs of a score.
@@ -45,6 +46,8 @@ CLEAN_VOTERS, LEAST_EXPECTED = 16, 12
 ROUNDS = 12
 #: Texts that the common rate of a voter beside its parent weighs as much as.
 PRIOR = 5.0
+#: Share of the labelled rows at 0.5 and above that are toxic, at least.
+PRECISION = 0.998
 SEED = 23
 _WORD = re.compile(r"[^\W\d_]+")
 _FLUSH = 200_000
@@ -115,17 +118,54 @@ def lexicon(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, voters:
     # how much better than chance, in bits: toxic texts gained less the clean ones that come with them
     p = (F.col("toxic") + share) / (F.col("n") + 1)
     gain = F.col("n") * (p * F.log2(p / share) + (1 - p) * F.log2((1 - p) / (1 - share)))
-    for_toxic = counts.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") >= LEAST_SHARE * F.col("n")))
-    for_clean = counts.where((F.col("n") * share >= LEAST_EXPECTED) & (4 * F.col("toxic") <= F.col("n") * share))
-    chosen: list[str] = []
-    for found, most in ((for_toxic, voters), (for_clean, CLEAN_VOTERS)):
-        most += len(chosen)
-        for row in found.withColumn("gain", gain).orderBy(F.desc("gain"), "start").limit(20 * voters).collect():
-            if len(chosen) < most and not any(row["start"].startswith(c) or c.startswith(row["start"]) for c in chosen):
-                chosen.append(row["start"])
+    is_toxic = (F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") >= LEAST_SHARE * F.col("n"))
+    is_clean = (F.col("n") * share >= LEAST_EXPECTED) & (4 * F.col("toxic") <= F.col("n") * share)
+    found = cut(counts.select("*", gain.alias("gain"), is_toxic.alias("for_toxic"), is_clean.alias("for_clean")).where("for_toxic or for_clean"))
+    by_gain = lambda of: [r["start"] for r in found.where(of).orderBy(F.desc("gain"), "start").limit(20 * voters).collect()]
+    toxic_starts = by_gain("for_toxic")
+    chosen = _sifted(toxic_starts, _holders(sample, toxic_starts), voters)
+    for start in by_gain("for_clean"):
+        if len(chosen) < voters + CLEAN_VOTERS and not any(start.startswith(c) or c.startswith(start) for c in chosen):
+            chosen.append(start)
     return chosen, share, totals["n"]
 
 
+def _holders(sample: DataFrame, starts: list[str]) -> list[tuple[list[int], int]]:
+    """For each labelled text which of ``starts`` its words begin with, and its label;
+    at most ``TRAIN_ROWS`` short lists."""
+    known = {s: i for i, s in enumerate(starts)}
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 32):
+                held = [sorted(known[s] for s in _starts(t.as_py() or "").keys() & known.keys()) for t in part.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), part.column(1)], ["held", "toxic"])
+
+    return [(r["held"], r["toxic"]) for r in sample.mapInArrow(run, "held array<int>, toxic int").collect()]
+
+
+def _sifted(starts: list[str], rows: list[tuple[list[int], int]], most: int) -> list[str]:
+    """The best of ``starts`` without those that only go along with better ones: where
+    no better one speaks, a voter must keep its share of toxic texts as well."""
+    of: dict[int, list[int]] = {}
+    for i, (held, _) in enumerate(rows):
+        for v in held:
+            of.setdefault(v, []).append(i)
+    toxic, covered, chosen = np.array([t for _, t in rows]), np.zeros(len(rows), bool), []
+    for v, start in enumerate(starts):
+        if len(chosen) == most:
+            break
+        if any(start.startswith(c) or c.startswith(start) for c in chosen):
+            continue
+        own = np.array(of.get(v, []), int)
+        left = own[~covered[own]]
+        if len(left) - toxic[left].sum() >= 2 and toxic[left].sum() < LEAST_SHARE * len(left):
+            continue
+        chosen.append(start)
+        covered[own] = True
+    return chosen
+
+
 def _voter(starts: list[str]):
     """A function from a text to {voter: how often} of those that don't abstain."""
     at = {s: i for i, s in enumerate(starts)}
@@ -365,7 +405,27 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Classifier | None, DataF
     model = label_model(patterns, told, n_voters, share)
     # texts whose votes are the same are one row with a count
     fit = spoken.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).select("votes", "n", model.posterior(F.transform("votes", lambda x: x["v"])).alias("p"))
-    return Classifier(starts, *_fitted(cut(_blocks(fit)), n_voters)), spoken
+    weights, base = _fitted(cut(_blocks(fit)), n_voters)
+    known = spoken.join(F.broadcast(_labelled(labels, rows)), "doc_id").groupBy("votes", F.col("toxic").cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n"))
+    odds = [(base + sum(weights[v] * (1 + math.log(n)) for v, n in r["votes"]), r["toxic"], r["n"]) for r in known.collect()]  # of labelled rows
+    return Classifier(starts, weights, base - _excess(odds)), spoken
+
+
+def _excess(odds: list[tuple[float, int, int]], precision: float = PRECISION) -> float:
+    """By how much the log odds (of labelled rows: log odds, toxic, count) are too high:
+    above that the share ``precision`` of the rows is toxic."""
+    toxic = every = 0
+    found, after = None, False
+    ordered = sorted(odds, key=lambda x: -x[0])
+    for i, (z, t, n) in enumerate(ordered):
+        if after:
+            found, after = (found + z) / 2 if z < found else found, False
+        toxic, every = toxic + t * n, every + n
+        if (i + 1 == len(ordered) or ordered[i + 1][0] < z) and toxic >= precision * every:
+            found, after = z, True
+    return max(0.0, found) if found is not None else 0.0
+
+
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
