@@ -76,6 +76,10 @@ def slices(batch, rows: int = 256):
         yield batch.slice(start, rows)
 
 
+#: How often ``linked`` compares all sets of a bucket with one of them, at most.
+STARS = 8
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): one row (node, root) for each
     node of an edge, root being the smallest node reachable.
@@ -109,24 +113,39 @@ def linked(members: DataFrame, alike, verified, attributes: list[str]) -> DataFr
     prefixes a and b, whether two sets are worth comparing; ``verified`` keeps those of
     the pairs (a, b) that are linked, and writes them.
 
-    First each set of a bucket is compared with the bucket's smallest only, so that a
-    large group of copies costs a comparison a member. Then what that left apart: sets
-    outside a bucket's largest group with all others of the bucket. No pair that shares a
-    bucket and isn't connected by then stays unlooked at.
+    First each set of a bucket is compared with one of them only, another one in each
+    bucket, so that a large group of copies costs a comparison a member and meets many
+    of its own. While sets outside their buckets' largest groups would still meet too
+    many others, this is done again with other sets in the middle. Then what that left
+    apart: sets outside a bucket's largest group with all others of the bucket. No pair
+    that shares a bucket and isn't connected by then stays unlooked at.
     """
     one = ["id", *attributes]
     members = members.select("bucket", *one)
     prefixed = lambda rows, side: rows.select(*[F.col(c).alias(f"{side}{c}") for c in rows.columns])
     pair = (F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min_by(F.struct(*one), "id").alias("center")).where("rows > 1").drop("rows")
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("bucket")
     members = cut(members.join(shared, "bucket"))
-    stars = prefixed(members.drop("center"), "x_").join(prefixed(shared.select("bucket", *[F.col(f"center.{c}") for c in one]), "y_"), F.col("x_bucket") == F.col("y_bucket"))
-    tried = cut(stars.where((F.col("x_id") != F.col("y_id")) & alike("x_", "y_")).select(*pair).distinct())
-    edges = verified(tried)
-    roots = cut(components(edges))
-    grouped = cut(members.drop("center").join(roots, members.id == roots.node, "left").withColumn("group", F.coalesce("root", "id")).drop("node", "root"))
-    main = grouped.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("rows")).groupBy("bucket").agg(F.max(F.struct("rows", "group")).alias("m"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    parted = cut(grouped.join(main.select("bucket", F.col("m.group").alias("main")), "bucket"))
+    total = members.count()
+    # at first every set is a group of its own, and no group is the largest
+    parted = members.withColumns({"group": F.col("id"), "main": F.lit(None).cast("long")})
+    edges = tried = None
+    for turn in range(STARS):
+        inside = F.coalesce(F.col("group") == F.col("main"), F.lit(False)).alias("inside")
+        centers = parted.groupBy("bucket", inside).agg(F.min_by(F.struct(*one, "group"), F.xxhash64(F.lit(turn), "bucket", "id")).alias("c"))
+        centers = prefixed(centers.select("bucket", *[F.col(f"c.{c}") for c in (*one, "group")]), "y_")
+        stars = prefixed(parted.drop("main"), "x_").join(centers, F.col("x_bucket") == F.col("y_bucket")).where((F.col("x_group") != F.col("y_group")) & alike("x_", "y_"))
+        new = stars.select(*pair).distinct()
+        new = cut(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
+        tried = new if tried is None else tried.union(new)
+        edges = verified(new) if edges is None else edges.union(verified(new))
+        roots = cut(components(edges))
+        grouped = cut(members.join(roots, members.id == roots.node, "left").withColumn("group", F.coalesce("root", "id")).drop("node", "root"))
+        main = grouped.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("rows")).groupBy("bucket").agg(F.max(F.struct("rows", "group")).alias("m"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+        main = cut(main.select("bucket", F.col("m.group").alias("main"), "rows", (F.col("rows") - F.col("m.rows")).alias("outside")))
+        parted = cut(grouped.join(main.select("bucket", "main"), "bucket"))
+        if (main.agg(F.sum(F.col("rows") * F.col("outside"))).first()[0] or 0) <= 2 * total:
+            break
     outside = prefixed(parted.where("group <> main").drop("main"), "x_")
     more = outside.join(prefixed(parted.drop("main"), "y_"), F.col("x_bucket") == F.col("y_bucket")).where((F.col("x_group") != F.col("y_group")) & alike("x_", "y_"))
     more = cut(more.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
