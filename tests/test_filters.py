@@ -64,6 +64,7 @@ def test_random_filters(records):
         assert parse_filter(filter_to_json(node)) == node
 
 
+# The names of errors that users of the filter language know.
 @pytest.mark.parametrize(
     "source, kind",
     [
