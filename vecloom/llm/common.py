@@ -77,7 +77,7 @@ def slices(batch, rows: int = 256):
 
 
 #: How often ``linked`` compares all sets of a bucket with one of them, at most.
-STARS = 8
+STARS = 3
 
 
 def components(edges: DataFrame) -> DataFrame:
