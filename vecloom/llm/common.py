@@ -62,6 +62,14 @@ def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None)
     _written[since:] = kept
 
 
+def _drop(spark: SparkSession, start: int, end: int) -> None:
+    """Delete the tables from one place in the list of written ones to another."""
+    for path in _written[start:end]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _written[start:end]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -88,6 +96,7 @@ def components(edges: DataFrame) -> DataFrame:
     aggregated minima, so a node with very many edges is split like any skewed
     join key, and the number of rounds grows with the logarithm of the nodes.
     """
+    before = mark()
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = None
     while True:
@@ -103,6 +112,7 @@ def components(edges: DataFrame) -> DataFrame:
         whole = lambda h: F.sum(h.cast("decimal(20,0)"))
         now = edges.agg(F.count(F.lit(1)), whole(F.xxhash64("a", "b")), whole(F.xxhash64("b", "a"))).first()
         if now == seen:
+            _drop(edges.sparkSession, before, len(_written) - 1)
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = now
 
