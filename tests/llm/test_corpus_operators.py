@@ -192,6 +192,12 @@ def test_spotsigs_classes(make, clashing, rows):
     assert sorted(((r["doc_id"] is None, r["near_id"]) for r in spotsigs.near_classes(make([(None, "x y z"), (4, "x y z"), (4, "a b c"), (None, None)])).collect()), key=repr) == sorted([(False, 4), (False, 4), (True, None), (True, 4)], key=repr)
 
 
+def test_spotsigs_classes_find_the_words_of_a_text_once(make):
+    """No step on the way to a class may find the words of a text again for each of its words."""
+    plan = spotsigs.classes(make([(1, "the lorem ipsum dolor"), (2, "x")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
+
+
 def test_toxicity(spark, make):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("aeioutnsr") for _ in range(rng.randint(2, 8)))

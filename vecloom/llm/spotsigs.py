@@ -168,7 +168,10 @@ def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, signatures, class_id, the smallest doc_id with the same fingerprint, and
     ``of``, its hash."""
-    rows = with_signatures(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "text", "signatures").withColumn("of", F.sha2(F.array_join("signatures", ","), 256))
+    # written first: the join filters its rows by ``of``, and Spark would evaluate that filter on the
+    # texts, with the words of a text found again wherever a step of its signatures names them
+    rows = cut(with_signatures(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "text", "signatures").select("doc_id", "signatures"))
+    rows = rows.withColumn("of", F.sha2(F.array_join("signatures", ","), 256))
     first = rows.groupBy("of").agg(F.min("doc_id").alias("class_id"))
     return rows.join(first, "of").select("doc_id", "signatures", "class_id", "of")
 
