@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from vecloom.llm import common, simhash
+from vecloom.llm import common, shingles, simhash
 
 
 def plain_sets(text):
@@ -98,3 +99,60 @@ def test_chains_and_groups_around_a_far_smallest_member(spark):
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == plain_kept(rows)
+
+
+def test_groups_that_share_bands_without_links_are_ruled_out_by_marks(spark, monkeypatch):
+    """120 texts around one, 0.6 to 0.75 alike, with a few linked pairs among them: nearly every pair shares a band."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [edited(rng, base, 4) for _ in range(110)]
+    rows += [t + " tail" for t in rng.sample(rows, 10)]
+    rows = list(enumerate(rows))
+    compared, verified = [], shingles.verified
+    monkeypatch.setattr(shingles, "verified", lambda near, *rest: compared.append(near.count()) or verified(near, *rest))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_kept(rows)
+    assert 100 < len(want) < 120
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == want
+    # of 7,140 pairs, only those that marks can't rule out are compared by their shingles
+    assert sum(compared) < 200
+
+
+def test_marks_never_rule_out_a_near_pair():
+    rng = np.random.default_rng(7)
+    for n in (1, 4, 5, 9, 40, 300, 3000):
+        for _ in range(20):
+            common_ = rng.integers(0, 1 << 63, n, np.uint64)
+            more = rng.integers(0, 1 << 63, n // 4, np.uint64)
+            cut_at = rng.integers(0, n // 4 + 1)
+            a, b = np.unique(np.concatenate([common_, more[:cut_at]])), np.unique(np.concatenate([common_, more[cut_at:]]))
+            both = len(np.intersect1d(a, b))
+            assert 5 * both >= 4 * (len(a) + len(b) - both)
+            apart = int(np.bitwise_count((shingles.marks(a) ^ shingles.marks(b)).view(np.uint64)).sum())
+            assert 9 * apart <= len(a) + len(b)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 23])
+def test_only_doubtful_texts_are_shuffled(spark, monkeypatch, bits):
+    """Whatever the size of the sieve, the result is the same; at its own size it catches the doubtful rows alone."""
+    monkeypatch.setattr(common, "SIEVE", bits)
+    caught, sieved = [], simhash.sieved
+
+    def counted(rows, key, through, caught_=True, **named):
+        got = sieved(rows, key, through, **({"caught": caught_} | named))
+        if named.get("caught", caught_):
+            caught.append(got.count())
+        return got
+
+    monkeypatch.setattr(simhash, "sieved", counted)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(30))) for i in range(300)]
+    rows += [(300 + i, f"{t} end") for i, (_, t) in enumerate(rows[:7])] + [(400, rows[9][1]), (None, rows[11][1]), *rows[20:23]]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = simhash.keep_one(docs).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(300))
+    assert len(caught) == 2
+    if bits > 64:
+        # seven near pairs share bands; seven near copies, two equal texts, and three repeated rows, twice each, are doubtful
+        assert caught == [14, 7 + 2 + 6]

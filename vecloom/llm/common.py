@@ -84,6 +84,30 @@ def slices(batch, rows: int = 256):
         yield batch.slice(start, rows)
 
 
+#: Bits of a ``sieve``.
+SIEVE = 1 << 23
+
+
+def _place(key: Column) -> tuple[Column, Column]:
+    """The word of a sieve and the bit in it that a hash falls on."""
+    at = key.bitwiseAND(F.lit(SIEVE - 1))
+    return F.shiftrightunsigned(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def sieve(rows: DataFrame, key: Column) -> DataFrame:
+    """(word, bits): the places of the hashes ``key`` in a bitmap of bounded size."""
+    word, bit = _place(key)
+    return rows.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+
+
+def sieved(rows: DataFrame, key: Column, through: DataFrame, caught: bool = True) -> DataFrame:
+    """The rows whose hash falls on a place that ``through`` has, or else the others.
+    Those whose hash is in the sieve are caught, and a few more; more hashes than it has
+    bits only make these more. Rows are told apart where they lie, without a shuffle."""
+    word, bit = _place(key)
+    return rows.join(F.broadcast(through), (word == F.col("__word")) & (F.col("__bits").bitwiseAND(bit) != 0), "left_semi" if caught else "left_anti")
+
+
 #: How often ``linked`` compares all sets of a bucket with one of them, at most.
 STARS = 3
 
@@ -117,7 +141,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def linked(members: DataFrame, alike, verified, attributes: list[str]) -> DataFrame:
+def linked(members: DataFrame, alike, verified, attributes: list[str], finer=None) -> DataFrame:
     """Connected components (node, root) of sets that share a bucket: ``members`` (bucket,
     id, ``attributes``), written. ``alike(a, b)`` says, from the attributes behind the
     prefixes a and b, whether two sets are worth comparing; ``verified`` keeps those of
@@ -128,7 +152,9 @@ def linked(members: DataFrame, alike, verified, attributes: list[str]) -> DataFr
     of its own. While sets outside their buckets' largest groups would still meet too
     many others, this is done again with other sets in the middle. Then what that left
     apart: sets outside a bucket's largest group with all others of the bucket. No pair
-    that shares a bucket and isn't connected by then stays unlooked at.
+    that shares a bucket and isn't connected by then stays unlooked at. ``finer`` (a table
+    by id, and what it says of two sets behind prefixes) is asked there, inside the join:
+    only pairs that it can't rule out become rows.
     """
     one = ["id", *attributes]
     members = members.select("bucket", *one)
@@ -156,7 +182,13 @@ def linked(members: DataFrame, alike, verified, attributes: list[str]) -> DataFr
         parted = cut(grouped.join(main.select("bucket", "main"), "bucket"))
         if (main.agg(F.sum(F.col("rows") * F.col("outside"))).first()[0] or 0) <= 2 * total:
             break
-    outside = prefixed(parted.where("group <> main").drop("main"), "x_")
-    more = outside.join(prefixed(parted.drop("main"), "y_"), F.col("x_bucket") == F.col("y_bucket")).where((F.col("x_group") != F.col("y_group")) & alike("x_", "y_"))
+    maybe = (F.col("x_group") != F.col("y_group")) & alike("x_", "y_")
+    # two sets outside the largest group meet twice
+    maybe &= (F.col("y_group") == F.col("x_main")) | (F.col("x_id") > F.col("y_id"))
+    if finer is not None:
+        parted = cut(parted.join(finer[0], "id"))
+        maybe &= finer[1]("x_", "y_")
+    outside = prefixed(parted.where("group <> main"), "x_")
+    more = outside.join(prefixed(parted.drop("main"), "y_"), F.col("x_bucket") == F.col("y_bucket")).where(maybe)
     more = cut(more.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
     return components(edges.union(verified(more)))

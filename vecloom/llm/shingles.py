@@ -1,4 +1,11 @@
-"""Sets of word shingles: their names, bands of minima, and their likeness.
+"""Sets of word shingles: their names, bands of minima, marks, and their likeness.
+
+The marks of a set are ``MARKS`` bits, one for each slice of the hashes: whether the set
+has an odd number of hashes there. Where two sets' marks differ, one of them has a hash
+that the other has not, so marks never differ in more bits than the sets in hashes, and
+sets of n and m hashes of which the fraction p/q is common differ in (n + m)(q - p)/(q + p)
+hashes at most. That rules pairs out without a loss; it tells little about sets of
+several thousand shingles, whose marks differ in half of the bits.
 
 Part of the near-duplicate operator, see ``simhash.near_texts``.
 """
@@ -10,13 +17,14 @@ import random
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import cut, slices
 
 SEED = 42
 BANDS, WIDTH = 24, 5
+MARKS = 1024
 _CHUNK = 1 << 10
 
 
@@ -63,6 +71,20 @@ def bands(found: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least)], np.uint64).view(np.int64)
 
 
+def marks(found: np.ndarray) -> np.ndarray:
+    """Whether each slice of the hashes, by their lowest bits, holds an odd number of them."""
+    odd = np.bincount((found & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def marks_fit(a: str, b: str, least: tuple[int, int]) -> Column:
+    """Whether the marks of two sets, behind prefixes, allow them to be alike enough."""
+    apart = F.lit(0)
+    for i in range(MARKS // 64):
+        apart = apart + F.bit_count(F.get(f"{a}marks", F.lit(i)).bitwiseXOR(F.get(f"{b}marks", F.lit(i))))
+    return F.lit(least[0] + least[1]) * apart <= F.lit(least[1] - least[0]) * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
 def sketched(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, key, of, n, fp, bands) of every text: the name, size, fingerprint and
     band keys of its set of shingles, and xxhash64 of the text as ``key``."""
@@ -83,15 +105,15 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, s): the name and the shingles of every text's set."""
+    """(id, s, marks): the name, the shingles and the marks of every text's set."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 32):
                 found = [hashes(t.as_py(), shingle) for t in part.column(0)]
-                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array([marks(s) for s in found], pa.list_(pa.int64()))], ["id", "s", "marks"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "id long, s array<long>")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "id long, s array<long>, marks array<long>")
 
 
 def verified(pairs: DataFrame, known: DataFrame, least: tuple[int, int]) -> DataFrame:

@@ -13,7 +13,9 @@ Fingerprints of texts whose five-word shingles are 0.8 alike differ in 10 bits o
 average and in 4 to 14 and more now and then; blocks for such radii are so short that
 their buckets grow with the square of the rows. ``near_texts`` therefore brings texts
 together by bands of minima of the same hashes, discards by the same pivot table at a
-wide radius, and verifies on the shingles. Two sets that are 0.8 alike share one of 24
+wide radius and by the marks of the sets of shingles (see ``shingles``), and verifies on
+the shingles. Where many texts share a band and aren't linked, the marks rule pairs out
+inside the join, before they become rows. Two sets that are 0.8 alike share one of 24
 bands of five minima with probability 0.9999; fingerprints of such sets differ by more
 than 26 bits with a probability of about one in 100,000 for sets of five shingles and
 less for larger ones.
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm import shingles
-from vecloom.llm.common import components, cut, linked, slices, table
+from vecloom.llm.common import components, cut, linked, sieve, sieved, slices, table
 
 BITS = 64
 RADIUS = 3
@@ -256,17 +258,21 @@ def near_texts(docs: DataFrame, shingle: int = WIDE_SHINGLE, least: tuple[int, i
     members = own.select(F.explode("bands").alias("bucket"), "id", "n")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("bucket")
     members = cut(members.join(shared, "bucket"))
-    held = cut(own.join(members.select("id").distinct(), "id", "left_semi").select("id", "first", "key", "fp", "pv"))
+    held = cut(own.join(members.select("id").distinct(), "id", "left_semi").select("id", "first", "key", "n", "fp", "pv"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("of"))
+    # most texts share no band: they are left where they lie, and only the others are shuffled
+    keyed = sieved(keyed, F.xxhash64("doc_id", "of"), sieve(held, F.xxhash64("first", "key")))
     mine = keyed.doc_id.eqNullSafe(held["first"]) & (keyed.of == held.key)
-    sets = cut(shingles.sets(keyed.join(held.select("first", "key"), mine, "left_semi"), shingle).dropDuplicates(["id"]))
+    sets = cut(shingles.sets(keyed.join(held.select("first", "key").hint("merge"), mine, "left_semi"), shingle).dropDuplicates(["id"]))
+    told = cut(held.drop("first", "key").join(sets.select("id", "marks"), "id"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x, y = (held.select(F.col("id").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("pv").alias(f"{c}_pv")) for c in "ab")
-        near = pairs.join(x, "a").join(y, "b").where(_within("a_", "b_", radius)).select("a", "b")
+        x, y = (told.select(F.col("id").alias(c), *[F.col(v).alias(f"{c}_{v}") for v in ("n", "fp", "pv", "marks")]) for c in "ab")
+        near = pairs.join(x, "a").join(y, "b").where(_within("a_", "b_", radius) & shingles.marks_fit("a_", "b_", least)).select("a", "b")
         return shingles.verified(near, sets, least)
 
-    roots = linked(members, lambda a, b: _sizes_fit(f"{a}n", f"{b}n", least), verified, ["n"])
+    finer = told.select("id", "marks"), lambda a, b: shingles.marks_fit(a, b, least)
+    roots = linked(members, lambda a, b: _sizes_fit(f"{a}n", f"{b}n", least), verified, ["n"], finer)
     return _named(rows.select("doc_id", "key", F.col("of").alias("id")), "id", own.select("id", "first"), roots).select("doc_id", "key", "root", "component_id")
 
 
@@ -278,15 +284,19 @@ def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` with one document of each component of ``found`` (by
     default ``near_texts``): that with the smallest doc_id, equal ones by the hash of
     the text. Of rows that repeat both doc_id and text one stays."""
-    found = near_texts(docs) if found is None else found
+    found = cut(near_texts(docs) if found is None else found)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
     chosen = found.groupBy("root").agg(best).select(F.col("best.doc_id").alias("__doc"), F.col("best.key").alias("__of"))
     rows = found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
-    kept = cut(rows.join(chosen, rows.doc_id.eqNullSafe(F.col("__doc")) & (rows.key == F.col("__of")), "left_semi").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__of"), "n"))
+    rows = cut(rows.join(chosen, rows.doc_id.eqNullSafe(F.col("__doc")) & (rows.key == F.col("__of")), "left").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__of"), "n", F.col("__of").isNotNull().alias("kept")))
+    kept, others = rows.where("kept").drop("kept"), sieve(rows.where("not kept or n > 1"), F.xxhash64("__doc", "__of"))
     keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+    # the same plan at every size: what the sieve of the others doesn't catch stays and is left
+    # where it lies, the rest is shuffled and told apart exactly, and no set of ids is broadcast
+    hashed = F.xxhash64(keyed.doc_id.cast("long"), keyed["__key"])
+    sure, keyed = sieved(keyed, hashed, others, caught=False), sieved(keyed, hashed, others)
     same = keyed.doc_id.cast("long").eqNullSafe(F.col("__doc")) & (keyed["__key"] == F.col("__of"))
-    # the same plan at every size: texts are shuffled once, and no set of ids is broadcast
-    once = keyed.join(kept.where("n = 1").hint("merge"), same, "left_semi").select(docs.columns)
+    once = sure.select(docs.columns).union(keyed.join(kept.where("n = 1").hint("merge"), same, "left_semi").select(docs.columns))
     again = kept.where("n > 1")
     if again.isEmpty():
         return once
