@@ -192,6 +192,35 @@ def test_a_forgetful_encoder_is_the_same(monkeypatch, plain_ids, rows):
         assert as_list(own.ids(r[1] or "")) == plain_ids(r[1] or "")
 
 
+def test_pieces_that_come_again_are_merged_once(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
+    made = []
+    known = packing._Known(lambda key: made.append(key) or key.encode())
+    for i in range(100):
+        assert known["often"] == b"often" and known[f"once{i}"] == f"once{i}".encode()
+        assert len(known) <= 5 and len(known._earlier) <= 5
+    assert made.count("often") == 1 and len(made) == 101
+
+
+def test_tasks_of_a_worker_share_an_encoder(spark, monkeypatch):
+    import pyarrow as pa
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    loaded, load = [], packing.Encoder.__init__
+    monkeypatch.setattr(packing.Encoder, "__init__", lambda self, *a: loaded.append(a) or load(self, *a))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b", None])], ["doc_id", "text"])
+    # each task gets the function anew
+    first, again = ([b.to_pylist() for b in packing.pieces(Rows(), end=7)([batch])] for _ in range(2))
+    assert first == again and [r["ids"][-4:] for b in first for r in b] == [b"\7\0\0\0"] * 2
+    assert loaded == [("byte_bpe_50k", 7)]
+
+
 def best_fit(lengths, capacity=1024):
     """Sequences that plain best-fit decreasing takes, piece by piece."""
     from bisect import bisect_left, insort

@@ -22,7 +22,9 @@ import sys
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from codecs import charmap_decode
 from collections import Counter
+from functools import cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -36,7 +38,7 @@ CAPACITY = 1024
 END = 2
 #: Pieces of one length that one task puts in order; more are dealt to several.
 TOGETHER = 100_000
-#: Pieces of text whose ids a worker remembers; a full memory is emptied.
+#: Pieces of text in each of the two memories of their ids that a worker has.
 REMEMBERED = 200_000
 
 
@@ -60,7 +62,7 @@ class Encoder:
         self._end = _packed([end])
         model, letters = tokenizer.model, _byte_letters()
         self._whole = lambda text: _packed(tokenizer.encode(text, add_special_tokens=False).ids)
-        self._pieces = _Known(lambda piece: _packed([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]))
+        self._pieces = _Known(lambda piece: _packed([t.id for t in model.tokenize(charmap_decode(piece.encode(), "strict", letters)[0])]))
         self._chunks = _Known(self._whole)
 
     def ids(self, text: str) -> bytes:
@@ -73,15 +75,20 @@ class Encoder:
 
 
 class _Known(dict):
-    """What ``make`` gives for short strings, remembered; a full memory is emptied."""
+    """What ``make`` gives for short strings, remembered. A full memory becomes the earlier
+    one, from which strings that are met again come back; what was left in that one goes."""
 
     def __init__(self, make):
         self._make = make
+        self._earlier: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self._make(key)
+        value = self._earlier.get(key)
+        if value is None:
+            value = self._make(key)
         if len(key) < 64:
             if len(self) >= REMEMBERED:
+                self._earlier = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -103,12 +110,19 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-def _byte_letters() -> dict[int, int]:
+def _byte_letters() -> str:
     """The letter that stands for each byte in a byte-level vocabulary: printable bytes
     for themselves, the others by letters from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = (b for b in range(256) if b not in shown)
-    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(others)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(others)) for b in range(256))
+
+
+@cache
+def _encoder(name: str, end: int) -> Encoder:
+    """One for all tasks of a worker process, so that it is loaded once and what one task
+    has met is known to the next."""
+    return Encoder(name, end)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k", end: int = END, ids: bool = True) -> DataFrame:
@@ -118,7 +132,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
 
     def run(batches):
-        encoder = Encoder(tokenizer, end)
+        encoder = _encoder(tokenizer, end)
         for batch in batches:
             for part in slices(batch, 128):
                 rows: list[list] = [[] for _ in kinds]
