@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,37 @@ def test_space_names():
     for bad in ("cos", "euclidean", ""):
         with pytest.raises(ValidationError):
             Space.parse(bad)
+
+
+def test_comparisons_hold_little_at_once(monkeypatch):
+    """However many queries, neighbours and vectors meet: bounded blocks, and batches as they are found."""
+    for name, value in (("DISTANCES", 600), ("NUMBERS", 400), ("ROWS", 50)):
+        monkeypatch.setattr(knn, name, value, raising=False)
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 3, (300, 4)).astype(np.float32)  # many ties
+    ids = [f"v{i:03d}" for i in rng.permutation(300)]
+    seen, plain = [], knn.block
+    monkeypatch.setattr(knn, "block", lambda space, q, x: seen.append(len(q) * len(x)) or plain(space, q, x))
+    rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(v.tolist(), pa.list_(pa.float32()))], ["id", "embedding"])
+    for k in (7, 90, 1_000):
+        best = knn.Best(np.arange(40), v[:40], k, "l2", 6, "id", "string")
+        found = [b for part in knn.together([rows.slice(0, 30), rows.slice(30)]) for b in best.see(part.column(0), knn.matrix(part.column(1)))]
+        assert len(found) > 1 and max(b.num_rows for b in found) <= 50 + k
+        got = pa.Table.from_batches(found).to_pylist()
+        for i in range(40):
+            want = sorted((truth("l2", v[i], x), id) for x, id in zip(v, ids))[:k]
+            assert sorted((r["distance"], r["id"]) for r in got if r["query_id"] == i)[:k] == want
+    assert max(seen) <= 600
+
+
+def test_filter_inside_a_search_for_very_many_candidates(spark, vectors, tmp_path, monkeypatch):
+    """A filter after the search would have every query hold k times oversampling rows."""
+    df, rows = vectors
+    records = df.join(spark.createDataFrame([(k, tagged_map({"n": i})) for i, k in enumerate(sorted(rows))], "id string, metadata map<string,struct<s:string,b:boolean,i:bigint,f:double>>"), "id", "left")
+    q = spark.createDataFrame([(0, rows["v050"]), (1, rows["v001"])], "query_id long, embedding array<float>")
+    index, asked, plain = IvfIndex.build(df, str(tmp_path / "i"), "l2", 4), [], IvfIndex.search
+    monkeypatch.setattr(IvfIndex, "search", lambda self, queries, k, *rest: asked.append(k) or plain(self, queries, k, *rest))
+    for ef in (1_000, 60):
+        got, after = (search(records, q, 5, Space.L2, IndexOptions(max_scan=20), SearchOptions({"n": {"$gte": 100}}, ef, n, 6), index) for n in (1_000, 40))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, after.collect())) and got.count() == 10
+    assert asked == [5, 200] * 2
