@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.operators import sieve as bitmap
+
 #: The ASCII white space that ends a word: space and the characters 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -88,24 +90,12 @@ def slices(batch, rows: int = 256):
 SIEVE = 1 << 23
 
 
-def _place(key: Column) -> tuple[Column, Column]:
-    """The word of a sieve and the bit in it that a hash falls on."""
-    at = key.bitwiseAND(F.lit(SIEVE - 1))
-    return F.shiftrightunsigned(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-
-
 def sieve(rows: DataFrame, key: Column) -> DataFrame:
-    """(word, bits): the places of the hashes ``key`` in a bitmap of bounded size."""
-    word, bit = _place(key)
-    return rows.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    return bitmap.sieve(rows, key, SIEVE)
 
 
 def sieved(rows: DataFrame, key: Column, through: DataFrame, caught: bool = True) -> DataFrame:
-    """The rows whose hash falls on a place that ``through`` has, or else the others.
-    Those whose hash is in the sieve are caught, and a few more; more hashes than it has
-    bits only make these more. Rows are told apart where they lie, without a shuffle."""
-    word, bit = _place(key)
-    return rows.join(F.broadcast(through), (word == F.col("__word")) & (F.col("__bits").bitwiseAND(bit) != 0), "left_semi" if caught else "left_anti")
+    return bitmap.sieved(rows, key, through, caught, SIEVE)
 
 
 #: How often ``linked`` compares all sets of a bucket with one of them, at most.
