@@ -262,3 +262,21 @@ def test_archives_are_plain_gzip_members(spark):
     raw = gzip.decompress(Path(index[0]["file"]).read_bytes())
     assert raw.count(b"WARC/1.1\r\n") == 2 and b"a" * 150 in raw
     assert index[1]["offset"] == index[0]["length"]
+
+
+def test_spotsigs_anchored_chains_are_found_once(make):
+    """A lambda expression that is named twice in a projection is evaluated twice."""
+    rows = spotsigs.with_signatures(make([(1, "the lorem ipsum dolor")]), "text", "s")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("flatten(transform") == 1 and rows.first()["s"] == plain_signatures("the lorem ipsum dolor")
+
+
+def test_spotsigs_classes_shuffle_few_signatures(make, monkeypatch):
+    """Signatures of one set alone aren't kept with their counts; those of several bring them together."""
+    written, plain = [], spotsigs.cut
+    monkeypatch.setattr(spotsigs, "cut", lambda df: written.append(plain(df)) or written[-1])
+    base = " ".join(f"the w{i} x{i}" for i in range(20))
+    got = {r["doc_id"]: r["near_id"] for r in spotsigs.near_classes(make([(1, base), (2, f"{base} the tail end"), (3, "the other text of three")])).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    often = [t for t in written if t.columns == ["s", "df"]]
+    assert len(often) == 1 and {r["df"] for r in often[0].collect()} == {2}

@@ -55,29 +55,42 @@ def _content(w: Column) -> Column:
     return F.when(F.size(w) > 0, F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: ~F.get(w, i - 1).isin(ANCHORS))).otherwise(F.array().cast("array<int>"))
 
 
-def _signatures(w: Column, p: Column) -> Column:
-    """The sorted set of signatures, from the words and the places of content words."""
-    n = F.size(p)
-    word = lambda k: F.get(w, F.get(p, k) - 1)
+def _word(w: Column, p: Column, k: Column) -> Column:
+    return F.get(w, F.get(p, k) - 1)
 
-    def anchored(k):
+
+def _every(p: Column) -> Column:
+    return F.sequence(F.lit(0), F.size(p) - 1)
+
+
+_NONE = "array<string>"
+
+
+def _anchored(w: Column, p: Column) -> Column:
+    """The signatures that begin with an anchor, from the words and the places of content words."""
+
+    def at(k):
         before = F.coalesce(F.get(p, k - 1), F.lit(0))
-        rest = [word(k + j) for j in range(CHAIN)]
+        rest = [_word(w, p, k + j) for j in range(CHAIN)]
         return F.transform(F.slice(w, before + 1, F.get(p, k) - before - 1), lambda a: _signature(a, *rest))
 
-    every = F.sequence(F.lit(0), n - 1)
-    none = F.array().cast("array<string>")
-    found = F.when(n > 0, F.flatten(F.transform(every, anchored))).otherwise(none)
-    plain = F.when(n > 0, F.transform(every, lambda k: _signature(*[word(k + j) for j in range(CHAIN + 1)]))).when(F.size(w) > 0, F.array(_signature(F.array_join(w, " ")))).otherwise(none)
+    return F.when(F.size(p) > 0, F.flatten(F.transform(_every(p), at))).otherwise(F.array().cast(_NONE))
+
+
+def _signatures(w: Column, p: Column, found: Column) -> Column:
+    """The sorted set of signatures: ``found``, those with an anchor, or else plain chains."""
+    plain = F.when(F.size(p) > 0, F.transform(_every(p), lambda k: _signature(*[_word(w, p, k + j) for j in range(CHAIN + 1)]))).when(F.size(w) > 0, F.array(_signature(F.array_join(w, " ")))).otherwise(F.array().cast(_NONE))
     return F.sort_array(F.array_distinct(F.when(F.size(found) > 0, found).otherwise(plain)))
 
 
 def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with the signature set of its column ``text``; each step is a projection."""
+    """``df`` with the signature set of its column ``text``; each step is a projection, as
+    Spark evaluates a lambda expression as often as it is named in one."""
     kept = df.columns
     df = df.withColumn("_w", words(F.col(text)))
     df = df.withColumn("_p", _content(F.col("_w")))
-    return df.select(*kept, _signatures(F.col("_w"), F.col("_p")).alias(name))
+    df = df.withColumn("_f", _anchored(F.col("_w"), F.col("_p")))
+    return df.select(*kept, _signatures(F.col("_w"), F.col("_p"), F.col("_f")).alias(name))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -140,14 +153,15 @@ def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, class_id, near_id): class_id is the smallest doc_id of the same
     fingerprint, near_id the smallest reachable through fingerprints that are ``least``
     alike or more. An empty fingerprint is like no other."""
-    rows = cut(classes(docs))
+    rows = fingerprinted(docs)
     sets = cut(rows.where(F.size("signatures") > 0).groupBy("of").agg(F.min("doc_id").alias("first"), F.first("signatures").alias("s")).withColumn("n", F.size("s")).withColumn("id", F.conv(F.left("of", F.lit(15)), 16, 10).cast("long")))
-    spread = sets.select("id", "n", F.explode("s").alias("s"))
-    often = spread.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    # what only one set has can't bring two together; it still counts for the prefix
+    # hashes of signatures, as two that fall together only bring more candidates
+    spread = sets.select("id", "n", F.explode(F.transform("s", lambda x: F.xxhash64(x))).alias("s"))
+    often = cut(spread.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    # what only one set has can't bring two together; it still counts for the prefix, of which it is the beginning
     rare = spread.join(often, "s").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("by"))
     # a near pair shares one of the first n - ceil(least * n) + 1 signatures of either
-    first = F.filter(F.slice("by", 1, F.col("n") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1), lambda x: x["df"] > 1)
+    first = F.slice("by", 1, F.greatest(F.lit(0), F.size("by") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1))
     part = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / least))).cast("int")
     # lengths of a near pair differ by a factor of 1 / least at most: the same partition or the next one
     places = F.explode(F.array(part, part + 1))
@@ -161,19 +175,26 @@ def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     roots = cut(linked(members, fit, verified, ["n"]))
     best = roots.join(sets, roots.node == sets.id).groupBy("root").agg(F.min("first").alias("near_id"))
     named = cut(roots.join(best, "root").join(sets.select("id", "of"), F.col("node") == F.col("id")).select(F.col("of").alias("of_text"), "near_id"))
-    found = rows.select("doc_id", "class_id", "of").join(named, F.col("of") == F.col("of_text"), "left")
+    found = _classes(rows).join(named, F.col("of") == F.col("of_text"), "left")
     return found.select("doc_id", "class_id", F.coalesce("near_id", "class_id").alias("near_id"))
 
 
+def fingerprinted(docs: DataFrame) -> DataFrame:
+    """doc_id, signatures and ``of``, their hash, written."""
+    # written before anything filters rows by ``of``: Spark would evaluate that filter on the texts, with
+    # the words of a text found again wherever a step of its signatures names them
+    rows = with_signatures(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "text", "signatures")
+    return cut(rows.select("doc_id", "signatures", F.sha2(F.array_join("signatures", ","), 256).alias("of")))
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, signatures, class_id, the smallest doc_id with the same fingerprint, and
-    ``of``, its hash."""
-    # written first: the join filters its rows by ``of``, and Spark would evaluate that filter on the
-    # texts, with the words of a text found again wherever a step of its signatures names them
-    rows = cut(with_signatures(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "text", "signatures").select("doc_id", "signatures"))
-    rows = rows.withColumn("of", F.sha2(F.array_join("signatures", ","), 256))
+    return _classes(fingerprinted(docs))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """doc_id, class_id, the smallest doc_id with the same fingerprint, and ``of``."""
     first = rows.groupBy("of").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(first, "of").select("doc_id", "signatures", "class_id", "of")
+    return rows.select("doc_id", "of").join(first, "of").select("doc_id", "class_id", "of")
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
